@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, packing, secrets, tokens
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op5_token_counts": tokens.op5_token_counts,
     "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL = {
