@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, tokens
+from . import mixing, packing, pii, secrets, tokens
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_secret_scans": secrets.op7_secret_scans,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_pii": pii.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op7_secret_scans": secrets.OP7_SQL,
 }
