@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, secrets, tokens
+from . import mixing, packing, pii, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_packing": packing.op8_packing,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_pii": pii.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op3_quality_rules": quality_rules.OP3_SQL,
     "op7_secret_scans": secrets.OP7_SQL,
 }
