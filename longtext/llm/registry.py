@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality_rules, secrets, tokens
+from . import jaccard_join, mixing, packing, pii, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_packing": packing.op8_packing,
+    "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op7_secret_scans": secrets.OP7_SQL,
+    "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
 }
