@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, pii, quality_rules, secrets, tokens
+from . import jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_packing": packing.op8_packing,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
