@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
+from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op7_secret_scans": secrets.OP7_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
 }
