@@ -130,7 +130,7 @@ def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     pairs = stage_table(pairs.filter((F.col("n_tv") >= SUPPORT) & (F.col("n_context") >= SUPPORT)), "pii-pairs")
     values = rows.select(F.explode(F.array_distinct("_names")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_v"))
     heard = whole.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    heard = join_small(heard, pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    heard = heard.groupBy("term").agg(F.count("*").alias("n_t"))
     total = rows.agg(F.count("*").alias("n"))
     known = pairs.join(values, "entity").join(heard, "term").crossJoin(F.broadcast(total))
     information = F.log(F.col("n") / F.col("n_v"))
