@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
+from . import embedding_dedup, html_extraction, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_packing": packing.op8_packing,
