@@ -181,7 +181,7 @@ def linked(rows: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     data = rows.select(F.col("blk"), "c", "m", "x")
     sides = pairs.select("i", "j", F.col("i").alias("blk")).union(pairs.filter("i != j").select("i", "j", F.col("j").alias("blk")))
 
-    def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         a = frame[frame["blk"] == i]
         b = a if i == j else frame[frame["blk"] == j]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from longtext.operators.components import connected_components
 
-from .common import ship, stage_table, table
+from .common import join_small, ship, stage_table, table
 from .tokens import balanced
 
 WORDS = 4
@@ -174,7 +174,7 @@ def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
                     yield from dealer.add(s)
         yield dealer.flush()
 
-    def count(key, blocks: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in blocks["block"]]))
         firsts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
         many = np.diff(np.concatenate([firsts, [len(items)]]))
@@ -228,7 +228,7 @@ def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long
                 yield from dealer.add(out)
         yield dealer.flush()
 
-    def meet(key, blocks: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([np.frombuffer(b, POSTING) for b in blocks["block"]]))  # by shingle, then name: copies fall together
         firsts = np.flatnonzero(np.concatenate([[True], items["t"][1:] != items["t"][:-1]]))
         many = np.diff(np.concatenate([firsts, [len(items)]]))
@@ -358,6 +358,21 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """docs with one document of each component: the one of the least id; columns unchanged.
+
+    Rows that share an id are reduced to one; where ids are unique only the dropped ids move.
+    """
+    found = stage_table(join_components(docs, **kw), "jaccard-components")
+    dropped = found.filter("doc_id != component_id").select("doc_id").distinct()
+    kept = join_small(docs, stage_table(dropped, "jaccard-dropped"), "doc_id", "left_anti", 2_000_000)
+    repeated = stage_table(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = join_small(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return join_small(kept, repeated, "doc_id", "left_anti").unionByName(once)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 

@@ -100,7 +100,7 @@ def context_terms(text: Column, entity: Column) -> Column:
 def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, reveals): spans of each row of docs and the terms that give protected values away.
 
-    rows: _row, the named columns (all by default), arrays email, ip, card, phone of (s, e, m), and near:
+    rows: _row, _key (md5 of the text), the named columns (all by default), arrays email, ip, card, phone of (s, e, m), and near:
     the terms around them. reveals: entity, term, disclosure. With n documents, n_t holding a term, n_v a
     value and n_tv the term beside the value, a term discloses PMI / IC = log(n_tv n / (n_t n_v)) /
     log(n / n_v) of the value's information. All documents count; a pair needs SUPPORT documents and
@@ -122,7 +122,7 @@ def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     near = F.when(F.size("_all") > 0, F.flatten(F.transform("_all", lambda x: context_terms(F.col("_text"), x))))
     found = found.withColumn("near", near)
     found = found.withColumn("near", F.filter("near", lambda t: ~F.exists("_all", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
-    rows = found.select(*[F.col(f"`{c}`") for c in columns], *KINDS, "near", F.transform("_all", lambda x: x["name"]).alias("_names"))
+    rows = found.select(*[F.col(f"`{c}`") for c in columns], F.when(F.size("near") > 0, F.md5("_text")).alias("_key"), *KINDS, "near", F.transform("_all", lambda x: x["name"]).alias("_names"))
     rows = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
 
     pairs = rows.filter(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.entity", "x.context", "x.term")
@@ -139,14 +139,17 @@ def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     return rows, known.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
-def sanitise_spans(rows: DataFrame, reveals: DataFrame) -> DataFrame:
-    """Add term: array of (s, e, r) of the revealing terms of each row; r says whether the term goes altogether."""
-    near = rows.filter(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.entity", "x.term", "x.s", "x.e")
+def revealing_spans(rows: DataFrame, reveals: DataFrame, by: str) -> DataFrame:
+    """(by, term): the revealing terms of each row or text that has any, an array of (s, e, r); r says whether the term goes altogether."""
+    near = rows.filter(F.size("near") > 0).select(by, F.explode("near").alias("x")).select(by, "x.entity", "x.term", "x.s", "x.e")
     hits = join_small(near, stage_table(reveals, "pii-reveals"), ["entity", "term"], "inner")
-    hits = hits.groupBy("_row", "s", "e").agg(F.max(F.col("disclosure") >= REMOVE).alias("r"))
-    per_row = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("term"))
-    none = F.array().cast(per_row.schema["term"].dataType)
-    return rows.join(per_row, "_row", "left").withColumn("term", F.coalesce("term", none))
+    hits = hits.groupBy(by, "s", "e").agg(F.max(F.col("disclosure") >= REMOVE).alias("r"))
+    return stage_table(hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("term")), "pii-terms")
+
+
+def with_terms(rows: DataFrame, terms: DataFrame, by: str) -> DataFrame:
+    none = F.array().cast(terms.schema["term"].dataType)
+    return join_small(rows, terms, by, "left", 50_000).withColumn("term", F.coalesce("term", none))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -167,20 +170,24 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data and revealing terms taken out of the text; columns and rows unchanged.
 
     Values become [EMAIL], [IP], [CARD], [PHONE]; a revealing term becomes [TERM] or, from REMOVE on, goes.
-    A null text stays null.
+    A null text stays null. Spans depend on the text alone, so they are found by its md5 and the text is
+    read twice rather than stored.
     """
-    rows = sanitise_spans(*detect(docs, text))
+    terms = revealing_spans(*detect(docs, text, []), "_key")
+    rows = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = with_terms(base_spans(rows).withColumn("_key", F.md5("_text")), terms, "_key")
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    terms = F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["r"], "").otherwise("[TERM]").alias("tag")))
-    rows = rows.withColumn("_spans", F.array_sort(F.concat(*[tagged(k) for k in KINDS], terms)))
+    gone = F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["r"], "").otherwise("[TERM]").alias("tag")))
+    rows = rows.withColumn("_spans", F.array_sort(F.concat(*[tagged(k) for k in KINDS], gone)))
     return rows.withColumn(text, redacted(F.col(f"`{text}`"), F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sanitise_spans(*detect(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"]))
+    rows, reveals = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
+    rows = with_terms(rows, revealing_spans(rows, reveals, "_row"), "_row")
     base = [(i, k, k) for i, k in enumerate(KINDS)]
     return rows.select(
         "doc_id",
