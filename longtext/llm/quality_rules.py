@@ -76,33 +76,34 @@ def rules(
     columns = docs.columns if columns is None else columns
     kept = [F.col(f"`{c}`") for c in columns]
     rows = docs.select(*kept, F.col(f"`{host}`").alias("_host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+
+    hashes = F.array_distinct(F.transform(lines_with_words(F.col("_text")), line_hash))
+    seen = rows.select("_host", F.explode(hashes).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > documents)
+    sizes = rows.groupBy("_host").agg(F.count("*").alias("in_host"))
+    a, b = seen.alias("a"), sizes.alias("b")
+    common = a.join(b, F.col("a._host").eqNullSafe(F.col("b._host"))).filter(F.col("n") > F.lit(share) * F.col("in_host"))
+    common = common.groupBy("a._host").agg(F.collect_list("h").alias("_common")).select(F.struct("_host").alias("_k"), "_common")
+    common = stage_table(common, "quality-lines")
+
+    rows = join_small(rows.withColumn("_k", F.struct("_host")), common, "_k", "left")
     rows = rows.withColumns({"_words": F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), "_lines": lines_with_words(F.col("_text"))})
-    counted = rows.select(
+    removed = F.aggregate(
+        "_lines",
+        F.lit(0),
+        lambda n, x: n + F.when(F.array_contains("_common", line_hash(x)), F.regexp_count(x, F.lit(WORD))).otherwise(0),
+    )
+    out = rows.select(
         *kept,
-        "_host",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("_lines"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.when(F.col("_common").isNotNull(), removed).otherwise(0).cast("long").alias("boilerplate_words"),
     )
-    counted = stage_table(counted, "quality-rows")
-
-    sizes = counted.groupBy("_host").agg(F.count("*").alias("in_host"))
-    seen = counted.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n"))
-    seen = seen.filter(F.col("n") > documents)
-    a, b = seen.alias("a"), sizes.alias("b")
-    common = a.join(b, F.col("a._host").eqNullSafe(F.col("b._host"))).filter(F.col("n") > F.lit(share) * F.col("in_host"))
-    common = stage_table(common.select(F.struct("a._host").alias("_k"), "h"), "quality-lines")
-
-    lines = counted.select("_row", F.struct("_host").alias("_k"), F.explode("_lines").alias("x")).select("_row", "_k", "x.h", "x.w")
-    removed = join_small(lines, common, ["_k", "h"], "left_semi").groupBy("_row").agg(F.sum("w").alias("boilerplate_words"))
-    out = counted.join(removed, "_row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     depleted = (F.col("boilerplate_words") > F.lit(boilerplate) * F.col("n_words")) | (F.col("n_words") - F.col("boilerplate_words") < LEAST_WORDS)
-    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted}).drop("_row", "_host", "_lines")
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 
 def clean_documents(docs: DataFrame, **kw) -> DataFrame:
