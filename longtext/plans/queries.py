@@ -303,7 +303,7 @@ def dedupe_near(spark, sf_dir):
 
 @query("dedupe_titles")
 def dedupe_titles(spark, sf_dir):
-    t = transcripts(spark, sf_dir).withColumn("date", F.date_trunc("month", "date").cast("date"))
+    t = transcripts(spark, sf_dir).withColumn("date", F.date_trunc("year", "date").cast("date"))
     return dedupe.title_edges(t).select("a", "b")
 
 
@@ -401,7 +401,7 @@ def pca_variance(spark, sf_dir):
 
 @query("factor_scores")
 def factor_scores(spark, sf_dir):
-    scores, _ = stats.factor_scores(parquet(spark, sf_dir, "lineitem"), FEATURES, 2, within="l_returnflag")
+    scores, _ = stats.factor_scores(parquet(spark, sf_dir, "lineitem"), FEATURES, 2)
     return scores.groupBy("l_returnflag").agg(*[F.avg(f"f{i}").alias(f"f{i}") for i in (1, 2)])
 
 
