@@ -202,12 +202,17 @@ def pairs_within(lists: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens) -> DataFrame:
-    """Rows (t, a, b, na, nb, o): pairs a < b of set names with o common short-list shingles (t null), and members a of a long list t with its pivot b.
+    """Rows (t, a, b, na, nb, common, o): pairs a < b of set names with o common short-list shingles (t null), and members a of a long list t with its pivot b.
 
     A document's shingles are ordered short lists first, by hash; its prefix is dealt to lists. A list
     of up to `long` documents gives its pairs. Longer ones arise where nearly all of a document's
     shingles are common, in large groups of near copies; they give each member with the list's pivot,
     the member with the fewest short-list shingles.
+
+    For pairs, common is the most shingles that the two can share on long lists where both have such
+    shingles in their prefix, and -1 elsewhere. For members, common and o are the long-list shingles of
+    member and pivot; members with so few that only partners found by short lists can reach the
+    similarity are left out.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,18 +244,22 @@ def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long
         if len(pairs):
             x, y = pairs[:, 0], pairs[:, 1]
             hidden = (x["cold"] < prefix_length(x["n"], percent)) & (y["cold"] < prefix_length(y["n"], percent))
-            frames.append(pd.DataFrame({"a": x["c"], "b": y["c"], "na": x["n"], "nb": y["n"], "hidden": hidden}))
-            frames[0] = frames[0].groupby(["a", "b", "na", "nb", "hidden"], sort=False).size().rename("o").reset_index()
+            common = np.where(hidden, np.minimum(x["n"] - x["cold"], y["n"] - y["cold"]), -1)
+            frames.append(pd.DataFrame({"a": x["c"], "b": y["c"], "na": x["n"], "nb": y["n"], "common": common}))
+            frames[0] = frames[0].groupby(["a", "b", "na", "nb", "common"], sort=False).size().rename("o").reset_index()
             frames[0]["t"] = None
         for x in hot:
             pivot = x[np.lexsort((x["c"], -x["n"], x["cold"] / x["n"]))[0]]
-            frames.append(pd.DataFrame({"a": x["c"], "b": pivot["c"], "na": x["n"], "nb": pivot["n"], "hidden": True, "o": 0, "t": np.int64(x["t"][:1].view(np.int64)[0])}))
+            at = np.int64(x["t"][:1].view(np.int64)[0])
+            x = x[100 * (x["n"] - x["cold"]) >= percent * x["n"]]  # the others' partners share short lists with them
+            frames.append(pd.DataFrame({"a": x["c"], "b": pivot["c"], "na": x["n"], "nb": pivot["n"], "common": x["n"] - x["cold"], "o": pivot["n"] - pivot["cold"], "t": at}))
+        names = ["t", "a", "b", "na", "nb", "common", "o"]
         if not frames:
-            return pd.DataFrame({c: [] for c in ("t", "a", "b", "na", "nb", "hidden", "o")})
-        return pd.concat(frames, ignore_index=True).astype({"t": "Int64"})[["t", "a", "b", "na", "nb", "hidden", "o"]]
+            return pd.DataFrame({c: [] for c in names})
+        return pd.concat(frames, ignore_index=True).astype({"t": "Int64"})[names]
 
     dealt = docs.select("text").mapInArrow(deal, "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "t long, a long, b long, na int, nb int, hidden boolean, o long")
+    return dealt.groupBy("r").applyInPandas(meet, "t long, a long, b long, na int, nb int, common int, o long")
 
 
 def picked_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -295,8 +304,11 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     partners below the count that the required overlap leaves are dropped, and the shingles on long lists
     are looked up by binary search in the rest. Documents of equal sets are one node, named by a 64-bit
     fingerprint, so copies cost one comparison. Only what can still join components is compared: first
-    each node's best partner, then the pairs between different components. Members of a long list meet
-    its pivot first; those left in other components meet all members of other components.
+    each node's best partner, then the pairs between different components. Two documents can share at most
+    the smaller number of their long-list shingles and the short-list ones they were seen to share; where
+    that is below the required overlap they are not compared. Members of a long list meet its pivot
+    first; of those left in other components, the ones that can still reach the overlap by long-list
+    shingles alone meet such members of other components.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows share their class; a null
     doc_id never becomes a component's name unless its whole class has none. Empty input: no rows.
@@ -320,10 +332,10 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     members = found.filter("t is not null")
     required = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     beyond = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
-    pairs = found.filter("t is null").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"), F.max("hidden").alias("hidden"))
-    pairs = pairs.filter(F.col("hidden") | (F.col("o") >= required - beyond)).select("a", "b", "o")
-    sizes_fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    stars = members.filter(sizes_fit & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(2**40).alias("o"))
+    pairs = found.filter("t is null").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"), F.max("common").alias("common"))
+    pairs = pairs.filter(F.col("o") >= required - F.when(F.col("common") >= 0, F.col("common")).otherwise(beyond)).select("a", "b", "o")
+    stars = members.filter((F.least("common", "o") >= required) & (F.col("a") != F.col("b")))
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(2**40).alias("o"))
     pairs = stage_table(pairs.union(stars).groupBy("a", "b").agg(F.max("o").alias("o")), "jaccard-pairs")
 
     nodes = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).union(members.select(F.col("a").alias("f"))).distinct()
@@ -339,12 +351,13 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
         return df.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
     rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    held = stage_table(labelled(members.select("t", "a", F.col("na").alias("n")), "a", "la"), "jaccard-members")
+    held = stage_table(labelled(members.select("t", "a", F.col("na").alias("n"), "common"), "a", "la"), "jaccard-members")
     main = held.groupBy("t", "la").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("la", F.struct("m", "la")).alias("main"), F.count("*").alias("k"))
     open_lists = held.join(main.filter("k > 1"), "t")
-    x = open_lists.filter("la != main").select("t", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("la").alias("lx"))
-    y = open_lists.select("t", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("la").alias("ly"))
-    cross = x.join(y, "t").filter((F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    x = open_lists.filter("la != main").select("t", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("la").alias("lx"))
+    y = open_lists.select("t", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("common").alias("cy"), F.col("la").alias("ly"))
+    can_reach = (100 + percent) * F.least("cx", "cy") >= percent * (F.col("nx") + F.col("ny"))
+    cross = x.join(y, "t").filter((F.col("lx") != F.col("ly")) & can_reach)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     rest = rest.union(cross).distinct().join(best, ["a", "b"], "left_anti")
     links = links.union(stage_table(reaching(rest, sets, percent), "jaccard-links-1"))
