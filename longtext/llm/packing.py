@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 offsets, index, words = words_of(parts)
                 coded, index = encoder(path, "ids").values(words), index.tolist()
                 for j, row in enumerate(rows.tolist()):
-                    ids = b"".join([coded[i] for i in index[offsets[j] : offsets[j + 1]]])
+                    ids = b"".join(map(coded.__getitem__, index[offsets[j] : offsets[j + 1]]))
                     if row != n_rows and n_rows >= 0:
                         cut(keys[n_rows], b"".join(held) + last, out)
                         held = []
@@ -110,7 +110,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def group_packer(capacity: int, turn: int, final: bool):
-    def pack_group(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         spare = len(fill) * capacity - int(lengths.sum())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ from .common import ship, table
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of text that are encoded together; longer texts are split at white space.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 #: Words that a worker remembers: two generations of this many.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _BREAK = re.compile("[ \t-\r]")
 _ENCODERS: dict = {}
 
@@ -43,18 +44,19 @@ class WordEncoder:
     def values(self, words: list[str]) -> list:
         """keep(ids) of each word."""
         new, old, keep = self.new, self.old, self.keep
+        out = list(map(new.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
         unknown = []
-        for w in words:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    unknown.append(w)
+        for i in missing:
+            v = old.get(words[i])
+            if v is None:
+                unknown.append(i)
+            else:
+                out[i] = new[words[i]] = v
         for at in range(0, len(unknown), 20_000):
             part = unknown[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = keep(e)
-        out = [new[w] for w in words]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = new[words[i]] = keep(e)
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         return out
@@ -63,7 +65,7 @@ class WordEncoder:
 def encoder(path: str, kind: str) -> WordEncoder:
     """This worker's encoder; kind 'lengths' or 'ids' (little-endian unsigned 32-bit bytes)."""
     if (path, kind) not in _ENCODERS:
-        keep = {"lengths": len, "ids": lambda e: np.array(e.ids, dtype="<u4").tobytes()}[kind]
+        keep = {"lengths": len, "ids": lambda e: array("I", e.ids).tobytes()}[kind]
         _ENCODERS[path, kind] = WordEncoder(path, keep)
     return _ENCODERS[path, kind]
 
