@@ -20,7 +20,8 @@ def annotate(docs: DataFrame, annotator: Callable[[str], list[dict]], key: str =
         names = [c.split()[0] for c in TOKEN_SCHEMA.split(", ")]
         for batch in batches:
             rows = [{"id": str(k), **t} for k, x in zip(batch[key], batch[text], strict=True) for t in annotator((x or "")[:most])]
-            yield pd.DataFrame(rows, columns=names)
+            made = pd.DataFrame(rows, columns=names)
+            yield made.astype({c: "Int32" for c in ("sent", "i", "head")} | {c: "string" for c in ("text", "lemma", "pos", "dep", "person", "number")})
 
     return docs.select(key, text).mapInPandas(run, TOKEN_SCHEMA)
 

@@ -146,17 +146,23 @@ def explained_variance(df: DataFrame, columns: list[str]) -> np.ndarray:
     return values / values.sum()
 
 
-def varimax(loadings: np.ndarray, rounds: int = 200) -> np.ndarray:
-    p, k = loadings.shape
-    turn, size = np.eye(k), 0.0
-    for _ in range(rounds):
-        now = loadings @ turn
-        u, s, v = np.linalg.svd(loadings.T @ (now**3 - now * (now**2).mean(axis=0)))
-        turn = u @ v
-        if s.sum() < size * (1 + 1e-9):
+def varimax(loadings: np.ndarray, sweeps: int = 100) -> np.ndarray:
+    """Rotate each pair of factors by the angle that is best for it, until none turns."""
+    out, (p, k) = loadings.copy(), loadings.shape
+    for _ in range(sweeps):
+        most = 0.0
+        for i in range(k):
+            for j in range(i + 1, k):
+                x, y = out[:, i].copy(), out[:, j].copy()
+                u, v = x * x - y * y, 2 * x * y
+                top = 2 * (u * v).sum() - 2 * u.sum() * v.sum() / p
+                low = (u * u - v * v).sum() - (u.sum() ** 2 - v.sum() ** 2) / p
+                turn = np.arctan2(top, low) / 4
+                out[:, i], out[:, j] = np.cos(turn) * x + np.sin(turn) * y, np.cos(turn) * y - np.sin(turn) * x
+                most = max(most, abs(turn))
+        if most < 1e-9:
             break
-        size = s.sum()
-    return loadings @ turn
+    return out
 
 
 def factor_loadings(r: np.ndarray, k: int, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
