@@ -21,9 +21,8 @@ def lines_with_words(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    """Hash of a line in lower case, numbers as 0, white space runs as one space."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")
-    return F.xxhash64(F.trim(plain))
+    """Hash of a line in lower case, white space runs as one space."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -125,7 +124,7 @@ g AS (SELECT r, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_s
 p AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 8) AS gap FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 q AS (SELECT r, sum(least(8, gap))::BIGINT AS n_repeat_words FROM p GROUP BY r),
 l AS (SELECT r, source, unnest(ln) AS l FROM w),
-m AS (SELECT r, source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+m AS (SELECT r, source, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
              len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS wc FROM l),
 s AS (SELECT source, h, count(DISTINCT r) AS n FROM m GROUP BY ALL),
 z AS (SELECT source, count(*) AS in_host FROM d GROUP BY source),
