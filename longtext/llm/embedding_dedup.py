@@ -147,7 +147,7 @@ def block_pairs(found: DataFrame, epsilon: float) -> DataFrame:
         pairs = met.filter(far <= (epsilon + 1e-6) ** 2).select("dim", "i", "j")
     names = levels[0].select("dim", "k", "blk")
     i, j = names.select("dim", F.col("k").alias("i"), F.col("blk").alias("bi")), names.select("dim", F.col("k").alias("j"), F.col("blk").alias("bj"))
-    return pairs.join(i, ["dim", "i"]).join(j, ["dim", "j"]).select(F.col("bi").alias("i"), F.col("bj").alias("j"))
+    return pairs.join(i, ["dim", "i"]).join(j, ["dim", "j"]).select("dim", F.col("bi").alias("i"), F.col("bj").alias("j"))
 
 
 def _ordered():
@@ -178,11 +178,11 @@ def forest(mask: np.ndarray, same: bool) -> np.ndarray:
 def linked(rows: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     """(c, k, root): for each class with links in a pair of blocks, the vectors linked there and a class of its part; never the pairs themselves."""
     pairs = stage_table(pairs, "ego-pairs")
-    data = rows.select(F.col("blk"), "c", "m", "x")
-    sides = pairs.select("i", "j", F.col("i").alias("blk")).union(pairs.filter("i != j").select("i", "j", F.col("j").alias("blk")))
+    data = rows.select("dim", "blk", "c", "m", "x")
+    sides = pairs.select("dim", "i", "j", F.col("i").alias("blk")).union(pairs.filter("i != j").select("dim", "i", "j", F.col("j").alias("blk")))
 
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
+        _, i, j = key
         a = frame[frame["blk"] == i]
         b = a if i == j else frame[frame["blk"] == j]
         x = np.stack([np.frombuffer(v, np.float64) for v in a["x"]])
@@ -195,7 +195,7 @@ def linked(rows: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
         pick = np.flatnonzero(many > 0)
         return pd.DataFrame({"c": names[pick], "k": many[pick], "root": names[label[pick]]})
 
-    return data.join(sides, "blk").groupBy("i", "j").applyInPandas(meet, "c long, k long, root long")
+    return data.join(sides, ["dim", "blk"]).groupBy("dim", "i", "j").applyInPandas(meet, "c long, k long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
