@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +73,38 @@ def repaired_json(reply: Column, schema: str) -> Column:
 
 def validated(new: Column, allowed: tuple[str, ...], fallback: Column) -> Column:
     return F.when(new.isin(*allowed), new).otherwise(fallback)
+
+
+REPLY = "event_type string, prepared_or_impromptu string, has_q_and_a string, campaign_or_official string"
+PREPARATIONS = ("prepared", "impromptu", "mixed", "unknown")
+
+
+def classify_by_model(df: DataFrame, ask: Callable[[str, str], str], title: str = "title", body: str = "text", most: int = 4000) -> DataFrame:
+    """The same four columns from a model's JSON replies; a reply that does not parse leaves the rules' answer.
+
+    ask(title, excerpt) returns the reply. It runs on the executors, one call per row, and may raise:
+    then the rules' answer stays as well.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            replies = []
+            for t, b in zip(batch[title], batch[body], strict=True):
+                try:
+                    replies.append(ask(t or "", (b or "")[:most]))
+                except Exception:  # the transport is the caller's: any failure counts as no reply
+                    replies.append(None)
+            yield batch.assign(_reply=replies)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    ruled = classify(df.mapInPandas(run, f"{schema}, _reply string"), title, body)
+    r = repaired_json(F.col("_reply"), REPLY)
+    some = r.isNotNull()
+    return ruled.withColumns(
+        {
+            "event_type": F.when(some, validated(r["event_type"], L.EVENT_TYPES, F.lit("other"))).otherwise(F.col("event_type")),
+            "prepared_or_impromptu": F.when(some, validated(r["prepared_or_impromptu"], PREPARATIONS, F.lit("unknown"))).otherwise(F.col("prepared_or_impromptu")),
+            "has_q_and_a": F.when(some, F.coalesce(F.lower(r["has_q_and_a"]).isin("true", "yes", "1"), F.lit(False))).otherwise(F.col("has_q_and_a")),
+            "campaign_or_official": F.when(some, validated(F.lower(r["campaign_or_official"]), ("campaign", "official"), F.lit(None))).otherwise(F.col("campaign_or_official")),
+        }
+    ).drop("_reply")

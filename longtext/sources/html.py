@@ -207,3 +207,22 @@ def pending(pages: DataFrame, done: DataFrame, key: str = "url", per: str | None
         return left
     w = Window.partitionBy(per).orderBy(key) if per else Window.orderBy(key)
     return left.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+
+
+def people_ids(options: DataFrame) -> DataFrame:
+    """(speaker, ids) from rows of one person list (id, name): every option that is one of a speaker's names, or holds it as words of its own.
+
+    The list has one option per person and the names are a constant, so this is a filter per name. An
+    option with "w." is never the elder of two speakers who share a name.
+    """
+    name = F.lower(F.trim(F.col("name")))
+    bare = F.trim(F.regexp_replace(name, r"\s*\(.*?\)\s*", ""))
+    found = []
+    for key, _, names, _, _ in L.SPEAKERS:
+        hit = F.lit(False)
+        for n in names:
+            held = name.rlike(rf"\b{re.escape(n.lower())}\b")
+            hit = hit | (bare == n.lower()) | ((held & ~name.contains("w.")) if key == "bush41" else held)
+        found.append(F.when(hit, F.lit(key)))
+    rows = options.select("id", F.explode(F.array(*found)).alias("speaker")).filter("speaker is not null")
+    return rows.groupBy("speaker").agg(F.sort_array(F.collect_set("id")).alias("ids"))

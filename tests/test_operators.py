@@ -141,6 +141,28 @@ def test_links(spark):
     assert [r[0] for r in df.collect()] == [True, False, False, False, False]
 
 
+def test_people(spark):
+    page = '<select><option value="1">George W. Bush</option><option value="2">George Bush</option><option value="3">Donald J. Trump (1st Term)</option><option value="4">Donald J. Trump (2nd Term)</option></select>'
+    df = spark.createDataFrame([(page,)], "html string")
+    options = df.select(F.explode(html.people(F.col("html"))).alias("x")).select("x.id", "x.name")
+    raw = spark.createDataFrame([("1", "George W. Bush"), ("2", "George Bush"), ("3", "Donald J. Trump (1st Term)"), ("4", "Donald J. Trump (2nd Term)")], "id string, name string")
+    want = {"bush43": ["1"], "bush41": ["2"], "trump": ["3", "4"]}
+    assert {r.speaker: r.ids for r in html.people_ids(raw).collect()} == want
+    assert {r.speaker: r.ids for r in html.people_ids(options).collect()} == want
+    url = html.results_url("http://x/r", F.lit("200"), F.lit(0), F.to_date(F.lit("1981-01-20")), F.to_date(F.lit("1989-01-20")), 30, (8, 9))
+    assert spark.range(1).select(url).first()[0] == "http://x/r?items_per_page=50&person2=200&from%5Bdate%5D=01-20-1981&to%5Bdate%5D=01-20-1989&category2%5B%5D=8&category2%5B%5D=9&page=0"
+
+
+def test_model_labels(spark):
+    from longtext.functions.classify import classify_by_model
+
+    replies = {"a": '{"event_type": "rally", "prepared_or_impromptu": "x", "has_q_and_a": true, "campaign_or_official": "Campaign"}', "b": "no", "c": None}
+    df = spark.createDataFrame([(k, "t") for k in (*replies, "d")], "title string, text string")
+    found = {r.title: (r.event_type, r.prepared_or_impromptu, r.has_q_and_a, r.campaign_or_official) for r in classify_by_model(df, lambda t, _: replies[t]).collect()}
+    assert found["a"] == ("rally", "unknown", True, "campaign")
+    assert found["b"] == found["c"] == found["d"] == ("other", "unknown", False, None)
+
+
 def test_drop_folder(spark, tmp_path):
     body = "word " * 40
     (tmp_path / "rally_20200818_Reagan.txt").write_text(body)
