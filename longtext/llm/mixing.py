@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage_table, table
+from .common import WORD, small_enough, stage_table, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         ).withColumn("part", F.substring("key", 1, RANGE_DIGITS)),
         "mix-sizes",
     )
-    targets = source_targets(sizes, weights, share, most)
+    targets = stage_table(source_targets(sizes, weights, share, most), "mix-targets")
+    targets = F.broadcast(targets) if small_enough(targets, 100_000) else targets
     ranges = sizes.groupBy("source", "part").agg(F.sum("size").alias("in_part"))
     ranges = ranges.withColumn(
         "before_part", F.sum("in_part").over(Window.partitionBy("source").orderBy("part")) - F.col("in_part")
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rows = sizes.withColumn("upto", F.sum("size").over(inside))
     r, s, t = rows.alias("r"), ranges.alias("s"), targets.alias("t")
     both = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.part") == F.col("s.part")))
-    both = both.join(F.broadcast(t), F.col("r.source").eqNullSafe(F.col("t.source")))
+    both = both.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
     budget = F.floor(F.col("t.target"))
     whole = F.when(F.col("t.source_size") > 0, F.floor(budget / F.col("t.source_size"))).otherwise(0)
     left = budget - whole * F.col("t.source_size") - (F.col("s.before_part") + F.col("r.upto") - F.col("r.size"))
