@@ -79,14 +79,14 @@ def clusters(df: DataFrame, edges: DataFrame, save, key: str = "id", quality: st
     found = connected_components(edges, "a", "b", save)
     rows = df.select(key, quality, words).join(found.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
     best = Window.partitionBy("component").orderBy(F.coalesce(F.col(quality), F.lit(0.0)).desc(), F.coalesce(F.col(words), F.lit(0)).desc(), F.col(key))
-    ranks = numbered(rows.select("component").distinct(), "component")
+    ranks = numbered(rows.select("component").distinct(), "component", save)
     rows = rows.withColumn("is_canonical", F.row_number().over(best) == 1)
     return rows.join(ranks, "component").select(key, F.concat(F.lit("clust_"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("cluster_id"), "is_canonical")
 
 
-def numbered(keys: DataFrame, column: str, parts: int = 64) -> DataFrame:
-    """0-based rank of distinct keys without one task for all: counts per range, their running sum, ranks inside a range."""
-    ranged = keys.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id())
+def numbered(keys: DataFrame, column: str, save, parts: int = 64) -> DataFrame:
+    """0-based rank of distinct keys without one task for all: counts per range, their running sum, ranks inside a range. The ranges are saved, since they are read twice."""
+    ranged = save(keys.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")

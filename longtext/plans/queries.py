@@ -324,7 +324,7 @@ def conference_features(spark, sf_dir):
     a = segment.answers(labelled_turns(spark, sf_dir, "The President. ")).select("id", X.lower_words(F.col("text")).alias("w")).filter(F.size("w") >= 50)
     f = X.study_features(F.col("w"), 50)
     rows = a.select("id", F.size("w").cast("long").alias("words"), f["ns_nouns"].cast("long").alias("ns_nouns"), f["li_verbs"].cast("long").alias("li_verbs"))
-    ranks = dedupe.numbered(rows.select("id"), "id")
+    ranks = dedupe.numbered(rows.select("id"), "id", save)
     return rows.join(ranks, "id").withColumnRenamed("number", "idx").withColumn("idx", F.col("idx").cast("long"))
 
 
