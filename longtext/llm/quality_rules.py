@@ -53,7 +53,21 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.coalesce(counted, F.lit(0)).cast("long")
 
 
-def rules(
+def rules(docs: DataFrame, **kw) -> DataFrame:
+    """The named columns of docs (all by default) with the counts and verdicts of judged()."""
+    return judged(docs, **kw).drop("_row")
+
+
+def clean_documents(docs: DataFrame, **kw) -> DataFrame:
+    """docs without the rejected ones; columns unchanged.
+
+    The condition names _row, which no filter passes: below it, kept would be copied into the lambdas
+    that it is made of and its word lists made anew for every element.
+    """
+    return judged(docs, **kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def judged(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
@@ -62,7 +76,7 @@ def rules(
     documents: int = LINE_DOCUMENTS,
     boilerplate: float = MOST_BOILERPLATE,
 ) -> DataFrame:
-    """The named columns of docs (all by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept.
+    """The named columns of docs (all by default) with _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept.
 
     Each line's normalised hash counts once per document; per host, lines found in more than
     max(documents, share * documents of the host) are boilerplate. A document is kept if it passes the
@@ -99,17 +113,13 @@ def rules(
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.when(F.col("_common").isNotNull(), removed).otherwise(0).cast("long").alias("boilerplate_words"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     depleted = (F.col("boilerplate_words") > F.lit(boilerplate) * F.col("n_words")) | (F.col("n_words") - F.col("boilerplate_words") < LEAST_WORDS)
     return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 
-def clean_documents(docs: DataFrame, **kw) -> DataFrame:
-    """docs without the rejected ones; columns unchanged."""
-    return rules(docs, **kw).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words")
