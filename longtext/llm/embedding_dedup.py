@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longtext.operators.components import connected_components
@@ -127,8 +127,7 @@ def block_pairs(found: DataFrame, epsilon: float) -> DataFrame:
     Intervals of FAN neighbours in the sequence form the next level. From the top level down, each pair of
     intervals whose boxes are farther apart than epsilon ends there; the others give their parts' pairs.
     """
-    number = F.dense_rank().over(_ordered())
-    levels = [stage_table(found.withColumn("k", (number - 1).cast("long")), "ego-boxes")]
+    levels = [stage_table(numbered(found), "ego-boxes")]
     while (levels[-1].groupBy("dim").count().agg(F.max("count")).first()[0] or 0) > FAN:
         up = levels[-1].groupBy("dim", F.floor(F.col("k") / FAN).cast("long").alias("k"))
         levels.append(stage_table(up.agg(merged("lo", "least").alias("lo"), merged("hi", "greatest").alias("hi")), "ego-boxes"))
@@ -150,10 +149,13 @@ def block_pairs(found: DataFrame, epsilon: float) -> DataFrame:
     return pairs.join(i, ["dim", "i"]).join(j, ["dim", "j"]).select("dim", F.col("bi").alias("i"), F.col("bj").alias("j"))
 
 
-def _ordered():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("dim").orderBy("blk")
+def numbered(found: DataFrame, parts: int = 64) -> DataFrame:
+    """Add k, the place of each block in the sequence: places inside ranges plus the blocks of the ranges before."""
+    ranged = stage_table(found.repartitionByRange(parts, "dim", "blk").withColumn("_p", F.spark_partition_id()), "ego-ranges")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("dim", "blk"))
+    return ranged.withColumn("_r", inside).join(before, "_p").withColumn("k", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
 
 
 def forest(mask: np.ndarray, same: bool) -> np.ndarray:
