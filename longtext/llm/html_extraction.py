@@ -35,7 +35,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECE = re.compile(r"[a-z]+")
 
-PATH, WORDS, PLAIN = 64, 64, 8
+PATH, WORDS, PLAIN = 160, 64, 8
 WIDTH = PATH + WORDS + PLAIN
 HIDDEN_UNITS = 24
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "models", "blocks.npz")

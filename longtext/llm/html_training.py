@@ -49,12 +49,19 @@ class Maker:
         s = self.words(r.randint(least, most)).capitalize()
         if r.random() < 0.1:
             s = " ".join(w + r.choice(["***", "&&&", "%%%", "$$$", "###"]) for w in s.split())
-        if r.random() < 0.3:
+        k = r.random()
+        if k < 0.05:
+            s = s.replace(" ", " | ")
+        elif k < 0.08:
+            s = " ".join([self.words(1).capitalize()] * r.randint(5, 60))
+        elif k < 0.1:
+            s = " ".join(w.upper() + "!!" for w in s.split())
+        elif k < 0.4:
             s = s.replace(" ", ", ", 1)
         return s + r.choice([".", ".", ".", "!", "?"])
 
     def paragraph(self) -> str:
-        return " ".join(self.sentence() for _ in range(self.r.choice([1, 1, 1, 2, 3, 4, 6])))
+        return self.sentence(1, 5) if self.r.random() < 0.12 else " ".join(self.sentence() for _ in range(self.r.choice([1, 1, 1, 2, 3, 4, 6])))
 
     def attrs(self, kind: str) -> str:
         r = self.r
@@ -177,18 +184,39 @@ class Maker:
                 out.append(f"<div>{text}</div>")
             else:
                 out.append(self.ad() if r.random() < 0.5 else self.notice())
+        if len(out) > 3 and r.random() < 0.3:
+            out = [out[0], *self.sections(out[1:])]
+        if r.random() < 0.15:
+            out.insert(r.randint(1, len(out)), f"<figure><img src=x><figcaption>{self.own(self.sentence(2, 8), True)}</figcaption></figure>")
+        if r.random() < 0.15:
+            out.insert(r.randint(1, len(out)), f"<aside{self.attrs('side') if r.random() < 0.5 else ''}>{self.wrapped(self.chatter(NOTICE))}</aside>")
         inner = "".join(out)
-        if r.random() < 0.1:
-            inner += self.remarks() if r.random() < 0.6 else self.side()
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+            inner = f"<div{self.attrs('main') if r.random() < 0.6 else ''}>{inner}</div>"
+        if r.random() < 0.12:
+            inner += self.remarks() if r.random() < 0.7 else self.side()
         way = r.random()
         if way < 0.5:
             return f"<article>{inner}</article>"
         if way < 0.65:
-            return f"<main>{r.choice(['', '<article>'])}{inner}</main>"
-        if way < 0.75:
+            return f"<main>{inner}</main>" if r.random() < 0.5 else f"<main><article>{inner}</article></main>"
+        if way < 0.7:
+            return inner
+        if way < 0.78:
             return f"<article{self.attrs('main')}>{inner}</article>"
         return f"<div{self.attrs('main')}>{inner}</div>"
 
+    def sections(self, parts: list[str]) -> list[str]:
+        """Parts of an article dealt over sections with headings."""
+        r, out, at = self.r, [], 0
+        t = r.choice(["section", "section", "div"])
+        while at < len(parts):
+            n = r.randint(1, 4)
+            head = f"<h3>{self.own(self.words(r.randint(1, 4)).capitalize(), True)}</h3>" if r.random() < 0.7 else ""
+            out.append(f"<{t}>{head}{''.join(parts[at : at + n])}</{t}>")
+            at += n
+        return out
+
     def page(self) -> str:
         r = self.r
         some = lambda p, f: [f()] if r.random() < p else []
@@ -198,6 +226,8 @@ class Maker:
         r.shuffle(low)
         middle = [*some(0.15, self.side), self.article(), *low]
         inner = "".join(middle)
+        if r.random() < 0.2:
+            inner = f"<main>{inner}</main>"
         if r.random() < 0.3:
             inner = f'<div class="{r.choice(["container", "wrapper", "page", "row"])}">{inner}</div>'
         foot = some(0.8, self.footer)
@@ -231,7 +261,7 @@ def gradients(pages: list[np.ndarray], labels: list[np.ndarray], w: dict) -> tup
     return g, loss
 
 
-def train(pages: int = 9000, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> dict:
+def train(pages: int = 16000, epochs: int = 12, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> dict:
     made = [example(1_000_000 + i) for i in range(pages)]
     made = [(page_matrix(b).astype(np.float64), t) for b, t in made if b]
     rng, w = np.random.default_rng(seed), start_weights(seed)
