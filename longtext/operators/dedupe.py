@@ -50,9 +50,9 @@ def band_keys(parts: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
 def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least: float = 85.0) -> DataFrame:
     """Near-duplicate texts: minhash bands give candidates, the edit ratio of the first PREFIX characters decides.
 
-    Equal texts are one candidate. In each band bucket the members meet the bucket's least member, then,
-    in buckets that this leaves in several components, each other component's least member: the work is
-    linear in a bucket's size, and the transitive closure is what the clusters need.
+    Equal texts are one candidate. In each band bucket the members meet the bucket's least member first.
+    Where that leaves a bucket in several components, their least members meet each other: pairs are made
+    of components, not of members, so a large group of copies costs its size once.
     """
     rows = df.filter(F.length(text) >= LEAST_CHARS).select(F.col(key).alias("i"), F.col(text).alias("t"))
     rows = rows.groupBy(F.md5("t").alias("h")).agg(F.min("i").alias("i"), F.first("t").alias("t"))
@@ -67,9 +67,9 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
     links = save(confirmed(banded.join(first, ["band", "k"]).filter("a < i").select("a", F.col("i").alias("b")).distinct()), "near-0")
     labels = connected_components(links, "a", "b", save)
     named = banded.join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("c", F.coalesce("component", "i"))
-    parts = named.groupBy("band", "k", "c").agg(F.min("i").alias("i"))
-    split = parts.groupBy("band", "k").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("i")).alias("all")).filter("n between 2 and 64")
-    pairs = split.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a < b").distinct()
+    parts = save(named.groupBy("band", "k", "c").agg(F.min("i").alias("i")), "near-parts")
+    x, y = parts.select("band", "k", F.col("i").alias("a")), parts.select("band", "k", F.col("i").alias("b"))
+    pairs = x.join(y, ["band", "k"]).filter("a < b").select("a", "b").distinct()
     more = confirmed(pairs)
     return links.union(more).distinct().withColumn("reason", F.lit("text"))
 
