@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from longtext.operators.components import connected_components
 
 from .common import join_small, ship, stage_table, table
-from .tokens import balanced
+from .tokens import balanced, forget
 
 WORDS = 4
 PERCENT = 85
@@ -85,8 +85,9 @@ def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total + U(k)))
 
 
-def shingle_sets(texts: pa.Array, k: int = WORDS, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: pa.Array, k: int = WORDS, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
     """(row number, shingle set) of every text; null counts as empty. Works through `most` bytes at a time."""
+    forget()
     at, held = -1, []
     for rows, parts in balanced(texts, most):
         words, offsets = word_hashes(parts)
@@ -272,8 +273,10 @@ def picked_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "s"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [s.tobytes() for _, s in shingle_sets(part.column(1), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["c", "s"])
 
     return rows.select("c", "text").mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
 
@@ -284,8 +287,8 @@ def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))

@@ -62,7 +62,7 @@ def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, li
         buckets = np.unique(h >> U(64 - bits)).astype(np.int64)
         return buckets, dense_features(text, len(h), len(buckets))
 
-    for rows, parts in balanced(texts, 2 << 20):
+    for rows, parts in balanced(texts, 1 << 19):
         plain = [p.encode("utf-8", "surrogatepass") for p in parts]
         spaced = [_PLAIN[np.frombuffer(p, np.uint8)].tobytes().decode("utf-8", "surrogatepass") for p in plain]
         words, offsets = word_hashes(spaced)
