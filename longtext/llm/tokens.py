@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +17,25 @@ from .common import ship, table
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of text that are encoded together; longer texts are split at white space.
-BATCH_BYTES = 16 << 20
-#: Words that a worker remembers: two generations of this many.
-REMEMBERED = 400_000
+BATCH_BYTES = 4 << 20
+#: Pieces of words that a worker remembers: two generations of this many.
+REMEMBERED = 120_000
 _BREAK = re.compile("[ \t-\r]")
 _ENCODERS: dict = {}
 
 
+#: A word of letters that the normaliser only turns to lower case, one for one, and marks after it: both are pieces of
+#: their own for the pre-tokenizer, so that the word's ids are theirs in turn.
+_SPLIT = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:$&%*#]*)").fullmatch
+
+
 class WordEncoder:
     """Encodes white-space separated words with the library and remembers them.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, its special strings
     hold none, and Unicode composition does not cross a space: a text's ids are its words' ids in
-    order. So a batch is split once, and only its distinct unknown words go to the library, in one
-    call. Memory is bounded: when the newer generation is full, the older one is forgotten.
+    order. So a batch is split once, and only its distinct unknown words go to the library, many in
+    one call. Memory is bounded: when the newer generation is full, the older one is forgotten.
     """
 
     def __init__(self, path: str, keep):
@@ -40,36 +44,78 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.new, self.old = keep, {}, {}
+        self.none = 0 if keep is _lengths else b""
+        ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+
+    def encoded(self, plain: list[str], other: list[str]) -> Iterator[tuple[str, object]]:
+        """Each new piece and what keep makes of its ids.
+
+        A plain piece is one for the pre-tokenizer too, and the last id of such a piece, and no other, is
+        one of a word end: plain pieces are encoded as one text and cut at those ids.
+        """
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                yield from zip(part, self.keep(ids, cuts), strict=True)
+            else:
+                other = other + part
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                yield w, self.keep(np.array(e.ids, dtype="<u4"), np.array([len(e)]))[0]
 
     def values(self, words: list[str]) -> list:
-        """keep(ids) of each word."""
-        new, old, keep = self.new, self.old, self.keep
+        """What keep makes of each word's ids."""
+        new, old = self.new, self.old
         out = list(map(new.get, words))
         missing = [i for i, v in enumerate(out) if v is None]
-        unknown = []
+        parts, plain, other = [], set(), set()
         for i in missing:
-            v = old.get(words[i])
-            if v is None:
-                unknown.append(i)
-            else:
-                out[i] = new[words[i]] = v
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = new[words[i]] = keep(e)
+            m = _SPLIT(words[i])
+            core, marks = (m[1].lower(), m[2]) if m else ("", words[i])
+            parts.append((core, marks))
+            if core and core not in new:
+                plain.add(core)
+            if marks and marks not in new:
+                other.add(marks)
+        for pieces in (plain, other):
+            for p in [p for p in pieces if p in old]:
+                new[p] = old[p]
+                pieces.discard(p)
+        new.update(self.encoded(sorted(plain), sorted(other)))
+        for i, (core, marks) in zip(missing, parts, strict=True):
+            out[i] = (new[core] if core else self.none) + (new[marks] if marks else self.none)
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         return out
 
 
+def _lengths(ids: np.ndarray, cuts: np.ndarray) -> list[int]:
+    return np.diff(cuts, prepend=0).tolist()
+
+
+def _bytes(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    data, ends = ids.tobytes(), (4 * cuts).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def encoder(path: str, kind: str) -> WordEncoder:
     """This worker's encoder; kind 'lengths' or 'ids' (little-endian unsigned 32-bit bytes)."""
     if (path, kind) not in _ENCODERS:
-        keep = {"lengths": len, "ids": lambda e: array("I", e.ids).tobytes()}[kind]
+        keep = {"lengths": _lengths, "ids": _bytes}[kind]
         _ENCODERS[path, kind] = WordEncoder(path, keep)
     return _ENCODERS[path, kind]
 
 
+def forget() -> None:
+    """Free what encoders remember: for tasks of other operators in a worker that has encoded before."""
+    _ENCODERS.clear()
+
+
 def safe_parts(text: str, most: int) -> list[str]:
     """Parts of a text of about `most` characters, cut at white space only; a run without any stays whole."""
     parts, at = [], 0
@@ -85,7 +131,7 @@ def safe_parts(text: str, most: int) -> list[str]:
 def balanced(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Batches (row numbers, text parts) of about equal bytes; a long text spreads over several."""
     rows, parts, held = [], [], 0
-    for i, text in enumerate(texts.to_pylist()):
+    for i, text in enumerate(t for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()):
         for part in safe_parts(text, most) if text and len(text) > most else [text or ""]:
             rows.append(i)
             parts.append(part)
