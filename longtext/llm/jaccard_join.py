@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +156,9 @@ class Dealer:
 POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("cold", "<i4")])
 
 
+MET = np.dtype([("t", "<i8"), ("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("common", "<i4"), ("o", "<i8")])
+
+
 def shape(tokens: np.ndarray, bits: int) -> np.ndarray:
     """The leading 32 + bits bits, by which lists are told apart when they are counted."""
     return tokens >> U(32 - bits)
@@ -175,14 +177,15 @@ def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
                     yield from dealer.add(s)
         yield dealer.flush()
 
-    def count(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-        items = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in blocks["block"]]))
+    def count(key: tuple, blocks: pa.Table) -> pa.Table:
+        items = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in blocks.column("block")]))
         firsts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
         many = np.diff(np.concatenate([firsts, [len(items)]]))
         pick = many > long
-        return pd.DataFrame({"t": (np.int64(key[0]) << np.int64(32)) + items[firsts[pick]].astype(np.int64), "df": many[pick]})
+        tokens = (np.int64(key[0].as_py()) << np.int64(32)) + items[firsts[pick]].astype(np.int64)
+        return pa.table({"t": pa.array(tokens, pa.int64()), "df": pa.array(many[pick], pa.int64())})
 
-    return docs.select("text").mapInArrow(deal, "r int, block binary").groupBy("r").applyInPandas(count, "t long, df long")
+    return docs.select("text").mapInArrow(deal, "r int, block binary").groupBy("r").applyInArrow(count, "t long, df long")
 
 
 def pairs_within(lists: list[np.ndarray], percent: int) -> np.ndarray:
@@ -234,33 +237,35 @@ def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long
                 yield from dealer.add(out)
         yield dealer.flush()
 
-    def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(np.concatenate([np.frombuffer(b, POSTING) for b in blocks["block"]]))  # by shingle, then name: copies fall together
+    def meet(key: tuple, blocks: pa.Table) -> pa.Table:
+        items = np.unique(np.concatenate([np.frombuffer(b.as_buffer(), POSTING) for b in blocks.column("block")]))  # by shingle, then name: copies fall together
         firsts = np.flatnonzero(np.concatenate([[True], items["t"][1:] != items["t"][:-1]]))
         many = np.diff(np.concatenate([firsts, [len(items)]]))
-        short = [items[f : f + m] for f, m in zip(firsts[(many > 1) & (many <= long)], many[(many > 1) & (many <= long)], strict=True)]
-        pairs = pairs_within(short, percent)
-        hot = [items[f : f + m] for f, m in zip(firsts[many > long], many[many > long], strict=True)]
-        frames = []
-        if len(pairs):
-            x, y = pairs[:, 0], pairs[:, 1]
-            hidden = (x["cold"] < prefix_length(x["n"], percent)) & (y["cold"] < prefix_length(y["n"], percent))
-            common = np.where(hidden, np.minimum(x["n"] - x["cold"], y["n"] - y["cold"]), -1)
-            frames.append(pd.DataFrame({"a": x["c"], "b": y["c"], "na": x["n"], "nb": y["n"], "common": common}))
-            frames[0] = frames[0].groupby(["a", "b", "na", "nb", "common"], sort=False).size().rename("o").reset_index()
-            frames[0]["t"] = None
-        for x in hot:
+        lists = lambda pick: [items[f : f + m] for f, m in zip(firsts[pick], many[pick], strict=True)]
+        pairs = pairs_within(lists((many > 1) & (many <= long)), percent)
+        x, y = pairs[:, 0], pairs[:, 1]
+        hidden = (x["cold"] < prefix_length(x["n"], percent)) & (y["cold"] < prefix_length(y["n"], percent))
+        met = np.zeros(len(pairs), MET)
+        met["a"], met["b"], met["na"], met["nb"] = x["c"], y["c"], x["n"], y["n"]
+        met["common"] = np.where(hidden, np.minimum(x["n"] - x["cold"], y["n"] - y["cold"]), -1)
+        met, times = np.unique(met, return_counts=True)
+        met["o"] = times
+        parts, short = [met], len(met)
+        for x in lists(many > long):
             pivot = x[np.lexsort((x["c"], -x["n"], x["cold"] / x["n"]))[0]]
-            at = np.int64(x["t"][:1].view(np.int64)[0])
+            at = x["t"][:1].view(np.int64)[0]
             x = x[100 * (x["n"] - x["cold"]) >= percent * x["n"]]  # the others' partners share short lists with them
-            frames.append(pd.DataFrame({"a": x["c"], "b": pivot["c"], "na": x["n"], "nb": pivot["n"], "common": x["n"] - x["cold"], "o": pivot["n"] - pivot["cold"], "t": at}))
-        names = ["t", "a", "b", "na", "nb", "common", "o"]
-        if not frames:
-            return pd.DataFrame({c: [] for c in names})
-        return pd.concat(frames, ignore_index=True).astype({"t": "Int64"})[names]
+            stars = np.zeros(len(x), MET)
+            stars["t"], stars["a"], stars["b"], stars["na"], stars["nb"] = at, x["c"], pivot["c"], x["n"], pivot["n"]
+            stars["common"], stars["o"] = x["n"] - x["cold"], pivot["n"] - pivot["cold"]
+            parts.append(stars)
+        rows = np.concatenate(parts)
+        no_list = np.arange(len(rows)) < short
+        columns = {k: pa.array(rows[k]) for k in MET.names if k != "t"}
+        return pa.table({"t": pa.array(rows["t"], mask=no_list), **columns})
 
     dealt = docs.select("text").mapInArrow(deal, "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "t long, a long, b long, na int, nb int, common int, o long")
+    return dealt.groupBy("r").applyInArrow(meet, "t long, a long, b long, na int, nb int, common int, o long")
 
 
 def picked_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

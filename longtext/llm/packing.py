@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +43,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             n_rows = -1
             for rows, parts in balanced(batch.column(1)):
                 offsets, index, words = words_of(parts)
-                coded, index = encoder(path, "ids").values(words), index.tolist()
+                coded = encoder(path, "ids").values(words)
                 for j, row in enumerate(rows.tolist()):
-                    ids = b"".join(map(coded.__getitem__, index[offsets[j] : offsets[j + 1]]))
+                    ids = b"".join(map(coded.__getitem__, index[offsets[j] : offsets[j + 1]].tolist()))
                     if row != n_rows and n_rows >= 0:
                         cut(keys[n_rows], b"".join(held) + last, out)
                         held = []
@@ -110,16 +109,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def group_packer(capacity: int, turn: int, final: bool):
-    def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = rows["length"].to_numpy()
+    def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
+        lengths = rows.column("length").to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         spare = len(fill) * capacity - int(lengths.sum())
         proven = spare >= capacity and len(fill) == lower_bound(lengths, capacity)
-        rows = rows.drop(columns="_g")
-        rows["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
-        rows["offset"] = offsets
-        rows["_open"] = False if final or proven else (capacity - fill > GAP)[bins]
-        return rows
+        open_bins = np.zeros(len(fill), bool) if final or proven else capacity - fill > GAP
+        rows = rows.drop_columns(["_g"])
+        rows = rows.append_column("sequence_id", pa.array((turn << 56) + (key[0].as_py() << 24) + bins, pa.int64()))
+        return rows.append_column("offset", pa.array(offsets, pa.int64())).append_column("_open", pa.array(open_bins[bins]))
 
     return pack_group
 
@@ -150,7 +148,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
 
         dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
         packed = stage_table(
-            dealt.groupBy("_g").applyInPandas(group_packer(capacity, turn, final), f"{schema}, sequence_id long, offset long, _open boolean"), f"pack-{turn}"
+            dealt.groupBy("_g").applyInArrow(group_packer(capacity, turn, final), f"{schema}, sequence_id long, offset long, _open boolean"), f"pack-{turn}"
         )
         out.append(packed.filter(~F.col("_open")).drop("_open"))
         if final:
