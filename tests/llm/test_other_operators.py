@@ -139,11 +139,11 @@ def near_copies(seed, groups=6, copies=25):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "long"), [(1, 2), (2, 4), (3, 32), (4, 8)])
-def test_jaccard_components(spark, seed, long):
+@pytest.mark.parametrize(("seed", "long", "k", "percent"), [(1, 2, 4, 85), (2, 4, 4, 85), (3, 32, 4, 85), (4, 8, 5, 80), (5, 3, 5, 80)])
+def test_jaccard_components(spark, seed, long, k, percent):
     texts = near_copies(seed)
-    sizes, want = brute_components(texts)
-    got = {r.doc_id: r for r in jaccard_join.join_components(documents(spark, texts), long=long).collect()}
+    sizes, want = brute_components(texts, k, percent)
+    got = {r.doc_id: r for r in jaccard_join.join_components(documents(spark, texts), k=k, percent=percent, long=long).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == want
 
