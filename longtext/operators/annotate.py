@@ -32,7 +32,7 @@ def depths(tokens: DataFrame, guard: int = 200) -> DataFrame:
 
     def climb(i: Column, head: Column) -> Column:
         steps = F.aggregate(
-            F.sequence(F.lit(1), F.lit(guard)),
+            F.sequence(F.lit(1), F.least(F.lit(guard), F.size("all"))),  # no path in a tree is longer than its sentence
             F.struct(i.alias("at"), F.lit(0).alias("d")),
             lambda a, _: F.when(F.coalesce(head[a["at"]], a["at"]) == a["at"], a).otherwise(F.struct(head[a["at"]].alias("at"), (a["d"] + 1).alias("d"))),
         )
