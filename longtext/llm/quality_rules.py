@@ -59,12 +59,12 @@ def rules(docs: DataFrame, **kw) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, **kw) -> DataFrame:
-    """docs without the rejected ones; columns unchanged.
+    """docs without the rejected ones, their text without the boilerplate lines of their host; other columns unchanged.
 
-    The condition names _row, which no filter passes: below it, kept would be copied into the lambdas
-    that it is made of and its word lists made anew for every element.
+    Verdicts are those of the original text. The condition names _row, which no filter passes: below it, kept
+    would be copied into the lambdas that it is made of and its word lists made anew for every element.
     """
-    return judged(docs, **kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, rewrite=True, **kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def judged(
@@ -75,13 +75,15 @@ def judged(
     share: float = LINE_SHARE,
     documents: int = LINE_DOCUMENTS,
     boilerplate: float = MOST_BOILERPLATE,
+    rewrite: bool = False,
 ) -> DataFrame:
     """The named columns of docs (all by default) with _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept.
 
     Each line's normalised hash counts once per document; per host, lines found in more than
     max(documents, share * documents of the host) are boilerplate. A document is kept if it passes the
     base rules and is not depleted by the removal of its boilerplate. Counts are combined per task before
-    they are shuffled by (host, hash), so a hot host or line makes no large group.
+    they are shuffled by (host, hash), so a hot host or line makes no large group. With rewrite, the text
+    column goes out without its boilerplate lines; all counts are of the original text.
 
     Null and empty texts have zero counts and fail. A null host is a host of its own. Rows are kept apart
     whatever their ids: repeated rows each get a verdict. An empty table gives an empty result.
@@ -105,6 +107,9 @@ def judged(
         F.lit(0),
         lambda n, x: n + F.when(F.array_contains("_common", line_hash(x)), F.regexp_count(x, F.lit(WORD))).otherwise(0),
     )
+    if rewrite:
+        rest = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_common", line_hash(x))), "\n")
+        kept = [F.when(F.col("_common").isNotNull(), rest).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
     out = rows.select(
         *kept,
         F.size("_words").cast("long").alias("n_words"),

@@ -174,6 +174,13 @@ def test_quality_rules(spark):
     assert quality_rules.clean_documents(docs).columns == docs.columns
 
 
+def test_boilerplate_lines_are_removed(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    texts = [f"Common  line of words here\n\n{t}\n COMMON line of words HERE\n" for t in own] + ["only mine " + " ".join(f"v{j}" for j in range(30))]
+    out = {x.doc_id: x.text for x in quality_rules.clean_documents(documents(spark, texts, ["h"] * len(texts))).collect()}
+    assert out == {i: f"\n{t}\n" for i, t in enumerate(own)} | {40: texts[40]}
+
+
 def test_empty_tables_and_clashing_columns(spark):
     none = spark.createDataFrame([], DOCS)
     assert pii.sanitise(none).count() == mixing.mix(none).count() == mixing.mixed_documents(none).count() == quality_rules.rules(none).count() == secrets.scan(none).count() == 0
