@@ -14,6 +14,8 @@ MOST_REPEATED_PERCENT = 30
 LINE_SHARE, LINE_DOCUMENTS = 0.1, 20
 #: A document is depleted when boilerplate makes up more than this share of its words, or leaves fewer than LEAST_WORDS.
 MOST_BOILERPLATE = 0.5
+#: Boilerplate lines are looked up in one list per host up to so many lines of a host and in all; beyond, documents are joined to their own, frequent lines dealt over SALTS.
+LISTED, LISTED_ALL, SALTS = 1_000, 100_000, 16
 
 
 def lines_with_words(text: Column) -> Column:
@@ -61,10 +63,11 @@ def rules(docs: DataFrame, **kw) -> DataFrame:
 def clean_documents(docs: DataFrame, **kw) -> DataFrame:
     """docs without the rejected ones, their text without the boilerplate lines of their host; other columns unchanged.
 
-    Verdicts are those of the original text. The condition names _row, which no filter passes: below it, kept
+    Here a line is boilerplate by the number of texts alone, whatever the size of the host; equal texts count once,
+    so that copies, of which a later stage keeps one, are not taken for boilerplate. Verdicts are those of the original text. The condition names _row, which no filter passes: below it, kept
     would be copied into the lambdas that it is made of and its word lists made anew for every element.
     """
-    return judged(docs, rewrite=True, **kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, rewrite=True, **{"share": 0, "once": True} | kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def judged(
@@ -76,6 +79,8 @@ def judged(
     documents: int = LINE_DOCUMENTS,
     boilerplate: float = MOST_BOILERPLATE,
     rewrite: bool = False,
+    once: bool = False,
+    listed: int = LISTED,
 ) -> DataFrame:
     """The named columns of docs (all by default) with _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept.
 
@@ -83,7 +88,9 @@ def judged(
     max(documents, share * documents of the host) are boilerplate. A document is kept if it passes the
     base rules and is not depleted by the removal of its boilerplate. Counts are combined per task before
     they are shuffled by (host, hash), so a hot host or line makes no large group. With rewrite, the text
-    column goes out without its boilerplate lines; all counts are of the original text.
+    column goes out without its boilerplate lines; all counts are of the original text. With once, equal texts
+    of a host count as one document. Where a host has more than `listed` boilerplate lines, each text is
+    joined to those it holds.
 
     Null and empty texts have zero counts and fail. A null host is a host of its own. Rows are kept apart
     whatever their ids: repeated rows each get a verdict. An empty table gives an empty result.
@@ -92,15 +99,24 @@ def judged(
     kept = [F.col(f"`{c}`") for c in columns]
     rows = docs.select(*kept, F.col(f"`{host}`").alias("_host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
 
+    keys = {"_k": F.struct("_host"), "_key": F.md5("_text")}
     hashes = F.array_distinct(F.transform(lines_with_words(F.col("_text")), line_hash))
-    seen = rows.select("_host", F.explode(hashes).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > documents)
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("in_host"))
-    a, b = seen.alias("a"), sizes.alias("b")
-    common = a.join(b, F.col("a._host").eqNullSafe(F.col("b._host"))).filter(F.col("n") > F.lit(share) * F.col("in_host"))
-    common = common.groupBy("a._host").agg(F.collect_list("h").alias("_common")).select(F.struct("_host").alias("_k"), "_common")
-    common = stage_table(common, "quality-lines")
-
-    rows = join_small(rows.withColumn("_k", F.struct("_host")), common, "_k", "left")
+    lines = rows.select(keys["_k"].alias("_k"), keys["_key"].alias("_key"), hashes.alias("h"))
+    counted = (lines.dropDuplicates(["_k", "_key"]) if once else lines).select("_k", F.explode("h").alias("h")).groupBy("_k", "h").agg(F.count("*").alias("n"))
+    common = counted.filter(F.col("n") > documents)
+    if share:
+        sizes = lines.groupBy("_k").agg(F.count("*").alias("in_host"))
+        common = common.join(sizes, "_k").filter(F.col("n") > F.lit(share) * F.col("in_host"))
+    common = stage_table(common.select("_k", "h"), "quality-lines")
+
+    longest, total = common.groupBy("_k").count().agg(F.max("count"), F.sum("count")).first()
+    if (longest or 0) <= listed and (total or 0) <= LISTED_ALL:
+        rows = join_small(rows.withColumn("_k", keys["_k"]), common.groupBy("_k").agg(F.collect_list("h").alias("_common")), "_k", "left")
+    else:
+        held = lines.select("_k", "_key", F.explode("h").alias("h")).withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+        dealt = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        held = held.join(dealt, ["_k", "h", "_salt"]).groupBy("_k", "_key").agg(F.collect_set("h").alias("_common"))
+        rows = join_small(rows.withColumns(keys), stage_table(held, "quality-held"), ["_k", "_key"], "left", 50_000)
     rows = rows.withColumns({"_words": F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), "_lines": lines_with_words(F.col("_text"))})
     removed = F.aggregate(
         "_lines",

@@ -181,6 +181,17 @@ def test_boilerplate_lines_are_removed(spark):
     assert out == {i: f"\n{t}\n" for i, t in enumerate(own)} | {40: texts[40]}
 
 
+def test_boilerplate_of_large_hosts(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(300)]
+    texts = [f"read more of this here\n{t}" for t in own[:25]] + own[25:] + ["copied page\n" + " ".join(f"c{j}" for j in range(30))] * 30
+    want = own + texts[300:]
+    for host in ("h", None):
+        docs = documents(spark, texts, [host] * len(texts))
+        for listed in (quality_rules.LISTED, 0):
+            out = {x.doc_id: x.text for x in quality_rules.clean_documents(docs, listed=listed).collect()}
+            assert out == dict(enumerate(want)), (host, listed)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     none = spark.createDataFrame([], DOCS)
     assert pii.sanitise(none).count() == mixing.mix(none).count() == mixing.mixed_documents(none).count() == quality_rules.rules(none).count() == secrets.scan(none).count() == 0
