@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, match_spans, stage_table, table
+from .common import join_small, match_spans, small_enough, stage_table, table
 from .secrets import joined_spans
 
 # The base patterns. Possessive forms and lookbehinds match what the plain forms match, in linear time.
@@ -22,6 +22,8 @@ CONTEXT = 80
 SUPPORT = 3
 #: Share of a value's information that a term may disclose: from the first on it is generalised, from the second on removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: The documents of a term are dealt over so many groups where revealing terms are too many to broadcast.
+SALTS = 16
 
 
 def luhn(digits: Column) -> Column:
@@ -39,6 +41,9 @@ def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+VALUE = {"email": lambda m: F.lower(m), "ip": lambda m: m, "card": digits_of, "phone": digits_of}
+
+
 def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     """Add arrays email, ip, card, phone of structs (s, e, m)."""
     found = match_spans(docs, text, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE})
@@ -113,10 +118,9 @@ def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     columns = docs.columns if columns is None else columns
     whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     found = base_spans(whole)
-    value = {"email": lambda m: F.lower(m), "ip": lambda m: m, "card": digits_of, "phone": digits_of}
 
     def named(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), value[kind](x["m"])).alias("name"), x["s"].alias("s"), x["e"].alias("e")))
+        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), VALUE[kind](x["m"])).alias("name"), x["s"].alias("s"), x["e"].alias("e")))
 
     found = found.withColumn("_all", F.concat(*[named(k) for k in KINDS]))
     near = F.when(F.size("_all") > 0, F.flatten(F.transform("_all", lambda x: context_terms(F.col("_text"), x))))
@@ -166,23 +170,83 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data and revealing terms taken out of the text; columns and rows unchanged.
+def tagged(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("tag")))
+
+
+def without_values(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _key (of the text), _names (the protected values in it) and _text, the text with its values replaced by tags."""
+    found = base_spans(docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    named = lambda kind: F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), VALUE[kind](x["m"])))
+    names = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+    spans = F.array_sort(F.concat(*[tagged(k) for k in KINDS]))
+    return found.withColumns({"_key": F.unhex(F.md5("_text")), "_names": names, "_spans": spans}).withColumn("_text", redacted(F.col("_text"), F.col("_spans"))).drop(*KINDS, "_spans")
+
+
+def pieces(text: Column, of) -> Column:
+    """of(terms, gaps) of a text whose values are tagged: gap i is before term i, the last one after them all."""
+    bound = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("g"))
+    return F.transform(F.array(bound), lambda x: of(x["m"], x["g"]))[0]
+
 
-    Values become [EMAIL], [IP], [CARD], [PHONE]; a revealing term becomes [TERM] or, from REMOVE on, goes.
-    A null text stays null. Spans depend on the text alone, so they are found by its md5 and the text is
-    read twice rather than stored.
+def is_tag(term: Column, gaps: Column, i: Column) -> Column:
+    return term.isin(*[k.upper() for k in KINDS]) & F.endswith(F.get(gaps, i), F.lit("[")) & F.startswith(F.get(gaps, i + 1), F.lit("]"))
+
+
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, in lower case, without the tags of values."""
+    return pieces(text, lambda m, g: F.array_distinct(F.transform(F.filter(m, lambda x, i: ~is_tag(x, g, i)), lambda x: F.lower(x))))
+
+
+def revealing_terms(found: DataFrame) -> DataFrame:
+    """(term, r): the terms of without_values() that give some value away; r says whether the term goes altogether.
+
+    Documents are counted as a whole: n of them, n_t with the term, n_v with the value, n_tv with both, u different
+    texts with both. Copies are put together before pairs are made; all counts are combined per task.
     """
-    terms = revealing_spans(*detect(docs, text, []), "_key")
-    rows = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = with_terms(base_spans(rows).withColumn("_key", F.md5("_text")), terms, "_key")
+    held = found.filter(F.size("_names") > 0).groupBy("_key").agg(F.count("*").alias("copies"), F.first("_names").alias("v"), F.first(terms_of(F.col("_text"))).alias("t"))
+    held = stage_table(held, "pii-held")
+    pairs = held.select("copies", "t", F.explode("v").alias("entity")).select("copies", "entity", F.explode("t").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_tv"), F.count("*").alias("u")).filter(F.col("u") >= SUPPORT)
+    values = held.select("copies", F.explode("v").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_v"))
+    heard = found.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    known = pairs.join(values, "entity").join(heard, "term").crossJoin(F.broadcast(found.agg(F.count("*").alias("n")))).filter("n > n_v")
+    disclosure = 1 + F.log(F.col("n_tv") / F.col("n_t")) / F.log(F.col("n") / F.col("n_v"))
+    told = known.groupBy("term").agg(F.max(disclosure).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return stage_table(told.select("term", (F.col("disclosure") >= REMOVE).alias("r")), "pii-reveals")
+
+
+def terms_by_text(found: DataFrame, reveals: DataFrame) -> DataFrame:
+    """(_key, _gone, _general): the revealing terms that each text holds, wherever it holds them. A common term's texts are dealt over SALTS."""
+    heard = found.select("_key", F.explode(terms_of(F.col("_text"))).alias("term"))
+    if small_enough(reveals, 200_000):
+        hits = heard.join(F.broadcast(reveals), "term")
+    else:
+        dealt = reveals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        hits = heard.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(dealt, ["term", "_salt"])
+    sets = [F.collect_set(F.when(c, F.col("term"))).alias(name) for name, c in (("_gone", F.col("r")), ("_general", ~F.col("r")))]
+    return stage_table(hits.groupBy("_key").agg(*sets), "pii-terms")
 
-    def tagged(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    gone = F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["r"], "").otherwise("[TERM]").alias("tag")))
-    rows = rows.withColumn("_spans", F.array_sort(F.concat(*[tagged(k) for k in KINDS], gone)))
-    return rows.withColumn(text, redacted(F.col(f"`{text}`"), F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with personal data and revealing terms taken out of the text; columns and rows unchanged.
+
+    Values become [EMAIL], [IP], [CARD], [PHONE]; a revealing term becomes [TERM] or, from REMOVE on, goes, at
+    all its places in every document. A null text stays null. What a text loses depends on the text alone, so
+    it is found by its md5 and the text is read again rather than stored.
+    """
+    found = without_values(docs.select(F.col(f"`{text}`")), text)
+    terms = terms_by_text(found, revealing_terms(found))
+    rows = join_small(without_values(docs, text), terms, "_key", "left", 50_000)
+
+    def marked(m: Column, g: Column) -> Column:
+        low = lambda x: F.lower(x)
+        new = lambda x: F.when(F.array_contains("_gone", low(x)), "").when(F.array_contains("_general", low(x)), "[TERM]").otherwise(x)
+        body = F.transform(m, lambda x, i: F.concat(F.get(g, i), F.when(is_tag(x, g, i), x).otherwise(new(x))))
+        return F.concat(F.array_join(body, ""), F.element_at(g, -1))
+
+    out = F.when(F.col(f"`{text}`").isNotNull(), F.when(F.col("_gone").isNotNull(), pieces(F.col("_text"), marked)).otherwise(F.col("_text")))
+    return rows.withColumn(text, out).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

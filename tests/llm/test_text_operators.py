@@ -108,6 +108,14 @@ def test_pii_terms_and_redaction(spark):
     assert list(out[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_pii_terms_far_from_the_value(spark):
+    fill = "plain text about nothing much " * 8
+    texts = [f"Zyxvut heads page {i} {fill} write to a.b@c.de [EMAIL] {i}" for i in range(6)] + [f"{fill} zyxvut once more"] + ["plain text about nothing much page write heads"] * 60
+    out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
+    assert not [i for i, t in out.items() if "zyxvut" in t.lower()]
+    assert "[EMAIL] [EMAIL] 0" in out[0] and out[7] == texts[7] and out[6].startswith(fill)
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
