@@ -22,6 +22,8 @@ CONTEXT = 80
 SUPPORT = 3
 #: Share of a value's information that a term may disclose: from the first on it is generalised, from the second on removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: Texts in which each term is taken to stand without the value besides those seen, so that one text alone does not prove a full disclosure.
+DOUBT = 1
 #: The documents of a term are dealt over so many groups where revealing terms are too many to broadcast.
 SALTS = 16
 
@@ -202,16 +204,19 @@ def revealing_terms(found: DataFrame) -> DataFrame:
     """(term, r): the terms of without_values() that give some value away; r says whether the term goes altogether.
 
     Documents are counted as a whole: n of them, n_t with the term, n_v with the value, n_tv with both, u different
-    texts with both. Copies are put together before pairs are made; all counts are combined per task.
+    texts with both. A term discloses PMI / IC = 1 + log(P) / log(n / n_v) of a value's information, where
+    P = n_tv / (n_t + DOUBT n_tv / u) is the smoothed share of the term's documents that hold the value: a
+    pair of one text counts with half its weight, however often that text is copied. Copies are put together before pairs are made; all counts are combined per task.
     """
     held = found.filter(F.size("_names") > 0).groupBy("_key").agg(F.count("*").alias("copies"), F.first("_names").alias("v"), F.first(terms_of(F.col("_text"))).alias("t"))
     held = stage_table(held, "pii-held")
     pairs = held.select("copies", "t", F.explode("v").alias("entity")).select("copies", "entity", F.explode("t").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_tv"), F.count("*").alias("u")).filter(F.col("u") >= SUPPORT)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_tv"), F.count("*").alias("u"))
     values = held.select("copies", F.explode("v").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_v"))
     heard = found.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     known = pairs.join(values, "entity").join(heard, "term").crossJoin(F.broadcast(found.agg(F.count("*").alias("n")))).filter("n > n_v")
-    disclosure = 1 + F.log(F.col("n_tv") / F.col("n_t")) / F.log(F.col("n") / F.col("n_v"))
+    seen = F.col("n_tv") / (F.col("n_t") + DOUBT * F.col("n_tv") / F.col("u"))
+    disclosure = 1 + F.log(seen) / F.log(F.col("n") / F.col("n_v"))
     told = known.groupBy("term").agg(F.max(disclosure).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
     return stage_table(told.select("term", (F.col("disclosure") >= REMOVE).alias("r")), "pii-reveals")
 

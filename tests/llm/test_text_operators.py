@@ -116,6 +116,14 @@ def test_pii_terms_far_from_the_value(spark):
     assert "[EMAIL] [EMAIL] 0" in out[0] and out[7] == texts[7] and out[6].startswith(fill)
 
 
+def test_pii_terms_of_values_seen_once(spark):
+    common = ["plain text about nothing much"] * 60
+    texts = ["Zyxvut text about nothing x.y@c.de", *["Qwopil plain about much +1 (499) 555-6503"] * 3, "qwopil plain text", *common]
+    out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
+    assert out[0] == "[TERM] text about nothing [EMAIL]"
+    assert out[1] == "Qwopil plain about much [PHONE]" and out[4] == texts[4] and out[5] == texts[5]
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
