@@ -51,12 +51,13 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
     """Near-duplicate texts: minhash bands give candidates, the edit ratio of the first PREFIX characters decides.
 
     Equal texts are one candidate. In each band bucket the members meet the bucket's least member first.
-    Where that leaves a bucket in several components, their least members meet each other: pairs are made
-    of components, not of members, so a large group of copies costs its size once.
+    Where that leaves a bucket in several components, their least members meet each other. Members of
+    components that are then still apart meet in all the pairs not yet compared whose lengths allow the
+    ratio, so that every candidate is confirmed, refused or within one component already.
     """
     rows = df.filter(F.length(text) >= LEAST_CHARS).select(F.col(key).alias("i"), F.col(text).alias("t"))
     rows = rows.groupBy(F.md5("t").alias("h")).agg(F.min("i").alias("i"), F.first("t").alias("t"))
-    banded = save(rows.select("i", F.posexplode(band_keys(shingles(F.col("t")))).alias("band", "k")), "bands")
+    banded = save(rows.select("i", F.least(F.length("t"), F.lit(PREFIX)).alias("n"), F.posexplode(band_keys(shingles(F.col("t")))).alias("band", "k")), "bands")
     heads = save(rows.select("i", F.substring("t", 1, PREFIX).alias("t")), "heads")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -64,14 +65,26 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
         return pairs.join(x, "a").join(y, "b").filter(indel_ratio("x", "y") >= least).select("a", "b")
 
     first = banded.groupBy("band", "k").agg(F.min("i").alias("a"))
-    links = save(confirmed(banded.join(first, ["band", "k"]).filter("a < i").select("a", F.col("i").alias("b")).distinct()), "near-0")
-    labels = connected_components(links, "a", "b", save)
-    named = banded.join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("c", F.coalesce("component", "i"))
+    met = save(banded.join(first, ["band", "k"]).filter("a < i").select("a", F.col("i").alias("b")).distinct(), "near-met")
+    links = save(confirmed(met), "near-0")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        labels = connected_components(links, "a", "b", save)
+        return banded.join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("c", F.coalesce("component", "i"))
+
+    named = labelled(links)
     parts = save(named.groupBy("band", "k", "c").agg(F.min("i").alias("i")), "near-parts")
     x, y = parts.select("band", "k", F.col("i").alias("a")), parts.select("band", "k", F.col("i").alias("b"))
-    pairs = x.join(y, ["band", "k"]).filter("a < b").select("a", "b").distinct()
-    more = confirmed(pairs)
-    return links.union(more).distinct().withColumn("reason", F.lit("text"))
+    pairs = save(x.join(y, ["band", "k"]).filter("a < b").select("a", "b").distinct(), "near-pairs")
+    links = save(links.union(confirmed(pairs)).distinct(), "near-1")
+
+    named = save(labelled(links), "near-named")
+    apart = named.groupBy("band", "k").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c != last").select("band", "k")
+    held = named.join(apart, ["band", "k"])
+    x, y = (held.select("band", "k", *[F.col(n).alias(n + side) for n in "inc"]) for side in "xy")
+    rest = x.join(y, ["band", "k"]).filter("ix < iy and cx != cy").filter(200 * F.least("nx", "ny") >= least * (F.col("nx") + F.col("ny")))
+    rest = rest.select(F.col("ix").alias("a"), F.col("iy").alias("b")).distinct().join(met.union(pairs), ["a", "b"], "left_anti")
+    return links.union(confirmed(rest)).distinct().withColumn("reason", F.lit("text"))
 
 
 def clusters(df: DataFrame, edges: DataFrame, save, key: str = "id", quality: str = "quality_score", words: str = "word_count") -> DataFrame:

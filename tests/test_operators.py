@@ -30,6 +30,13 @@ def test_clusters(spark):
     assert [k for k, v in sorted(found.items()) if v[1]] == ["c", "x"]
 
 
+def test_near_texts_link_through_any_member(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "band_keys", lambda parts: F.array(F.lit(1)))
+    rows = [("a", "a" * 300), ("b", "b" * 24 + "a" * 276), ("c", "b" * 24 + "a" * 252 + "c" * 24)]
+    edges = dedupe.text_edges(spark.createDataFrame(rows, "id string, text string"), save).select("a", "b").collect()
+    assert {tuple(e) for e in edges} == {("a", "b"), ("b", "c")}
+
+
 def test_near_texts(spark):
     words = [f"w{i * 7919 % 997}" for i in range(150)]
     near = [*words[:70], "other", *words[71:]]
