@@ -39,10 +39,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of one Arrow batch that goes to a Python function: long texts make small batches.
+BATCH_ROWS, BATCH_LIMIT = 2_000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors where their PYTHONPATH does not have it."""
+    """Send this package to the executors where their PYTHONPATH does not have it, and bound Arrow batches where the session does not."""
     import shutil
 
+    for name, value, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_LIMIT, str(2**31 - 1))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_longtext_sent", False):
         return
@@ -51,6 +58,43 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._longtext_sent = True
 
 
+def give_back() -> None:
+    """In a Python worker: return freed memory to the system, so that idle workers hold little between stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # not glibc
+        pass
+
+
+def tidy(run):
+    """run, an iterator function over Arrow batches, which gives memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column _in beside the named columns, so that no name of the caller's can clash with an internal one."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), *[v.alias(k) for k, v in more.items()])
+
+
+def returned(columns: list[str], **new: Column) -> list[Column]:
+    """The caller's columns out of _in, some with new values."""
+    return [new.get(c, F.col("_in")[c]).alias(c) for c in columns]
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

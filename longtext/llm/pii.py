@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, match_spans, small_enough, stage_table, table
+from .common import carried, match_spans, returned, small_enough, stage_table, table
 from .secrets import joined_spans
 
 # The base patterns. Possessive forms and lookbehinds match what the plain forms match, in linear time.
@@ -16,16 +16,20 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 TERM = r"[\p{L}\p{N}]{3,}"
-#: Code points on either side of a protected value in which its terms are sought.
+#: Code points on either side of a protected value that tell its contexts apart.
 CONTEXT = 80
-#: Documents, and different contexts, that must share a pair before its estimate counts.
-SUPPORT = 3
-#: Share of a value's information that a term may disclose: from the first on it is generalised, from the second on removed.
+#: Different contexts in which an entity must meet a term before their estimate counts.
+SUPPORT = 2
+#: Contexts are counted up to this number, as bits of a mask: two that share a bit count as one.
+MASK = 62
+#: Share of an entity's information that a term may disclose: from the first on it is generalised, from the second on removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Texts in which each term is taken to stand without the value besides those seen, so that one text alone does not prove a full disclosure.
+#: Texts in which a term is taken to stand without the entity besides those seen, for a pair seen in one context.
 DOUBT = 1
-#: The documents of a term are dealt over so many groups where revealing terms are too many to broadcast.
-SALTS = 16
+#: Revealing terms up to so many are broadcast; beyond, the documents of a term are dealt over SALTS groups.
+MOST_SENT, SALTS = 200_000, 16
+
+SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -43,7 +47,14 @@ def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+#: The value that a span names, and the group it belongs to: the mail domain, the network, the issuer, the exchange.
 VALUE = {"email": lambda m: F.lower(m), "ip": lambda m: m, "card": digits_of, "phone": digits_of}
+GROUP = {
+    "email": lambda v: F.regexp_replace(v, "^[^@]*@", "@"),
+    "ip": lambda v: F.regexp_replace(v, "[0-9]+$", "*"),
+    "card": lambda v: F.concat(F.substring(v, 1, 6), F.lit("*")),
+    "phone": lambda v: F.regexp_replace(v, "....$", "*"),
+}
 
 
 def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
@@ -58,211 +69,171 @@ def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     )
 
 
-def short_spans(text: Column, shift: Column) -> Column:
-    """Spans (s, e, term) of the terms of a short text, moved by shift."""
-
-    def walk(x: Column) -> Column:
-        return F.when(
-            F.size(x["m"]) > 0,
-            F.aggregate(
-                F.sequence(F.lit(0), F.size(x["m"]) - 1),
-                F.struct(F.lit(0).alias("o"), F.array().cast("array<struct<s:int,e:int,term:string>>").alias("a")),
-                lambda s, i: F.struct(
-                    (s["o"] + F.length(x["g"][i]) + F.length(x["m"][i])).alias("o"),
-                    F.concat(
-                        s["a"],
-                        F.array(
-                            F.struct(
-                                (x["p"] + s["o"] + F.length(x["g"][i])).alias("s"),
-                                (x["p"] + s["o"] + F.length(x["g"][i]) + F.length(x["m"][i])).alias("e"),
-                                F.lower(x["m"][i]).alias("term"),
-                            )
-                        ),
-                    ).alias("a"),
-                ),
-                lambda s: s["a"],
-            ),
-        ).otherwise(F.array().cast("array<struct<s:int,e:int,term:string>>"))
-
-    bound = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("g"), shift.alias("p"))
-    return F.flatten(F.transform(F.array(bound), walk))
-
-
-def context_terms(text: Column, entity: Column) -> Column:
-    """Terms near one protected value (struct kind, value, s, e): structs (entity, context, s, e, term). Words cut by the window's edge are left out."""
-    at = F.greatest(entity["s"] - CONTEXT, F.lit(0))
-    left, right = F.substring(text, at + 1, entity["s"] - at), F.substring(text, entity["e"] + 1, F.lit(CONTEXT))
-    terms = F.concat(
-        F.filter(short_spans(left, at), lambda t: (t["s"] > at) | (at == 0)),
-        F.filter(short_spans(right, entity["e"]), lambda t: t["e"] < entity["e"] + CONTEXT),
-    )
-    return F.transform(
-        terms,
-        lambda t: F.struct(
-            entity["name"].alias("entity"), F.xxhash64(left, right).alias("context"), t["s"].alias("s"), t["e"].alias("e"), t["term"].alias("term")
-        ),
-    )
-
-
-def detect(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, reveals): spans of each row of docs and the terms that give protected values away.
+def with_values(docs: DataFrame, text: str) -> DataFrame:
+    """Stored rows of docs: _in (the caller's columns), _row, arrays email, ip, card, phone, and _text, the text or ''."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    found = base_spans(carried(docs, _text=whole)).drop("_text").withColumn("_row", F.monotonically_increasing_id())
+    stored = stage_table(found, "pii-rows")
+    return stored.withColumn("_text", F.coalesce(F.col("_in")[text].cast("string"), F.lit("")))
 
-    rows: _row, _key (md5 of the text), the named columns (all by default), arrays email, ip, card, phone of (s, e, m), and near:
-    the terms around them. reveals: entity, term, disclosure. With n documents, n_t holding a term, n_v a
-    value and n_tv the term beside the value, a term discloses PMI / IC = log(n_tv n / (n_t n_v)) /
-    log(n / n_v) of the value's information. All documents count; a pair needs SUPPORT documents and
-    SUPPORT different contexts, so copies of one passage prove nothing.
 
-    Null and empty texts have no spans. Rows are told apart by _row, not by their id: repeated and null
-    ids are kept apart. Counting is pre-aggregated per task before any shuffle, so neither a value nor a
-    term held by a third of all rows gathers in one task.
-    """
-    columns = docs.columns if columns is None else columns
-    whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    found = base_spans(whole)
-
-    def named(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), VALUE[kind](x["m"])).alias("name"), x["s"].alias("s"), x["e"].alias("e")))
-
-    found = found.withColumn("_all", F.concat(*[named(k) for k in KINDS]))
-    near = F.when(F.size("_all") > 0, F.flatten(F.transform("_all", lambda x: context_terms(F.col("_text"), x))))
-    found = found.withColumn("near", near)
-    found = found.withColumn("near", F.filter("near", lambda t: ~F.exists("_all", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
-    rows = found.select(*[F.col(f"`{c}`") for c in columns], F.when(F.size("near") > 0, F.md5("_text")).alias("_key"), *KINDS, "near", F.transform("_all", lambda x: x["name"]).alias("_names"))
-    rows = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-
-    pairs = rows.filter(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.entity", "x.context", "x.term")
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("_row").alias("n_tv"), F.count_distinct("context").alias("n_context"))
-    pairs = stage_table(pairs.filter((F.col("n_tv") >= SUPPORT) & (F.col("n_context") >= SUPPORT)), "pii-pairs")
-    values = rows.select(F.explode(F.array_distinct("_names")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_v"))
-    heard = whole.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    heard = heard.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count("*").alias("n"))
-    known = pairs.join(values, "entity").join(heard, "term").crossJoin(F.broadcast(total))
-    information = F.log(F.col("n") / F.col("n_v"))
-    told = F.log(F.col("n_tv") * F.col("n") / (F.col("n_t") * F.col("n_v")))
-    known = known.withColumn("disclosure", F.when(F.col("n") > F.col("n_v"), told / information))
-    return rows, known.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
-
-
-def revealing_spans(rows: DataFrame, reveals: DataFrame, by: str) -> DataFrame:
-    """(by, term): the revealing terms of each row or text that has any, an array of (s, e, r); r says whether the term goes altogether."""
-    near = rows.filter(F.size("near") > 0).select(by, F.explode("near").alias("x")).select(by, "x.entity", "x.term", "x.s", "x.e")
-    hits = join_small(near, stage_table(reveals, "pii-reveals"), ["entity", "term"], "inner")
-    hits = hits.groupBy(by, "s", "e").agg(F.max(F.col("disclosure") >= REMOVE).alias("r"))
-    return stage_table(hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("term")), "pii-terms")
-
-
-def with_terms(rows: DataFrame, terms: DataFrame, by: str) -> DataFrame:
-    none = F.array().cast(terms.schema["term"].dataType)
-    return join_small(rows, terms, by, "left", 50_000).withColumn("term", F.coalesce("term", none))
+def holds_values() -> Column:
+    return F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """Text with sorted spans (s, e, tag) replaced; what overlaps an earlier span lengthens it."""
-    out = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("a")),
-        lambda s, x: F.when(
-            x["s"] >= s["at"],
-            F.struct(x["e"].alias("at"), F.concat(s["a"], F.array(F.substring(text, s["at"] + 1, x["s"] - s["at"]), x["tag"])).alias("a")),
-        ).otherwise(F.struct(F.greatest(s["at"], x["e"]).alias("at"), s["a"].alias("a"))),
-        lambda s: F.concat(F.array_join(s["a"], ""), F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+def entities_of(text: Column) -> Column:
+    """Structs (name, bits) of each value of a row: the value, its group and its kind, each with the bit of the value's context."""
 
+    def each(kind: str) -> Column:
+        def named(x: Column) -> Column:
+            at = F.greatest(x["s"] - CONTEXT, F.lit(0))
+            context = F.md5(F.concat(F.substring(text, at + 1, x["s"] - at), F.lit("\x01"), F.substring(text, x["e"] + 1, F.lit(CONTEXT))))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.conv(F.substring(context, 1, 2), 16, 10).cast("int") % MASK)
+            value = VALUE[kind](x["m"])
+            names = F.array(F.concat(F.lit(f"{kind}="), value), F.concat(F.lit(f"{kind}~"), GROUP[kind](value)), F.lit(kind))
+            return F.transform(names, lambda n: F.struct(n.alias("name"), bit.alias("bits")))
 
-def tagged(kind: str) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("tag")))
+        return F.flatten(F.transform(kind, named))
 
+    return F.concat(*[each(k) for k in KINDS])
 
-def without_values(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _key (of the text), _names (the protected values in it) and _text, the text with its values replaced by tags."""
-    found = base_spans(docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    named = lambda kind: F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), VALUE[kind](x["m"])))
-    names = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
-    spans = F.array_sort(F.concat(*[tagged(k) for k in KINDS]))
-    return found.withColumns({"_key": F.unhex(F.md5("_text")), "_names": names, "_spans": spans}).withColumn("_text", redacted(F.col("_text"), F.col("_spans"))).drop(*KINDS, "_spans")
 
+def term_spans(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Add terms, an array of (s, e, m): the terms of the text that touch no value, for the wanted rows; null elsewhere."""
+    found = match_spans(rows.withColumn("_of", F.when(wanted, F.col("_text"))), "_of", {"terms": TERM}).drop("_of")
+    values = F.concat(*KINDS)
+    free = F.filter("terms", lambda t: ~F.exists(values, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    return found.withColumn("terms", F.when(wanted, F.when(holds_values(), free).otherwise(F.col("terms"))))
 
-def pieces(text: Column, of) -> Column:
-    """of(terms, gaps) of a text whose values are tagged: gap i is before term i, the last one after them all."""
-    bound = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("g"))
-    return F.transform(F.array(bound), lambda x: of(x["m"], x["g"]))[0]
 
+def lowered(terms: Column) -> Column:
+    return F.array_distinct(F.transform(terms, lambda t: F.lower(t)))
 
-def is_tag(term: Column, gaps: Column, i: Column) -> Column:
-    return term.isin(*[k.upper() for k in KINDS]) & F.endswith(F.get(gaps, i), F.lit("[")) & F.startswith(F.get(gaps, i + 1), F.lit("]"))
 
+def heard_terms(rows: DataFrame) -> DataFrame:
+    """(_row, term): the different terms of each row, in lower case, without those that touch a value."""
+    found = term_spans(rows, holds_values())
+    plain = lowered(F.regexp_extract_all(F.when(~holds_values(), F.col("_text")), F.lit(TERM), F.lit(0)))
+    return found.select("_row", F.explode(F.coalesce(plain, lowered(F.transform("terms", lambda t: t["m"])))).alias("term"))
 
-def terms_of(text: Column) -> Column:
-    """The different terms of a text, in lower case, without the tags of values."""
-    return pieces(text, lambda m, g: F.array_distinct(F.transform(F.filter(m, lambda x, i: ~is_tag(x, g, i)), lambda x: F.lower(x))))
 
+def revealing_terms(rows: DataFrame) -> DataFrame:
+    """(term, r): the terms of rows (see with_values) that give some protected entity away; r says whether the term goes altogether.
 
-def revealing_terms(found: DataFrame) -> DataFrame:
-    """(term, r): the terms of without_values() that give some value away; r says whether the term goes altogether.
+    Entities are the protected values, the groups they belong to and their kinds, so that what always stands
+    with new addresses of one kind is found as well as what stands with one address. Of n documents, n_t hold
+    a term, n_v an entity and n_tv both, anywhere in the text; u is the number of different contexts in which
+    the entity stands in those. A term discloses PMI / IC = 1 + log(P) / log(n / n_v) of the entity's
+    information, where P = n_tv / (n_t + DOUBT n_tv / u) is the smoothed share of the term's documents that
+    hold the entity. A pair needs SUPPORT contexts, so that copies of one passage prove nothing.
 
-    Documents are counted as a whole: n of them, n_t with the term, n_v with the value, n_tv with both, u different
-    texts with both. A term discloses PMI / IC = 1 + log(P) / log(n / n_v) of a value's information, where
-    P = n_tv / (n_t + DOUBT n_tv / u) is the smoothed share of the term's documents that hold the value: a
-    pair of one text counts with half its weight, however often that text is copied. Copies are put together before pairs are made; all counts are combined per task.
+    All documents count. Contexts are masks of bits and everything is combined per task before a shuffle, so
+    no entity or term, however frequent, gathers its rows in one task. Only entities with SUPPORT contexts are
+    paired with terms, and only the terms of such pairs are counted over the corpus.
     """
-    held = found.filter(F.size("_names") > 0).groupBy("_key").agg(F.count("*").alias("copies"), F.first("_names").alias("v"), F.first(terms_of(F.col("_text"))).alias("t"))
+    held = term_spans(rows.filter(holds_values()), F.lit(True))
+    held = held.select("_row", entities_of(F.col("_text")).alias("x"), lowered(F.transform("terms", lambda t: t["m"])).alias("t"))
     held = stage_table(held, "pii-held")
-    pairs = held.select("copies", "t", F.explode("v").alias("entity")).select("copies", "entity", F.explode("t").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_tv"), F.count("*").alias("u"))
-    values = held.select("copies", F.explode("v").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_v"))
-    heard = found.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(values, "entity").join(heard, "term").crossJoin(F.broadcast(found.agg(F.count("*").alias("n")))).filter("n > n_v")
+    entities = held.select("_row", F.explode("x").alias("x")).groupBy("_row", "x.name").agg(F.expr("bit_or(x.bits)").alias("bits"))
+    entities = stage_table(entities, "pii-entities")
+    values = entities.groupBy("name").agg(F.count("*").alias("n_v"), F.expr("bit_count(bit_or(bits))").alias("u")).filter(F.col("u") >= SUPPORT)
+    values = stage_table(values.select("name", "n_v"), "pii-values")
+    several = F.broadcast(values) if small_enough(values, MOST_SENT) else values
+    met = entities.join(several, "name").join(held.select("_row", "t"), "_row").select("name", "n_v", "bits", F.explode("t").alias("term"))
+    pairs = met.groupBy("name", "n_v", "term").agg(F.count("*").alias("n_tv"), F.expr("bit_count(bit_or(bits))").alias("u")).filter(F.col("u") >= SUPPORT)
+    pairs = stage_table(pairs, "pii-pairs")
+    wanted = stage_table(pairs.select("term").distinct(), "pii-terms")
+    heard = heard_terms(rows).select("term")
+    if small_enough(wanted, MOST_SENT):
+        heard = heard.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:
+        heard = heard.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
+    known = pairs.join(heard, "term").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).filter("n > n_v")
     seen = F.col("n_tv") / (F.col("n_t") + DOUBT * F.col("n_tv") / F.col("u"))
     disclosure = 1 + F.log(seen) / F.log(F.col("n") / F.col("n_v"))
     told = known.groupBy("term").agg(F.max(disclosure).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
     return stage_table(told.select("term", (F.col("disclosure") >= REMOVE).alias("r")), "pii-reveals")
 
 
-def terms_by_text(found: DataFrame, reveals: DataFrame) -> DataFrame:
-    """(_key, _gone, _general): the revealing terms that each text holds, wherever it holds them. A common term's texts are dealt over SALTS."""
-    heard = found.select("_key", F.explode(terms_of(F.col("_text"))).alias("term"))
-    if small_enough(reveals, 200_000):
+def terms_by_row(rows: DataFrame, reveals: DataFrame) -> DataFrame:
+    """(_row, gone, general): the revealing terms that each row holds, wherever it holds them. A common term's rows are dealt over SALTS."""
+    heard = heard_terms(rows)
+    if small_enough(reveals, MOST_SENT):
         hits = heard.join(F.broadcast(reveals), "term")
     else:
         dealt = reveals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        hits = heard.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(dealt, ["term", "_salt"])
-    sets = [F.collect_set(F.when(c, F.col("term"))).alias(name) for name, c in (("_gone", F.col("r")), ("_general", ~F.col("r")))]
-    return stage_table(hits.groupBy("_key").agg(*sets), "pii-terms")
+        hits = heard.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))).join(dealt, ["term", "_salt"])
+    sets = [F.collect_list(F.when(c, F.col("term"))).alias(name) for name, c in (("gone", F.col("r")), ("general", ~F.col("r")))]
+    return stage_table(hits.groupBy("_row").agg(*sets), "pii-hits")
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data and revealing terms taken out of the text; columns and rows unchanged.
+def detect(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of docs with all spans: _in (the caller's columns), _text, and arrays email, ip, card, phone, generalise, remove of (s, e, m).
+
+    The last two are the places of revealing terms (see revealing_terms), in whatever document they stand. What
+    a row holds is joined by _row; where few rows hold any, that side is broadcast.
 
-    Values become [EMAIL], [IP], [CARD], [PHONE]; a revealing term becomes [TERM] or, from REMOVE on, goes, at
-    all its places in every document. A null text stays null. What a text loses depends on the text alone, so
-    it is found by its md5 and the text is read again rather than stored.
+    Null and empty texts have no spans. Rows are told apart by _row, not by their id: repeated and null ids are
+    kept apart, and columns of any name are carried in _in. An empty table gives no rows. Work grows
+    linearly with a text's length, but for a text's terms times its own values.
     """
-    found = without_values(docs.select(F.col(f"`{text}`")), text)
-    terms = terms_by_text(found, revealing_terms(found))
-    rows = join_small(without_values(docs, text), terms, "_key", "left", 50_000)
+    rows = with_values(docs, text)
+    hits = terms_by_row(rows, revealing_terms(rows))
+    both = rows.join(F.broadcast(hits) if small_enough(hits, 50_000) else hits, "_row", "left")
+    found = term_spans(both, F.col("gone").isNotNull())
+    none = F.array().cast(SPAN)
+    pick = lambda names: F.coalesce(F.filter("terms", lambda t: F.array_contains(names, F.lower(t["m"]))), none)
+    return found.withColumns({"generalise": pick("general"), "remove": pick("gone")}).drop("terms", "gone", "general")
 
-    def marked(m: Column, g: Column) -> Column:
-        low = lambda x: F.lower(x)
-        new = lambda x: F.when(F.array_contains("_gone", low(x)), "").when(F.array_contains("_general", low(x)), "[TERM]").otherwise(x)
-        body = F.transform(m, lambda x, i: F.concat(F.get(g, i), F.when(is_tag(x, g, i), x).otherwise(new(x))))
-        return F.concat(F.array_join(body, ""), F.element_at(g, -1))
 
-    out = F.when(F.col(f"`{text}`").isNotNull(), F.when(F.col("_gone").isNotNull(), pieces(F.col("_text"), marked)).otherwise(F.col("_text")))
-    return rows.withColumn(text, out).select(*[F.col(f"`{c}`") for c in docs.columns])
+def redacted(text: Column, spans: Column) -> Column:
+    """Text with sorted spans (s, e, tag) replaced; what overlaps an earlier span lengthens it."""
+    out = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("a")),
+        lambda s, x: F.when(
+            x["s"] >= s["at"],
+            F.struct(x["e"].alias("at"), F.concat(s["a"], F.array(F.substring(text, s["at"] + 1, x["s"] - s["at"]), x["tag"])).alias("a")),
+        ).otherwise(F.struct(F.greatest(s["at"], x["e"]).alias("at"), s["a"].alias("a"))),
+        lambda s: F.concat(F.array_join(s["a"], ""), F.substring(text, s["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, out).otherwise(text)
+
+
+def tagged(kind: str, tag) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), tag(x["m"]).alias("tag")))
+
+
+def class_of(term: Column) -> Column:
+    """What a generalised term becomes: the class of strings it belongs to."""
+    return F.when(term.rlike(r"^\p{N}+$"), "[NUMBER]").when(term.rlike(r"\p{N}"), "[CODE]").otherwise("[WORD]")
+
+
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with personal data and revealing terms taken out of the text; columns and rows unchanged.
+
+    Values become [EMAIL], [IP], [CARD], [PHONE]; a revealing term becomes its class, [WORD], [NUMBER] or [CODE],
+    or, from REMOVE on, goes, at all its places in every document. A null text stays null; texts without
+    spans stay as they are. Repeated rows and ids, empty tables and clashing names: see detect().
+    """
+    values = [tagged(k, lambda m, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
+    spans = F.array_sort(F.concat(*values, tagged("generalise", class_of), tagged("remove", lambda m: F.lit(""))))
+    rows = detect(docs, text).withColumn("_spans", spans)
+    out = F.when(F.col("_in")[text].isNotNull(), redacted(F.col("_text"), F.col("_spans")))
+    return rows.select(*returned(docs.columns, **{text: out.cast(docs.schema[text].dataType)}))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, reveals = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
-    rows = with_terms(rows, revealing_spans(rows, reveals, "_row"), "_row")
+    """Personal data in every document: counts and digests of base spans, all spans, and counts of revealing terms. Edge cases: see detect()."""
+    rows = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [(i, k, k) for i, k in enumerate(KINDS)]
     return rows.select(
-        "doc_id",
+        F.col("_in.doc_id").alias("doc_id"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined_spans(base, False), 256).alias("base_sha256"),
-        joined_spans([*base, (4, "term", "term")], False).alias("spans"),
+        joined_spans([*base, (4, "generalise", "generalise"), (5, "remove", "remove")], False).alias("spans"),
+        F.size("generalise").cast("long").alias("n_generalised"),
+        F.size("remove").cast("long").alias("n_removed"),
     )
 
 
@@ -274,39 +245,37 @@ f AS (
   UNION ALL SELECT r, 1, 'ip', regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
          string_split_regex(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
   UNION ALL SELECT r, 2, 'card', regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
-  UNION ALL SELECT r, 3, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+  UNION ALL SELECT r, 3, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT r, 9, 'term', regexp_extract_all(t, '[\p{L}\p{N}]{3,}'), string_split_regex(t, '[\p{L}\p{N}]{3,}') FROM d),
 x AS (SELECT r, k, kind, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM f WHERE len(m) > 0),
 y AS (SELECT r, k, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS dg,
              (sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) - length(m))::BIGINT AS s,
              (sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i))::BIGINT AS e FROM x),
-b AS (SELECT *, kind || ':' || CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE dg END AS entity FROM y WHERE
+b AS (SELECT *, CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE dg END AS v FROM y WHERE
    k = 0 OR k = 1 AND len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INT), 999) > 255)) = 0
    OR k = 2 AND length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda j:
         CASE WHEN (length(dg) - j) % 2 = 1 THEN CASE WHEN substr(dg, j, 1)::INT > 4 THEN substr(dg, j, 1)::INT * 2 - 9 ELSE substr(dg, j, 1)::INT * 2 END
              ELSE substr(dg, j, 1)::INT END)) % 10 = 0
    OR k = 3 AND length(dg) BETWEEN 9 AND 15),
-w AS (SELECT b.r, b.entity, b.s AS bs, b.e AS be, greatest(b.s - 80, 0) AS a,
-             substr(d.t, greatest(b.s - 80, 0) + 1, b.s - greatest(b.s - 80, 0)) AS lt, substr(d.t, b.e + 1, 80) AS rt FROM b JOIN d USING (r)),
-h AS (SELECT r, entity, bs, be, a, a AS p, 0 AS side, md5(lt || chr(1) || rt) AS context,
-             regexp_extract_all(lt, '[\p{L}\p{N}]{3,}') AS m, string_split_regex(lt, '[\p{L}\p{N}]{3,}') AS g FROM w
-      UNION ALL SELECT r, entity, bs, be, a, be, 1, md5(lt || chr(1) || rt), regexp_extract_all(rt, '[\p{L}\p{N}]{3,}'), string_split_regex(rt, '[\p{L}\p{N}]{3,}') FROM w),
-u AS (SELECT r, entity, bs, be, a, p, side, context, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM h WHERE len(m) > 0),
-z AS (SELECT r, entity, be, a, side, context, lower(m) AS term,
-             p + sum(length(g) + length(m)) OVER (PARTITION BY r, entity, bs, side ORDER BY i) - length(m) AS s,
-             p + sum(length(g) + length(m)) OVER (PARTITION BY r, entity, bs, side ORDER BY i) AS e FROM u),
-n AS (SELECT * FROM z WHERE (side = 0 AND (s > a OR a = 0) OR side = 1 AND e < be + 80)
-        AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = z.r AND b.s < z.e AND z.s < b.e)),
-pr AS (SELECT entity, term, count(DISTINCT r) AS n_tv FROM n GROUP BY ALL HAVING count(DISTINCT r) >= 3 AND count(DISTINCT context) >= 3),
-ev AS (SELECT entity, count(DISTINCT r) AS n_v FROM b GROUP BY entity),
-tt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]{3,}'))) AS term FROM d) GROUP BY term),
-rv AS (SELECT entity, term FROM pr JOIN ev USING (entity) JOIN tt USING (term), (SELECT count(*) AS n FROM d)
-       WHERE n > n_v AND ln(n_tv * n / (n_t * n_v)) / ln(n / n_v) >= 0.8),
+w AS (SELECT r, s, e, lower(m) AS term FROM y WHERE k = 9 AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = y.r AND b.s < y.e AND y.s < b.e)),
+c AS (SELECT b.r, kind, v, CASE k WHEN 0 THEN regexp_replace(v, '^[^@]*@', '@') WHEN 1 THEN regexp_replace(v, '[0-9]+$', '*')
+             WHEN 2 THEN substr(v, 1, 6) || '*' ELSE regexp_replace(v, '....$', '*') END AS gr,
+             md5(substr(t, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) || chr(1) || substr(t, e + 1, 80)) AS h FROM b JOIN d ON b.r = d.r),
+q AS (SELECT r, unnest([kind || '=' || v, kind || '~' || gr, kind]) AS entity,
+             1::BIGINT << (((strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2, 1)) - 1) % 62)::INT AS bits FROM c),
+en AS (SELECT r, entity, bit_or(bits) AS bits FROM q GROUP BY ALL),
+ev AS (SELECT entity, count(*) AS n_v FROM en GROUP BY entity HAVING bit_count(bit_or(bits)) >= 2),
+dt AS (SELECT DISTINCT r, term FROM w),
+pr AS (SELECT entity, n_v, term, count(*) AS n_tv, bit_count(bit_or(bits)) AS u FROM en JOIN ev USING (entity) JOIN dt USING (r) GROUP BY ALL HAVING bit_count(bit_or(bits)) >= 2),
+tt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY term),
+rv AS (SELECT term, max(1 + ln(n_tv / (n_t + 1 * n_tv / u)) / ln(n / n_v)) AS x FROM pr JOIN tt USING (term), (SELECT count(*) AS n FROM d) WHERE n > n_v GROUP BY term),
 al AS (SELECT r, k, kind, s, e FROM b
-       UNION ALL SELECT DISTINCT r, 4, 'term', s::BIGINT, e::BIGINT FROM n JOIN rv USING (entity, term)),
+       UNION ALL SELECT r, CASE WHEN x >= 0.95 THEN 5 ELSE 4 END, CASE WHEN x >= 0.95 THEN 'remove' ELSE 'generalise' END, s, e FROM w JOIN rv USING (term) WHERE x >= 0.8),
 o AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+             count(*) FILTER (k = 4) AS n_generalised, count(*) FILTER (k = 5) AS n_removed,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM al GROUP BY r)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_generalised, 0) AS n_generalised, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN o USING (r)
 """
