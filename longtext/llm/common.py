@@ -106,13 +106,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int = 200_0
 
 
 def cumulative(lengths: Column) -> Column:
-    """Exclusive running sums of an array of ints, as an array; blocks of 256 keep long arrays near linear."""
+    """Exclusive running sums of an array of ints, as an array; blocks of 32 keep the copies that appending makes short."""
     inner = lambda part, base: F.aggregate(
         part,
         F.struct(base.alias("o"), F.array().cast("array<int>").alias("a")),
         lambda s, x: F.struct((s["o"] + x).alias("o"), F.concat(s["a"], F.array(s["o"])).alias("a")),
     )
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 256).cast("int")), lambda b: F.slice(lengths, b * 256 + 1, 256))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 32).cast("int")), lambda b: F.slice(lengths, b * 32 + 1, 32))
     return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(
         F.aggregate(
             blocks,
@@ -125,7 +125,7 @@ def cumulative(lengths: Column) -> Column:
     )
 
 
-def match_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+def match_spans(df: DataFrame, text: str, patterns: dict[str, str | Column]) -> DataFrame:
     """Add for each name an array of structs (s, e, m): start, end (code points, end exclusive) and text of every leftmost non-overlapping match.
 
     The text between matches (split) and the matches alternate, so starts are running sums of
@@ -140,7 +140,7 @@ def match_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
         return F.transform(F.col(f"{k}_m"), lambda m, i: F.struct(start(i).alias("s"), (start(i) + F.length(m)).alias("e"), m.alias("m")))
 
     some = {k: F.size(f"{k}_m") > 0 for k in patterns}
-    found = df.withColumns({f"{k}_m": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    found = df.withColumns({f"{k}_m": F.regexp_extract_all(F.col(text), p if isinstance(p, Column) else F.lit(p), F.lit(0)) for k, p in patterns.items()})
     gaps = found.withColumns({f"{k}_g": F.when(some[k], F.split(F.col(text), p, -1)) for k, p in patterns.items()})
     steps = gaps.withColumns({f"{k}_l": F.when(some[k], lengths(k)) for k in patterns})
     starts = steps.withColumns({f"{k}_c": F.when(some[k], cumulative(F.col(f"{k}_l"))) for k in patterns})

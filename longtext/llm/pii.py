@@ -98,23 +98,28 @@ def entities_of(text: Column) -> Column:
     return F.concat(*[each(k) for k in KINDS])
 
 
-def term_spans(rows: DataFrame, wanted: Column) -> DataFrame:
-    """Add terms, an array of (s, e, m): the terms of the text that touch no value, for the wanted rows; null elsewhere."""
-    found = match_spans(rows.withColumn("_of", F.when(wanted, F.col("_text"))), "_of", {"terms": TERM}).drop("_of")
-    values = F.concat(*KINDS)
-    free = F.filter("terms", lambda t: ~F.exists(values, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return found.withColumn("terms", F.when(wanted, F.when(holds_values(), free).otherwise(F.col("terms"))))
+def redacted(text: Column, spans: Column) -> Column:
+    """Text with sorted spans (s, e, tag) replaced; what overlaps an earlier span lengthens it."""
+    out = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("a")),
+        lambda s, x: F.when(
+            x["s"] >= s["at"],
+            F.struct(x["e"].alias("at"), F.concat(s["a"], F.array(F.substring(text, s["at"] + 1, x["s"] - s["at"]), x["tag"])).alias("a")),
+        ).otherwise(F.struct(F.greatest(s["at"], x["e"]).alias("at"), s["a"].alias("a"))),
+        lambda s: F.concat(F.array_join(s["a"], ""), F.substring(text, s["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
-def lowered(terms: Column) -> Column:
-    return F.array_distinct(F.transform(terms, lambda t: F.lower(t)))
+def tagged(kind: str, tag) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), tag(x["m"]).alias("tag")))
 
 
-def heard_terms(rows: DataFrame) -> DataFrame:
-    """(_row, term): the different terms of each row, in lower case, without those that touch a value."""
-    found = term_spans(rows, holds_values())
-    plain = lowered(F.regexp_extract_all(F.when(~holds_values(), F.col("_text")), F.lit(TERM), F.lit(0)))
-    return found.select("_row", F.explode(F.coalesce(plain, lowered(F.transform("terms", lambda t: t["m"])))).alias("term"))
+def terms_of() -> Column:
+    """The different terms of a row's text without its values, in lower case."""
+    bare = redacted(F.col("_text"), F.array_sort(F.concat(*[tagged(k, lambda m: F.lit(" ")) for k in KINDS])))
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
 def revealing_terms(rows: DataFrame) -> DataFrame:
@@ -131,8 +136,7 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
     no entity or term, however frequent, gathers its rows in one task. Only entities with SUPPORT contexts are
     paired with terms, and only the terms of such pairs are counted over the corpus.
     """
-    held = term_spans(rows.filter(holds_values()), F.lit(True))
-    held = held.select("_row", entities_of(F.col("_text")).alias("x"), lowered(F.transform("terms", lambda t: t["m"])).alias("t"))
+    held = rows.filter(holds_values()).select("_row", entities_of(F.col("_text")).alias("x"), terms_of().alias("t"))
     held = stage_table(held, "pii-held")
     entities = held.select("_row", F.explode("x").alias("x")).groupBy("_row", "x.name").agg(F.expr("bit_or(x.bits)").alias("bits"))
     entities = stage_table(entities, "pii-entities")
@@ -143,7 +147,7 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
     pairs = met.groupBy("name", "n_v", "term").agg(F.count("*").alias("n_tv"), F.expr("bit_count(bit_or(bits))").alias("u")).filter(F.col("u") >= SUPPORT)
     pairs = stage_table(pairs, "pii-pairs")
     wanted = stage_table(pairs.select("term").distinct(), "pii-terms")
-    heard = heard_terms(rows).select("term")
+    heard = rows.select(F.explode(terms_of()).alias("term"))
     if small_enough(wanted, MOST_SENT):
         heard = heard.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
@@ -156,22 +160,24 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
 
 
 def terms_by_row(rows: DataFrame, reveals: DataFrame) -> DataFrame:
-    """(_row, gone, general): the revealing terms that each row holds, wherever it holds them. A common term's rows are dealt over SALTS."""
-    heard = heard_terms(rows)
+    """(_row, gone, general): the forms in which revealing terms stand in each row that holds any. A common term's rows are dealt over SALTS."""
+    forms = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(TERM), F.lit(0)))
+    heard = rows.select("_row", F.explode(forms).alias("form")).withColumn("term", F.lower("form"))
     if small_enough(reveals, MOST_SENT):
         hits = heard.join(F.broadcast(reveals), "term")
     else:
         dealt = reveals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
         hits = heard.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))).join(dealt, ["term", "_salt"])
-    sets = [F.collect_list(F.when(c, F.col("term"))).alias(name) for name, c in (("gone", F.col("r")), ("general", ~F.col("r")))]
+    sets = [F.collect_list(F.when(c, F.col("form"))).alias(name) for name, c in (("gone", F.col("r")), ("general", ~F.col("r")))]
     return stage_table(hits.groupBy("_row").agg(*sets), "pii-hits")
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of docs with all spans: _in (the caller's columns), _text, and arrays email, ip, card, phone, generalise, remove of (s, e, m).
 
-    The last two are the places of revealing terms (see revealing_terms), in whatever document they stand. What
-    a row holds is joined by _row; where few rows hold any, that side is broadcast.
+    The last two are the places of revealing terms (see revealing_terms), in whatever document they stand, where
+    they touch no value. A row's terms are joined by _row; where few rows hold any, that side is
+    broadcast. They are then sought in that row's text alone, by a pattern made of them.
 
     Null and empty texts have no spans. Rows are told apart by _row, not by their id: repeated and null ids are
     kept apart, and columns of any name are carried in _in. An empty table gives no rows. Work grows
@@ -180,28 +186,15 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = with_values(docs, text)
     hits = terms_by_row(rows, revealing_terms(rows))
     both = rows.join(F.broadcast(hits) if small_enough(hits, 50_000) else hits, "_row", "left")
-    found = term_spans(both, F.col("gone").isNotNull())
-    none = F.array().cast(SPAN)
-    pick = lambda names: F.coalesce(F.filter("terms", lambda t: F.array_contains(names, F.lower(t["m"]))), none)
-    return found.withColumns({"generalise": pick("general"), "remove": pick("gone")}).drop("terms", "gone", "general")
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """Text with sorted spans (s, e, tag) replaced; what overlaps an earlier span lengthens it."""
-    out = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("a")),
-        lambda s, x: F.when(
-            x["s"] >= s["at"],
-            F.struct(x["e"].alias("at"), F.concat(s["a"], F.array(F.substring(text, s["at"] + 1, x["s"] - s["at"]), x["tag"])).alias("a")),
-        ).otherwise(F.struct(F.greatest(s["at"], x["e"]).alias("at"), s["a"].alias("a"))),
-        lambda s: F.concat(F.array_join(s["a"], ""), F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, out).otherwise(text)
-
-
-def tagged(kind: str, tag) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), tag(x["m"]).alias("tag")))
+    of = {}
+    for name, forms in (("generalise", "general"), ("remove", "gone")):  # forms are letters and digits: nothing to escape
+        of[name] = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        both = both.withColumn(f"_{name}", F.when(F.size(forms) > 0, F.col("_text")))
+    for name, pattern in of.items():
+        both = match_spans(both, f"_{name}", {name: pattern})
+    values = F.concat(*KINDS)
+    free = lambda name: F.filter(name, lambda t: ~F.exists(values, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    return both.withColumns({name: free(name) for name in of}).drop("gone", "general", *[f"_{name}" for name in of])
 
 
 def class_of(term: Column) -> Column:
@@ -258,6 +251,9 @@ b AS (SELECT *, CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE dg END AS v FROM
              ELSE substr(dg, j, 1)::INT END)) % 10 = 0
    OR k = 3 AND length(dg) BETWEEN 9 AND 15),
 w AS (SELECT r, s, e, lower(m) AS term FROM y WHERE k = 9 AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = y.r AND b.s < y.e AND y.s < b.e)),
+z AS (SELECT r, s, e, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM b),
+bt AS (SELECT r, string_agg(CASE WHEN s > p THEN substr(t, p + 1, s - p) ELSE '' END, ' ' ORDER BY s, e) || ' ' || substr(any_value(t), max(e) + 1) AS bare
+       FROM z JOIN d USING (r) GROUP BY r),
 c AS (SELECT b.r, kind, v, CASE k WHEN 0 THEN regexp_replace(v, '^[^@]*@', '@') WHEN 1 THEN regexp_replace(v, '[0-9]+$', '*')
              WHEN 2 THEN substr(v, 1, 6) || '*' ELSE regexp_replace(v, '....$', '*') END AS gr,
              md5(substr(t, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) || chr(1) || substr(t, e + 1, 80)) AS h FROM b JOIN d ON b.r = d.r),
@@ -265,7 +261,7 @@ q AS (SELECT r, unnest([kind || '=' || v, kind || '~' || gr, kind]) AS entity,
              1::BIGINT << (((strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2, 1)) - 1) % 62)::INT AS bits FROM c),
 en AS (SELECT r, entity, bit_or(bits) AS bits FROM q GROUP BY ALL),
 ev AS (SELECT entity, count(*) AS n_v FROM en GROUP BY entity HAVING bit_count(bit_or(bits)) >= 2),
-dt AS (SELECT DISTINCT r, term FROM w),
+dt AS (SELECT DISTINCT r, lower(unnest(regexp_extract_all(coalesce(bare, d.t), '[\p{L}\p{N}]{3,}'))) AS term FROM d LEFT JOIN bt USING (r)),
 pr AS (SELECT entity, n_v, term, count(*) AS n_tv, bit_count(bit_or(bits)) AS u FROM en JOIN ev USING (entity) JOIN dt USING (r) GROUP BY ALL HAVING bit_count(bit_or(bits)) >= 2),
 tt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY term),
 rv AS (SELECT term, max(1 + ln(n_tv / (n_t + 1 * n_tv / u)) / ln(n / n_v)) AS x FROM pr JOIN tt USING (term), (SELECT count(*) AS n FROM d) WHERE n > n_v GROUP BY term),
