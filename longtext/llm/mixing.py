@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small_enough, stage_table, table
+from .common import WORD, carried, returned, small_enough, stage_table, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Hex digits of the key that name a range of it: 4096 ranges for each source.
 RANGE_DIGITS = 3
+#: The order of a source's rows.
+ORDER = ("key", "id", "size", "_row")
 
 
 def word_size(text: Column) -> Column:
@@ -42,66 +44,72 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
-    """Words that a mix takes of each document: (doc_id, source, size, source_size, target, taken).
+def keyed(docs: DataFrame, wide: bool, seed: str) -> DataFrame:
+    """Stored rows of docs: _row, id, source, size, key and part, with the caller's columns in _in if wide.
 
-    Every document gets a key from md5(seed, doc_id). Equal ranges of that uniform key are the range
-    partition: sums per (source, range), their running sum within a source (at most 4096 rows each), and
-    a running sum inside each range give every document the words before it in its source's order.
-    Whole epochs take all of a source; the last epoch is cut at the exact budget, so the document on
-    the cut gives only the words still missing. No task holds more than one range of one source.
-
-    Nulls: text counts as 0 words, a null source is a source of its own, null doc_ids share a key. Equal
-    doc_ids fall back to size for their order; rows equal in both are interchangeable. Empty input: no rows.
+    The key is random by md5 of seed and doc_id; rows without an id take their row number instead, so that they spread as well.
     """
-    sizes = stage_table(
-        docs.select(
-            "doc_id",
-            "source",
-            word_size(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        ).withColumn("part", F.substring("key", 1, RANGE_DIGITS)),
-        "mix-sizes",
-    )
+    rows = docs if wide else docs.select("doc_id", "source", "text")
+    rows = carried(rows, id=F.col("doc_id"), source=F.col("source"), size=word_size(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("_row")))
+    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), name))).withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    return stage_table(rows if wide else rows.drop("_in"), "mix-rows")
+
+
+def placed(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """Rows of keyed() with source_size, target, whole (epochs that take all of the source) and left: the words that the last epoch still lacks where the row begins."""
+    sizes = rows.select("_row", "id", "source", "size", "key", "part")
     targets = stage_table(source_targets(sizes, weights, share, most), "mix-targets")
     targets = F.broadcast(targets) if small_enough(targets, 100_000) else targets
     ranges = sizes.groupBy("source", "part").agg(F.sum("size").alias("in_part"))
-    ranges = ranges.withColumn(
-        "before_part", F.sum("in_part").over(Window.partitionBy("source").orderBy("part")) - F.col("in_part")
-    )
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sizes.withColumn("upto", F.sum("size").over(inside))
-    r, s, t = rows.alias("r"), ranges.alias("s"), targets.alias("t")
+    ranges = ranges.withColumn("before_part", F.sum("in_part").over(Window.partitionBy("source").orderBy("part")) - F.col("in_part"))
+    inside = Window.partitionBy("source", "part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    r, s, t = sizes.withColumn("upto", F.sum("size").over(inside)).alias("r"), ranges.alias("s"), targets.alias("t")
     both = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.part") == F.col("s.part")))
     both = both.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
     budget = F.floor(F.col("t.target"))
     whole = F.when(F.col("t.source_size") > 0, F.floor(budget / F.col("t.source_size"))).otherwise(0)
     left = budget - whole * F.col("t.source_size") - (F.col("s.before_part") + F.col("r.upto") - F.col("r.size"))
-    return both.select(
-        "r.doc_id",
-        "r.source",
-        "r.size",
-        "t.source_size",
-        "t.target",
-        (whole * F.col("r.size") + F.least(F.col("r.size"), F.greatest(F.lit(0), left))).cast("long").alias("taken"),
-    )
+    return both.select("r.*", "t.source_size", "t.target", whole.alias("whole"), left.alias("left"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
+    """Words that a mix takes of each document: (doc_id, source, size, source_size, target, taken).
+
+    Every document gets a random key. Equal ranges of that uniform key are the range partition: sums per
+    (source, range), their running sum within a source (at most 4096 rows each), and a running sum inside
+    each range give every document the words before it in its source's order. Whole epochs take all of a
+    source; the last epoch is cut at the exact budget, so the document on the cut gives only the words still
+    missing. No task holds more than one range of one source.
+
+    Nulls: text counts as 0 words, a null source is a source of its own, rows with a null doc_id have keys of
+    their own. Repeated doc_ids share a key and fall back to size and row for their order, so each row counts
+    once. Empty input: no rows. Other columns are not read.
+    """
+    rows = placed(keyed(docs, False, seed), weights, share, most)
+    taken = F.col("whole") * F.col("size") + F.least("size", F.greatest(F.lit(0), "left"))
+    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
     """The mix as documents: each row once per epoch that reaches it, columns unchanged.
 
-    A document on the cut is kept whole here (training rows are not torn), so a source passes its
-    budget by less than one document.
+    The last row that each source's last epoch reaches is its cut, one row per source; every document compares
+    its own place with it, so texts are not shuffled. A document on the cut is kept whole here (training
+    rows are not torn), so a source passes its budget by less than one document, whatever ids are null or
+    repeated. Rows without words are left out; an empty table gives none; columns of any name are carried.
     """
-    taken = mix(docs, **kw).filter("taken > 0")
-    times = taken.groupBy("doc_id", "source").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    t, d = times.alias("t"), docs.alias("d")
-    both = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
-    kept = both.filter(word_size(F.col("d.text")) > 0).select("d.*", F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_epoch"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs, True, seed)
+    cuts = placed(rows, weights, share, most).groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("left") > 0, F.struct(*ORDER))).alias("cut"))
+    cuts = stage_table(cuts, "mix-cuts").select(F.col("source").alias("of"), "whole", "cut")
+    both = rows.join(F.broadcast(cuts) if small_enough(cuts, 100_000) else cuts, F.col("source").eqNullSafe(F.col("of")))
+    times = F.col("whole") + F.coalesce((F.struct(*ORDER) <= F.col("cut")).cast("int"), F.lit(0))
+    kept = both.filter(F.col("size") > 0).withColumn("_times", times.cast("int")).filter("_times > 0")
+    return kept.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*returned(docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by weights 5, 2, 1 and 150 % of all words. Edge cases: see mix()."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
