@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, join_small, stage_table, table
+from .common import SPACE, WORD, carried, join_small, returned, stage_table, table
 
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
-#: A line is boilerplate of a host when it is in more than this share of its documents, and in more than this many.
-LINE_SHARE, LINE_DOCUMENTS = 0.1, 20
+#: A line is boilerplate of a host when it is in more than so many different texts of it, whatever the size of the host.
+LINE_DOCUMENTS = 20
 #: A document is depleted when boilerplate makes up more than this share of its words, or leaves fewer than LEAST_WORDS.
 MOST_BOILERPLATE = 0.5
 #: Boilerplate lines are looked up in one list per host up to so many lines of a host and in all; beyond, documents are joined to their own, frequent lines dealt over SALTS.
@@ -55,59 +55,44 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.coalesce(counted, F.lit(0)).cast("long")
 
 
-def rules(docs: DataFrame, **kw) -> DataFrame:
-    """The named columns of docs (all by default) with the counts and verdicts of judged()."""
-    return judged(docs, **kw).drop("_row")
-
-
-def clean_documents(docs: DataFrame, **kw) -> DataFrame:
+def clean_documents(docs: DataFrame, text: str = "text", **kw) -> DataFrame:
     """docs without the rejected ones, their text without the boilerplate lines of their host; other columns unchanged.
 
-    Here a line is boilerplate by the number of texts alone, whatever the size of the host; equal texts count once,
-    so that copies, of which a later stage keeps one, are not taken for boilerplate. Verdicts are those of the original text. The condition names _row, which no filter passes: below it, kept
-    would be copied into the lambdas that it is made of and its word lists made anew for every element.
+    The condition names _row, which no filter passes: below it, kept would be copied into the lambdas that it
+    is made of and its word lists made anew for every element. Edge cases: see judged().
     """
-    return judged(docs, rewrite=True, **{"share": 0, "once": True} | kw).filter("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = judged(docs, text=text, **kw).filter("kept and _row >= 0")
+    return kept.select(*returned(docs.columns, **{text: F.when(F.col("n_removed_lines") > 0, F.col("_rest")).otherwise(F.col("_in")[text])}))
 
 
 def judged(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
-    columns: list[str] | None = None,
-    share: float = LINE_SHARE,
     documents: int = LINE_DOCUMENTS,
     boilerplate: float = MOST_BOILERPLATE,
-    rewrite: bool = False,
-    once: bool = False,
     listed: int = LISTED,
 ) -> DataFrame:
-    """The named columns of docs (all by default) with _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept.
+    """Rows of docs as _in with _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, n_removed_lines, _rest, kept.
 
-    Each line's normalised hash counts once per document; per host, lines found in more than
-    max(documents, share * documents of the host) are boilerplate. A document is kept if it passes the
-    base rules and is not depleted by the removal of its boilerplate. Counts are combined per task before
-    they are shuffled by (host, hash), so a hot host or line makes no large group. With rewrite, the text
-    column goes out without its boilerplate lines; all counts are of the original text. With once, equal texts
-    of a host count as one document. Where a host has more than `listed` boilerplate lines, each text is
-    joined to those it holds.
+    Each line's normalised hash counts once per text; per host, lines found in more than `documents` different
+    texts are boilerplate. Equal texts of a host count once, so that copies, of which a later stage keeps one,
+    are not taken for boilerplate. _rest is the text without its boilerplate lines; all counts are of the
+    original text. A document is kept if it passes the base rules and is not depleted by the removal. Counts
+    are combined per task before they are shuffled by (host, hash), so a hot host or line makes no large
+    group. Where a host has more than `listed` boilerplate lines, each text is joined to those it holds.
 
     Null and empty texts have zero counts and fail. A null host is a host of its own. Rows are kept apart
-    whatever their ids: repeated rows each get a verdict. An empty table gives an empty result.
+    whatever their ids: repeated rows each get a verdict. An empty table gives an empty result. Very long
+    texts are one row's work, near linear in their length. Columns of any name are carried in _in.
     """
-    columns = docs.columns if columns is None else columns
-    kept = [F.col(f"`{c}`") for c in columns]
-    rows = docs.select(*kept, F.col(f"`{host}`").alias("_host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    rows = carried(docs, _host=F.col(f"`{host}`"), _text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
     keys = {"_k": F.struct("_host"), "_key": F.md5("_text")}
     hashes = F.array_distinct(F.transform(lines_with_words(F.col("_text")), line_hash))
     lines = rows.select(keys["_k"].alias("_k"), keys["_key"].alias("_key"), hashes.alias("h"))
-    counted = (lines.dropDuplicates(["_k", "_key"]) if once else lines).select("_k", F.explode("h").alias("h")).groupBy("_k", "h").agg(F.count("*").alias("n"))
-    common = counted.filter(F.col("n") > documents)
-    if share:
-        sizes = lines.groupBy("_k").agg(F.count("*").alias("in_host"))
-        common = common.join(sizes, "_k").filter(F.col("n") > F.lit(share) * F.col("in_host"))
-    common = stage_table(common.select("_k", "h"), "quality-lines")
+    counted = lines.dropDuplicates(["_k", "_key"]).select("_k", F.explode("h").alias("h")).groupBy("_k", "h").agg(F.count("*").alias("n"))
+    common = stage_table(counted.filter(F.col("n") > documents).select("_k", "h"), "quality-lines")
 
     longest, total = common.groupBy("_k").count().agg(F.max("count"), F.sum("count")).first()
     if (longest or 0) <= listed and (total or 0) <= LISTED_ALL:
@@ -118,22 +103,19 @@ def judged(
         held = held.join(dealt, ["_k", "h", "_salt"]).groupBy("_k", "_key").agg(F.collect_set("h").alias("_common"))
         rows = join_small(rows.withColumns(keys), stage_table(held, "quality-held"), ["_k", "_key"], "left", 50_000)
     rows = rows.withColumns({"_words": F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), "_lines": lines_with_words(F.col("_text"))})
-    removed = F.aggregate(
-        "_lines",
-        F.lit(0),
-        lambda n, x: n + F.when(F.array_contains("_common", line_hash(x)), F.regexp_count(x, F.lit(WORD))).otherwise(0),
-    )
-    if rewrite:
-        rest = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_common", line_hash(x))), "\n")
-        kept = [F.when(F.col("_common").isNotNull(), rest).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    gone = F.when(F.col("_common").isNotNull(), F.filter("_lines", lambda x: F.array_contains("_common", line_hash(x))))
+    rows = rows.withColumn("_gone", F.coalesce(gone, F.array().cast("array<string>")))
+    rest = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_gone", x)), "\n")
     out = rows.select(
-        *kept,
+        "_in",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.when(F.col("_common").isNotNull(), removed).otherwise(0).cast("long").alias("boilerplate_words"),
+        F.aggregate("_gone", F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD))).cast("long").alias("boilerplate_words"),
+        F.size("_gone").cast("long").alias("n_removed_lines"),
+        F.when(F.size("_gone") > 0, rest).otherwise(F.col("_text")).alias("_rest"),
         F.monotonically_increasing_id().alias("_row"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
@@ -142,8 +124,10 @@ def judged(
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id"])
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words")
+    """Counts and verdicts of every document, with what the removal of boilerplate lines takes and the md5 of the text it leaves. Edge cases: see judged()."""
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words", "n_removed_lines")
+    return found.select(F.col("_in.doc_id").alias("doc_id"), *counts, F.md5("_rest").alias("rest_md5"))
 
 
 OP3_SQL = r"""
@@ -155,19 +139,19 @@ g AS (SELECT r, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_s
 p AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 8) AS gap FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 q AS (SELECT r, sum(least(8, gap))::BIGINT AS n_repeat_words FROM p GROUP BY r),
 l AS (SELECT r, source, unnest(ln) AS l FROM w),
-m AS (SELECT r, source, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+m AS (SELECT r, source, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
              len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS wc FROM l),
-s AS (SELECT source, h, count(DISTINCT r) AS n FROM m GROUP BY ALL),
-z AS (SELECT source, count(*) AS in_host FROM d GROUP BY source),
-c AS (SELECT s.source, s.h FROM s JOIN z ON s.source IS NOT DISTINCT FROM z.source WHERE n > 20 AND n > 0.1 * in_host),
-b AS (SELECT m.r, sum(wc)::BIGINT AS boilerplate_words FROM m JOIN c ON m.h = c.h AND m.source IS NOT DISTINCT FROM c.source GROUP BY m.r),
+s AS (SELECT m.source, h, count(DISTINCT md5(d.t)) AS n FROM m JOIN d USING (r) GROUP BY ALL),
+c AS (SELECT source, h FROM s WHERE n > 20),
+b AS (SELECT m.r, sum(wc)::BIGINT AS boilerplate_words, count(*) AS n_removed_lines, list(DISTINCT l) AS gone FROM m JOIN c ON m.h = c.h AND m.source IS NOT DISTINCT FROM c.source GROUP BY m.r),
 o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             coalesce(boilerplate_words, 0)::BIGINT AS boilerplate_words
+             coalesce(boilerplate_words, 0)::BIGINT AS boilerplate_words, coalesce(n_removed_lines, 0) AS n_removed_lines,
+             md5(CASE WHEN gone IS NULL THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(gone, x)), chr(10)) END) AS rest_md5
       FROM w LEFT JOIN q USING (r) LEFT JOIN b USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND boilerplate_words <= 0.5 * n_words AND n_words - boilerplate_words >= 20 AS kept,
-       boilerplate_words
+       boilerplate_words, n_removed_lines, rest_md5
 FROM o
 """
