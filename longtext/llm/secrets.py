@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import match_spans, table
+from .common import carried, match_spans, table
 
 # The base patterns. Possessive forms and lower bounds below match what the plain forms match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
@@ -19,7 +19,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings, the window, and the least entropy in bits for each character class.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-LEAST_BITS = {"hex": 3.1, "mixed": 3.9}
+LEAST_BITS = {"hex": 3.1, "mixed": 3.85, "letters": 3.85, "digits": 2.9}
+#: The classes, in the order in which they are tried; what fits none is mixed.
+CLASSES = {"digits": r"^[0-9]+$", "hex": r"^[0-9a-fA-F]*[0-9][0-9a-fA-F]*$", "letters": r"^[^0-9]+$"}
 #: Strings that look random but are known to be harmless.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -71,28 +73,27 @@ def least_window_sum(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add spans: arrays assign, access, hex, entropy of structs (s, e, m) to docs.
+    """Rows of docs as _in (the caller's columns) with arrays assign, access, hex, entropy of structs (s, e, m).
 
-    Added spans are candidate strings with a digit and a letter whose best window reaches its class's
-    entropy, that no allow-list entry fits and that touch no base span. Null and empty texts have no
-    spans. All work is per row, so hot sources and repeated rows need nothing special.
+    Entropy spans are candidate strings whose best window reaches the entropy of their class (digits, hex with
+    a digit, letters, mixed), that no allow-list entry fits and that touch no base span. Null and empty
+    texts have no spans; an empty table gives no rows. All work is per row, so hot sources and repeated rows
+    need nothing special, and it grows linearly with a text's length. Columns of any name are carried in _in.
     """
-    whole = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = match_spans(whole, "_text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "_cand": CANDIDATE})
+    found = carried(docs, _text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    found = match_spans(found, "_text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "_cand": CANDIDATE})
     value = lambda m: F.length(m) - F.length(F.regexp_extract(m, ASSIGN_HEAD, 0))
     found = found.withColumn("assign", F.filter("assign", lambda x: value(x["m"]) >= 6))
     touches = lambda kind, c: F.exists(kind, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    found = found.withColumn(
-        "_cand",
-        F.filter(
-            "_cand",
-            lambda c: c["m"].rlike("[0-9]")
-            & c["m"].rlike("[A-Za-z]")
-            & ~c["m"].rlike(ALLOWED)
-            & ~(touches("assign", c) | touches("access", c) | touches("hex", c)),
-        ),
-    )
-    bound = lambda m: F.when(m.rlike("^[0-9a-fA-F]+$"), F.lit(most_sum(LEAST_BITS["hex"]))).otherwise(F.lit(most_sum(LEAST_BITS["mixed"])))
+    free = F.filter("_cand", lambda c: ~c["m"].rlike(ALLOWED) & ~(touches("assign", c) | touches("access", c) | touches("hex", c)))
+    found = found.withColumn("_cand", free)
+
+    def bound(m: Column) -> Column:
+        out = F.lit(most_sum(LEAST_BITS["mixed"]))
+        for name, pattern in reversed(CLASSES.items()):
+            out = F.when(m.rlike(pattern), F.lit(most_sum(LEAST_BITS[name]))).otherwise(out)
+        return out
+
     return found.withColumn("entropy", F.filter("_cand", lambda c: least_window_sum(c["m"]) <= bound(c["m"]))).drop("_cand", "_text")
 
 
@@ -109,10 +110,11 @@ def joined_spans(kinds: list[tuple[int, str, str]], by_start: bool) -> Column:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of base spans, and all spans. Edge cases: see scan()."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [(i, k, k) for i, k in enumerate(KINDS[:3])]
     return found.select(
-        "doc_id",
+        F.col("_in.doc_id").alias("doc_id"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(joined_spans(base, True), 256).alias("base_sha256"),
         joined_spans([*base, (3, "entropy", "entropy")], True).alias("spans"),
@@ -133,12 +135,12 @@ y AS (SELECT r, k, kind, m, (sum(length(g) + length(m)) OVER (PARTITION BY r, k
 b AS (SELECT * FROM y WHERE
    k = 0 AND length(regexp_replace(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '')) >= 6
    OR k = 1 AND length(m) >= 20 OR k = 2 AND length(m) >= 24),
-c AS (SELECT * FROM y WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
-   AND NOT regexp_matches(m, '@ALLOWED@')
+c AS (SELECT * FROM y WHERE k = 3 AND NOT regexp_matches(m, '@ALLOWED@')
    AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = y.r AND b.s < y.e AND y.s < b.e)),
 v AS (SELECT * FROM c WHERE list_min(list_transform(range(1, length(m) - 18), lambda i:
         list_sum(list_transform(map_values(list_histogram(string_split(substr(m, i, 20), ''))), lambda n: (@SHARES@)[(n + 1)::BIGINT]))))
-      <= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN @HEX@ ELSE @MIXED@ END),
+      <= CASE WHEN regexp_full_match(m, '[0-9]+') THEN @DIGITS@ WHEN regexp_full_match(m, '[0-9a-fA-F]+') AND regexp_matches(m, '[0-9]') THEN @HEX@
+              WHEN NOT regexp_matches(m, '[0-9]') THEN @LETTERS@ ELSE @MIXED@ END),
 a AS (SELECT * FROM b UNION ALL SELECT * FROM v),
 o AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
@@ -146,4 +148,6 @@ o AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN o USING (r)
-""".replace("@ALLOWED@", ALLOWED).replace("@SHARES@", str(SHARES)).replace("@HEX@", str(most_sum(LEAST_BITS["hex"]))).replace("@MIXED@", str(most_sum(LEAST_BITS["mixed"])))
+""".replace("@ALLOWED@", ALLOWED).replace("@SHARES@", str(SHARES))
+for _name, _bits in LEAST_BITS.items():
+    OP7_SQL = OP7_SQL.replace(f"@{_name.upper()}@", str(most_sum(_bits)))
