@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from longtext.operators.components import connected_components
 
-from .common import join_small, ship, stage_table, table
+from .common import carried, returned, ship, small_enough, stage_table, table, tidy
 from .tokens import balanced, forget
 
 WORDS = 4
@@ -24,8 +26,14 @@ LONG = 32
 MOST_LONG = 2_000_000
 #: Shingles that one task of the counting and the joining step holds, about.
 RANGE_TOKENS = 2_000_000
-#: Documents whose ids may be sent to all tasks to pick their sets; beyond it a join picks them.
+#: Documents whose texts may be named to all tasks to pick their sets; beyond it a join picks them.
 MOST_PICKED = 2_000_000
+#: Dropped rows whose keys (two longs) may be sent to all tasks.
+MOST_DROPPED = 500_000
+#: Parts of a group of a document's shingles; any three of four make a signature.
+PARTS = 4
+#: Buckets of the histograms by which distant pairs are told before their sets are fetched.
+BUCKETS = 128
 
 U = np.uint64
 
@@ -116,22 +124,24 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, f, h): size and fingerprint of each row's set, hash of its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, s in shingle_sets(batch.column(1), k):
                 n[i], f[i] = len(s), fingerprint(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f)], names=["k", "n", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(f)], names=["k", "h", "n", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(run, f"k {kind}, n long, f long")
-    return made.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), "f")
+    made = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), f"k {kind}, h long, n long, f long")
+    return made.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), "f", "h")
 
 
 class Dealer:
-    """Collects items by ranges of the shingle hash and yields (range, bytes) rows when enough are held."""
+    """Collects items by ranges of a 64-bit hash and yields (range, bytes) rows when enough are held."""
 
-    def __init__(self, bits: int, kind: np.dtype, most: int = 500_000):
+    def __init__(self, bits: int, kind: np.dtype, most: int = 250_000):
         self.bits, self.kind, self.most, self.held, self.n = bits, kind, most, [], 0
 
     def add(self, items: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -143,18 +153,19 @@ class Dealer:
     def flush(self) -> pa.RecordBatch:
         items = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         self.held, self.n = [], 0
-        keys = items["t"] if self.kind.names else items
-        items = items[np.argsort(keys, kind="stable")]
-        keys = (items["t"] if self.kind.names else items) >> U(64 - self.bits)
-        cuts = np.searchsorted(keys, np.arange(2**self.bits + 1, dtype=U))
-        ranges = np.flatnonzero(cuts[1:] > cuts[:-1])
-        blocks = [items[cuts[r] : cuts[r + 1]] for r in ranges]
+        hashes = items["t"] if self.kind.names else items
+        items = items[np.argsort(hashes, kind="stable")]
+        keys = ((items["t"] if self.kind.names else items) >> U(64 - self.bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        blocks = [items[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         if not self.kind.names:  # the range is known: 32 further bits are enough to tell lists apart
             blocks = [(b >> U(32 - self.bits)).astype(np.uint32) for b in blocks]
-        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["r", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[cuts[:-1]].astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["r", "block"])
 
 
-POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("cold", "<i4")])
+POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4")])
+#: A posting of a document whose component is known.
+NAMED = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("l", "<i8")])
 
 
 def shape(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -162,6 +173,12 @@ def shape(tokens: np.ndarray, bits: int) -> np.ndarray:
     return tokens >> U(32 - bits)
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, length) of each run of equal keys."""
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return firsts, np.diff(np.concatenate([firsts, [len(keys)]]))
+
+
 def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
     """(t, df): leading bits of the shingles that more than `long` documents hold; every document counts."""
 
@@ -177,47 +194,23 @@ def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
 
     def count(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in blocks["block"]]))
-        firsts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
-        many = np.diff(np.concatenate([firsts, [len(items)]]))
+        firsts, many = runs(items)
         pick = many > long
         return pd.DataFrame({"t": (np.int64(key[0]) << np.int64(32)) + items[firsts[pick]].astype(np.int64), "df": many[pick]})
 
-    return docs.select("text").mapInArrow(deal, "r int, block binary").groupBy("r").applyInPandas(count, "t long, df long")
-
-
-def pairs_within(lists: list[np.ndarray], percent: int) -> np.ndarray:
-    """All pairs inside each list (arrays of POSTING, equal shingle) whose sizes allow the similarity, with how often each occurs."""
-    found = []
-    by_length: dict[int, list] = {}
-    for x in lists:
-        by_length.setdefault(len(x), []).append(x)
-    for m, same in by_length.items():
-        stack = np.stack(same)
-        i, j = np.triu_indices(m, 1)
-        found.append(np.stack([stack[:, i], stack[:, j]], axis=-1).reshape(-1, 2))
-    if not found:
-        return np.zeros((0, 2), POSTING)
-    pairs = np.concatenate(found)
-    n = pairs["n"].astype(np.int64)
-    return pairs[100 * n.min(axis=1) >= percent * n.max(axis=1)]
-
-
-def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens) -> DataFrame:
-    """Rows (t, a, b, na, nb, common, o): pairs a < b of set names with o common short-list shingles (t null), and members a of a long list t with its pivot b.
-
-    A document's shingles are ordered short lists first, by hash; its prefix is dealt to lists. A list
-    of up to `long` documents gives its pairs. Longer ones arise where nearly all of a document's
-    shingles are common, in large groups of near copies; they give each member with the list's pivot,
-    the member with the fewest short-list shingles.
-
-    For pairs, common is the most shingles that the two can share on long lists where both have such
-    shingles in their prefix, and -1 elsewhere. For members, common and o are the long-list shingles of
-    member and pivot; members with so few that only partners found by short lists can reach the
-    similarity are left out.
+    return docs.select("text").mapInArrow(tidy(deal), "r int, block binary").groupBy("r").applyInPandas(count, "t long, df long")
+
+
+def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens) -> DataFrame:
+    """(cs, ns, w): the short inverted lists of the documents' prefixes, names and sizes of their documents, with the number of
+    shingles that have just that list; and (cs, null, null) for the documents of a longer list.
+
+    A document's shingles are ordered short lists first, by hash; the first n - T + 1 of them, its prefix, make the lists that
+    have to be merged: two documents that reach the overlap T meet in one of them.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, dealer, seen = long_tokens.value, Dealer(bits, POSTING, 150_000), set()
+        common, dealer, seen = long_tokens.value, Dealer(bits, POSTING), set()
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
                 f = fingerprint(s)
@@ -230,59 +223,227 @@ def candidates(docs: DataFrame, bits: int, k: int, percent: int, long: int, long
                 cold = s[~last]
                 out = np.zeros(p, POSTING)
                 out["t"] = np.concatenate([cold[:p], s[last][: max(0, p - len(cold))]])
-                out["c"], out["n"], out["cold"] = f, len(s), len(cold)
+                out["c"], out["n"] = f, len(s)
                 yield from dealer.add(out)
         yield dealer.flush()
 
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([np.frombuffer(b, POSTING) for b in blocks["block"]]))  # by shingle, then name: copies fall together
-        firsts = np.flatnonzero(np.concatenate([[True], items["t"][1:] != items["t"][:-1]]))
-        many = np.diff(np.concatenate([firsts, [len(items)]]))
-        short = [items[f : f + m] for f, m in zip(firsts[(many > 1) & (many <= long)], many[(many > 1) & (many <= long)], strict=True)]
-        pairs = pairs_within(short, percent)
-        hot = [items[f : f + m] for f, m in zip(firsts[many > long], many[many > long], strict=True)]
-        frames = []
-        if len(pairs):
-            x, y = pairs[:, 0], pairs[:, 1]
-            hidden = (x["cold"] < prefix_length(x["n"], percent)) & (y["cold"] < prefix_length(y["n"], percent))
-            common = np.where(hidden, np.minimum(x["n"] - x["cold"], y["n"] - y["cold"]), -1)
-            frames.append(pd.DataFrame({"a": x["c"], "b": y["c"], "na": x["n"], "nb": y["n"], "common": common}))
-            frames[0] = frames[0].groupby(["a", "b", "na", "nb", "common"], sort=False).size().rename("o").reset_index()
-            frames[0]["t"] = None
-        for x in hot:
-            pivot = x[np.lexsort((x["c"], -x["n"], x["cold"] / x["n"]))[0]]
-            at = np.int64(x["t"][:1].view(np.int64)[0])
-            x = x[100 * (x["n"] - x["cold"]) >= percent * x["n"]]  # the others' partners share short lists with them
-            frames.append(pd.DataFrame({"a": x["c"], "b": pivot["c"], "na": x["n"], "nb": pivot["n"], "common": x["n"] - x["cold"], "o": pivot["n"] - pivot["cold"], "t": at}))
-        names = ["t", "a", "b", "na", "nb", "common", "o"]
-        if not frames:
-            return pd.DataFrame({c: [] for c in names})
-        return pd.concat(frames, ignore_index=True).astype({"t": "Int64"})[names]
-
-    dealt = docs.select("text").mapInArrow(deal, "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "t long, a long, b long, na int, nb int, common int, o long")
+        firsts, many = runs(items["t"])
+        found: dict = {}
+        for x, m in zip(firsts[(many > 1) & (many <= long)].tolist(), many[(many > 1) & (many <= long)].tolist(), strict=True):
+            found.setdefault(items["c"][x : x + m].tobytes(), [items["c"][x : x + m], items["n"][x : x + m], 0])[2] += 1
+        rows = [(c.tolist(), n.tolist(), w) for c, n, w in found.values()]
+        hot = [items["c"][x : x + m] for x, m in zip(firsts[many > long], many[many > long], strict=True)]
+        if hot:
+            rows.append((np.unique(np.concatenate(hot)).tolist(), None, None))
+        return pd.DataFrame(rows, columns=["cs", "ns", "w"]).astype({"w": "Int64"})
+
+    dealt = docs.select("text").mapInArrow(tidy(deal), "r int, block binary")
+    return dealt.groupBy("r").applyInPandas(meet, "cs array<long>, ns array<int>, w long")
+
+
+def needed(na: int, nb: int, percent: int) -> int:
+    """So many prefix shingles two documents share at least when they reach the similarity: the overlap, less what can lie behind the longer prefix."""
+    return max(1, -(-percent * (na + nb) // (100 + percent)) + 1 - (-(-percent * max(na, nb) // 100)))
+
+
+def merge_skip(lists: list[list[int]], weights: list[int], least: int) -> list[tuple[int, int]]:
+    """(id, weight) of the ids whose lists weigh `least` or more together: a heap merge of sorted lists that skips.
+
+    Where the least id weighs too little, further lists are popped as long as all popped ones together weigh too
+    little; no id before the next head can reach the bound, so they all go on to it by binary search.
+    """
+    heap = [(x[0], i) for i, x in enumerate(lists)]
+    heapify(heap)
+    at, out = [0] * len(lists), []
+    while heap:
+        head, total, popped = heap[0][0], 0, []
+        while heap and heap[0][0] == head:
+            popped.append(heappop(heap)[1])
+            total += weights[popped[-1]]
+        if total >= least:
+            out.append((head, total))
+            goal = head + 1
+        else:
+            while heap and total + weights[heap[0][1]] < least:
+                popped.append(heappop(heap)[1])
+                total += weights[popped[-1]]
+            if not heap:
+                break
+            goal = heap[0][0]
+        for i in popped:
+            at[i] = bisect_left(lists[i], goal, at[i])
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return out
+
+
+def merged(lists: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(a, b, o), a < b: for each document the others that its short lists show often enough, by merging the lists."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        c, n, w = (rows.column(x).to_numpy() for x in ("c", "n", "w"))
+        flat, ns = rows.column("cs").combine_chunks(), rows.column("ns").combine_chunks()
+        ends = flat.offsets.to_numpy()
+        ids, sizes = flat.values.to_numpy(zero_copy_only=False), ns.values.to_numpy(zero_copy_only=False)
+        order = np.argsort(c, kind="stable")
+        firsts, many = runs(c[order])
+        out = []
+        for x, m in zip(firsts.tolist(), many.tolist(), strict=True):
+            at = order[x : x + m]
+            of, size = int(c[at[0]]), int(n[at[0]])
+            lists, known = [], {}
+            for i in at.tolist():
+                part = ids[ends[i] : ends[i + 1]].tolist()
+                lists.append(part)
+                known.update(zip(part, sizes[ends[i] : ends[i + 1]].tolist(), strict=True))
+            least = {b: needed(size, nb, percent) for b, nb in known.items() if 100 * min(size, nb) >= percent * max(size, nb)}
+            if least:
+                for b, o in merge_skip(lists, w[at].tolist(), min(least.values())):
+                    if o >= least.get(b, o + 1):
+                        out.append((of, b, o))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "o"])
+
+    whole = lists.filter("w is not null").groupBy("cs", "ns").agg(F.sum("w").alias("w"))
+    each = whole.select("cs", "ns", "w", F.posexplode("cs").alias("i", "c")).filter(F.col("i") < F.size("cs") - 1)
+    later = lambda x: F.slice(x, F.col("i") + 2, F.size(x) - F.col("i") - 1)
+    each = each.select(F.pmod(F.xxhash64("c"), F.lit(2**bits)).alias("r"), "c", F.get("ns", F.col("i")).alias("n"), later("cs").alias("cs"), later("ns").alias("ns"), "w")
+    return each.groupBy("r").applyInArrow(run, "a long, b long, o long")
 
 
 def picked_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(c, s): the shingle set, as bytes, of each wanted document (columns c, doc_id)."""
+    """(c, n, s, z): shingle set, as bytes, its size and histogram, of each wanted document (columns c, h: its name and its text's hash)."""
     wanted = stage_table(wanted, "jaccard-wanted")
-    if wanted.limit(MOST_PICKED + 1).count() <= MOST_PICKED:
-        rows = docs.join(F.broadcast(wanted), "doc_id")
-    else:
-        rows = docs.join(wanted, "doc_id")
+    rows = docs.select(F.xxhash64("text").alias("h"), "text")
+    rows = rows.join(F.broadcast(wanted) if small_enough(wanted, MOST_PICKED) else wanted, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [s.tobytes() for _, s in shingle_sets(part.column(1), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["c", "s"])
+                names, out = part.column(0).to_pylist(), []
+                for i, s in shingle_sets(part.column(1), k):
+                    if names[i] not in seen and fingerprint(s) == names[i]:
+                        seen.add(names[i])
+                        z = np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+                        out.append((names[i], len(s), s.tobytes(), z.tobytes()))
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["c", "n", "s", "z"]
+                )
+
+    return rows.select("c", "text").mapInArrow(tidy(run), "c long, n int, s binary, z binary").dropDuplicates(["c"])
+
+
+def size_class(n: int, percent: int) -> int:
+    """Number of a size's class: sizes of similar sets lie in one class or in neighbours."""
+    at, bound = 0, 1
+    while True:
+        bound = bound * 100 // percent + 1
+        if n < bound:
+            return at
+        at += 1
+
+
+def most_apart(at: int, percent: int) -> int:
+    """Most shingles in which similar sets differ, the smaller one's size being of class `at`."""
+    bound = 1
+    for _ in range(at + 1):
+        bound = bound * 100 // percent + 1
+    least = bound - 1
+    return (100 - percent) * (least + least * 100 // percent) // (100 + percent)
+
+
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which two similar, different sets share one at least.
+
+    For the smaller set's size class, similar sets differ in K shingles at most. Shingles are dealt by hash over
+    K // 2 + 1 groups of PARTS parts: in some group no more than one part can differ, so the other three are
+    equal. Each signature names three parts of a group. A set may be the smaller or the larger of a
+    pair: it has signatures for its own class and for the one below.
+    """
+    out, own = [], size_class(len(s), percent)
+    for at in (own, own - 1):
+        apart = most_apart(at, percent) if at >= 0 else 0
+        if not apart:
+            continue
+        groups = apart // 2 + 1
+        part = (_mix(s ^ U(_GOLD * (at + 1) % 2**64)) % U(PARTS * groups)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(_mix(s[order] + U(at)), dtype=U)])
+        cuts = np.searchsorted(part[order], np.arange(PARTS * groups + 1))
+        parts = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(groups, PARTS)
+        without = (parts.sum(axis=1, dtype=U)[:, None] - parts).ravel()
+        out.append(_mix(without + _mix(np.arange(PARTS * groups, dtype=U) * U(_GOLD) + U(at + 1))))
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def signature_lists(sets: DataFrame, bits: int, percent: int, long: int, apart: bool) -> DataFrame:
+    """(a, b, star) pairs out of the lists of signatures. sets: c, n, s, and l, its component.
+
+    A list of up to `long` documents gives its pairs, a longer one each member with the list's least. With apart, only
+    longer lists whose members lie in several components count: members outside the largest one meet those
+    of other components.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(bits, NAMED)
+        for batch in batches:
+            for c, n, s, named in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                t = signatures(np.frombuffer(s, "<u8"), percent)
+                out = np.zeros(len(t), NAMED)
+                out["t"], out["c"], out["n"], out["l"] = t, c, n, named
+                yield from dealer.add(out)
+        yield dealer.flush()
 
-    return rows.select("c", "text").mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
+    def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        items = np.unique(np.concatenate([np.frombuffer(b, NAMED) for b in blocks["block"]]))
+        firsts, many = runs(items["t"])
+        found, stars = [np.zeros((0, 2), NAMED)], [np.zeros((0, 2), NAMED)]
+        for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
+            rows = items[x : x + m]
+            if apart:
+                names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
+                if m <= long or len(names) == 1:
+                    continue
+                for i in np.flatnonzero(inverse != np.argmax(size)).tolist():
+                    others = rows[(inverse != inverse[i])]
+                    found.append(np.stack([np.broadcast_to(rows[i], len(others)), others], axis=1))
+            elif m > long:
+                stars.append(np.stack([np.broadcast_to(rows[0], m - 1), rows[1:]], axis=1))
+            else:
+                i, j = np.triu_indices(m, 1)
+                found.append(np.stack([rows[i], rows[j]], axis=1))
+        frames = []
+        for pairs, star in ((np.concatenate(found), False), (np.concatenate(stars), True)):
+            n = pairs["n"].astype(np.int64)
+            pairs = pairs["c"][100 * n.min(axis=1) >= percent * n.max(axis=1)]
+            frames.append(pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1), "star": star}).drop_duplicates())
+        return pd.concat(frames, ignore_index=True)
+
+    dealt = sets.select("c", "n", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
+    return dealt.groupBy("r").applyInPandas(meet, "a long, b long, star boolean")
 
 
 def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity: the shorter set's shingles are looked up in the longer by binary search."""
+    """Those of the pairs (a, b) whose sets reach the similarity.
+
+    Histograms of both sets bound how many shingles they differ in; pairs too far apart end there. For the others
+    the shorter set's shingles are looked up in the longer one by binary search.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5))
+            overlap = -(-percent * (na + nb) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= na + nb - 2 * overlap))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,58 +455,64 @@ def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long")
+    def joined(pairs: DataFrame, *names: str) -> DataFrame:
+        left, right = (sets.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]) for side in "ab")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{side}" for x in names for side in "ab"])
+
+    close = stage_table(joined(pairs, "n", "z").mapInArrow(tidy(near), "a long, b long"), "jaccard-near")
+    return joined(close, "s").mapInArrow(tidy(probe), "a long, b long")
 
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links).
+    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    return components(docs, k, percent, long).select("doc_id", "n_shingles", "component_id")
+
+
+def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """Rows of docs as doc_id, n_shingles, f (name of the set), h (hash of the text), component, component_id.
 
     Two documents link when the Jaccard similarity of their sets of k-word shingles is at least percent.
-    T-occurrence search in DivideSkip's manner: each document's shingles divide into short inverted lists
-    and long ones. The short lists of its prefix are merged, which counts how often each partner occurs;
-    partners below the count that the required overlap leaves are dropped, and the shingles on long lists
-    are looked up by binary search in the rest. Documents of equal sets are one node, named by a 64-bit
-    fingerprint, so copies cost one comparison. Only what can still join components is compared: first
-    each node's best partner, then the pairs between different components. Two documents can share at most
-    the smaller number of their long-list shingles and the short-list ones they were seen to share; where
-    that is below the required overlap they are not compared. Members of a long list meet its pivot
-    first; of those left in other components, the ones that can still reach the overlap by long-list
-    shingles alone meet such members of other components.
+    T-occurrence search in DivideSkip's manner: a document's shingles divide into those on short inverted lists
+    and the rest. The short lists of its prefix are merged by a heap that skips; the documents that occur in
+    them as often as the required overlap T leaves are candidates, and all other shingles are looked up in
+    a candidate's set by binary search. Lists of more than `long` documents are not merged: their documents
+    meet in lists of signatures (see signatures()), each made of several shingles, which are short where
+    those of single shingles are long, and long for large groups of near copies alone.
+
+    Documents of equal sets are one node, named by a 64-bit fingerprint, so copies cost one comparison. Only
+    what can still join components is compared: first each node's best partner and the members of long
+    signature lists with the list's least, then the pairs between different components.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows share their class; a null
-    doc_id never becomes a component's name unless its whole class has none. Empty input: no rows.
+    doc_id never becomes a component's name unless its whole class has none. Empty input: no rows. Very long
+    texts are one row's work, linear in their length. Columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
     rows = stage_table(described(docs, k), "jaccard-rows")
-    classes = rows.filter("n_shingles > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    classes = rows.filter("n_shingles > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(20, max(7, int(np.ceil(np.log2(max(1, total) / RANGE_TOKENS + 1)))))
+    bits = min(26, max(7, int(np.ceil(np.log2(max(1, total) / RANGE_TOKENS + 1)))))
 
     lists = stage_table(long_lists(docs, bits, k, long), "jaccard-long")
     least = long
-    while lists.filter(F.col("df") > least).limit(MOST_LONG + 1).count() > MOST_LONG:
+    while not small_enough(lists.filter(F.col("df") > least), MOST_LONG):
         least *= 2
     common = np.array(sorted(r[0] for r in lists.filter(F.col("df") > least).select("t").toLocalIterator()), dtype=np.int64).astype(U)
     sent = spark.sparkContext.broadcast(common)
 
-    found = stage_table(candidates(docs, bits, k, percent, least, sent), "jaccard-met")
-    members = found.filter("t is not null")
-    required = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    beyond = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
-    pairs = found.filter("t is null").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"), F.max("common").alias("common"))
-    pairs = pairs.filter(F.col("o") >= required - F.when(F.col("common") >= 0, F.col("common")).otherwise(beyond)).select("a", "b", "o")
-    stars = members.filter((F.least("common", "o") >= required) & (F.col("a") != F.col("b")))
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(2**40).alias("o"))
-    pairs = stage_table(pairs.union(stars).groupBy("a", "b").agg(F.max("o").alias("o")), "jaccard-pairs")
-
-    nodes = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).union(members.select(F.col("a").alias("f"))).distinct()
-    wanted = nodes.join(classes, "f").select(F.col("f").alias("c"), "doc_id")
+    met = stage_table(met_lists(docs, bits, k, percent, long, sent), "jaccard-met")
+    pairs = stage_table(merged(met, bits, percent), "jaccard-pairs")
+    hot = stage_table(met.filter("w is null").select(F.explode("cs").alias("c")).distinct(), "jaccard-hot")
+    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot).distinct()
+    wanted = nodes.join(classes.select(F.col("f").alias("c"), "h"), "c")
     sets = stage_table(picked_sets(docs, wanted, k), "jaccard-sets")
 
-    best = pairs.groupBy("b").agg(F.max_by("a", "o").alias("a")).select("a", "b").union(pairs.filter(F.col("o") == 2**40).select("a", "b")).distinct()
+    common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_PICKED) else hot, "c", "left_semi")
+    signed = stage_table(signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, long, False), "jaccard-signed")
+    best = pairs.groupBy("b").agg(F.max_by("a", "o").alias("a")).select("a", "b").union(signed.filter("star").select("a", "b")).distinct()
+    best = stage_table(best, "jaccard-best")
     links = stage_table(reaching(best, sets, percent), "jaccard-links-0")
     labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels-0")
 
@@ -353,43 +520,48 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
         named = labels.select(F.col("node").alias(column), F.col("component").alias(name))
         return df.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
-    rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    held = stage_table(labelled(members.select("t", "a", F.col("na").alias("n"), "common"), "a", "la"), "jaccard-members")
-    main = held.groupBy("t", "la").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("la", F.struct("m", "la")).alias("main"), F.count("*").alias("k"))
-    open_lists = held.join(main.filter("k > 1"), "t")
-    x = open_lists.filter("la != main").select("t", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("la").alias("lx"))
-    y = open_lists.select("t", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("common").alias("cy"), F.col("la").alias("ly"))
-    can_reach = (100 + percent) * F.least("cx", "cy") >= percent * (F.col("nx") + F.col("ny"))
-    cross = x.join(y, "t").filter((F.col("lx") != F.col("ly")) & can_reach)
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = rest.union(cross).distinct().join(best, ["a", "b"], "left_anti")
-    links = links.union(stage_table(reaching(rest, sets, percent), "jaccard-links-1"))
+    rest = pairs.select("a", "b").union(signed.filter("not star").select("a", "b"))
+    if not labelled(labelled(signed.filter("star"), "a", "la"), "b", "lb").filter("la != lb").isEmpty():
+        rest = rest.union(signature_lists(labelled(common_sets, "c", "l"), bits, percent, long, True).select("a", "b"))
+    rest = labelled(labelled(rest.distinct(), "a", "la"), "b", "lb").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    links = links.union(stage_table(reaching(stage_table(rest, "jaccard-rest"), sets, percent), "jaccard-links-1"))
     labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels-1")
 
     known = classes.select("f", F.col("doc_id").alias("least")).join(labels.select(F.col("node").alias("f"), "component"), "f", "left")
     known = known.withColumn("component", F.coalesce("component", "f"))
     roots = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(roots, "component").select("f", "component_id")
+    named = known.join(roots, "component").select("f", "component", "component_id")
     out = rows.join(named, "f", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """docs with one document of each component: the one of the least id; columns unchanged.
+    """docs with one document of each component: the one of the least doc_id (null last), then of the least text hash; columns unchanged.
 
-    Rows that share an id are reduced to one; where ids are unique only the dropped ids move.
+    Rows are told apart by doc_id and text hash together, so rows with a null or repeated id are kept or dropped by
+    their own text. Rows equal in both are reduced to one. Documents without words stay, whatever their
+    number. Only the keys of dropped rows move where they are few enough to send to all tasks.
     """
-    found = stage_table(join_components(docs, **kw), "jaccard-components")
-    dropped = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = join_small(docs, stage_table(dropped, "jaccard-dropped"), "doc_id", "left_anti", 2_000_000)
-    repeated = stage_table(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-repeated")
-    if repeated.isEmpty():
-        return kept
-    once = join_small(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_small(kept, repeated, "doc_id", "left_anti").unionByName(once)
+    found = stage_table(components(docs, **kw).filter("n_shingles > 0").select("doc_id", "h", "component"), "jaccard-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    kept = found.groupBy("component").agg(F.min(order).alias("kept"))
+    dropped = found.join(kept, "component").filter(order != F.col("kept")).select("doc_id", "h").distinct()
+    dropped = stage_table(dropped.select(F.col("doc_id").alias("id_x"), F.col("h").alias("h_x")), "jaccard-dropped")
+    again = stage_table(found.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("id_x"), F.col("h").alias("h_x")), "jaccard-repeated")
+    rows = carried(docs, _id=F.col("doc_id"), _h=F.xxhash64("text"))
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        small = F.broadcast(keys) if small_enough(keys, MOST_DROPPED) else keys
+        return rows.join(small, F.col("_id").eqNullSafe(F.col("id_x")) & (F.col("_h") == F.col("h_x")), how)
+
+    rows = matched(rows, dropped, "left_anti")
+    if not again.isEmpty():
+        rows = matched(rows, again, "left_anti").unionByName(matched(rows, again, "left_semi").dropDuplicates(["_id", "_h"]))
+    return rows.select(*returned(docs.columns))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by shared 4-word shingles, Jaccard similarity 0.85 or more. Edge cases: see components()."""
     return join_components(table(spark, sf_dir, "documents"))
 
 

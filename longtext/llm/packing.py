@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stage_table, table
+from .common import ship, stage_table, table, tidy
 from .tokens import balanced, encoder, vocabulary_path, words_of
 
 CAPACITY = 4096
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "piece", "start", "length", "crc"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(encode, f"k {kind}, piece int, start long, length long, crc long")
+    made = docs.select("doc_id", "text").mapInArrow(tidy(encode), f"k {kind}, piece int, start long, length long, crc long")
     return made.select(F.col("k").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"))
 
 

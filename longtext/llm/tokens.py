@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -185,7 +185,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             )
 
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("t"))
-    counted = rows.mapInArrow(encode, f"k {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(encode), f"k {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
