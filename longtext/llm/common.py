@@ -39,17 +39,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of one Arrow batch that goes to a Python function: long texts make small batches.
-BATCH_ROWS, BATCH_LIMIT = 2_000, 8 << 20
+#: Bytes of one Arrow batch that goes to a Python function: long texts make batches of few rows.
+BATCH_LIMIT = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors where their PYTHONPATH does not have it, and bound Arrow batches where the session does not."""
     import shutil
 
-    for name, value, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_LIMIT, str(2**31 - 1))):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batch, str(2**31 - 1)) == str(2**31 - 1):
+        spark.conf.set(batch, str(BATCH_LIMIT))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_longtext_sent", False):
         return

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, stage_table, table, tidy
-from .tokens import balanced, encoder, vocabulary_path, words_of
+from .tokens import balanced, token_ids, vocabulary_path
 
 CAPACITY = 4096
 END = 1
@@ -25,16 +25,16 @@ GAP = 16
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Token pieces of each document: (doc_id, piece, start, length, ids_crc32).
 
-    Ids are encoded word by word (see tokens.WordEncoder), then `end`. Only the ids of one batch are held.
+    Ids are those of tokens.token_ids, then `end`. Only the ids of one batch are held.
     """
     ship(docs.sparkSession)
-    last = np.array([end], dtype="<u4").tobytes()
+    last = np.array([end], dtype="<u4")
 
-    def cut(key, ids: bytes, out: list) -> None:
-        n = len(ids) // 4
-        for p, at in enumerate(range(0, n, capacity)):
-            part = ids[4 * at : 4 * (at + capacity)]
-            out.append((key, p, at, len(part) // 4, zlib.crc32(part)))
+    def cut(key, held: list, out: list) -> None:
+        ids = np.concatenate([*held, last])
+        for p, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at : at + capacity]
+            out.append((key, p, at, len(part), zlib.crc32(part)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary or vocabulary_path()
@@ -42,17 +42,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             keys, out, held = batch.column(0).to_pylist(), [], []
             n_rows = -1
             for rows, parts in balanced(batch.column(1)):
-                offsets, index, words = words_of(parts)
-                coded = encoder(path, "ids").values(words)
-                for j, row in enumerate(rows.tolist()):
-                    ids = b"".join(map(coded.__getitem__, index[offsets[j] : offsets[j + 1]].tolist()))
+                for row, ids in zip(rows.tolist(), token_ids(parts, path), strict=True):
                     if row != n_rows and n_rows >= 0:
-                        cut(keys[n_rows], b"".join(held) + last, out)
+                        cut(keys[n_rows], held, out)
                         held = []
                     n_rows = row
                     held.append(ids)
             if n_rows >= 0:
-                cut(keys[n_rows], b"".join(held) + last, out)
+                cut(keys[n_rows], held, out)
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "piece", "start", "length", "crc"])
@@ -112,29 +109,30 @@ def group_packer(capacity: int, turn: int, final: bool):
     def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
         lengths = rows.column("length").to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        spare = len(fill) * capacity - int(lengths.sum())
-        proven = spare >= capacity and len(fill) == lower_bound(lengths, capacity)
-        open_bins = np.zeros(len(fill), bool) if final or proven else capacity - fill > GAP
+        open_bins = np.zeros(len(fill), bool) if final else capacity - fill > GAP
         rows = rows.drop_columns(["_g"])
         rows = rows.append_column("sequence_id", pa.array((turn << 56) + (key[0].as_py() << 24) + bins, pa.int64()))
-        return rows.append_column("offset", pa.array(offsets, pa.int64())).append_column("_open", pa.array(open_bins[bins]))
+        rows = rows.append_column("offset", pa.array(offsets, pa.int64()))
+        for name, value in (("group_bins", len(fill)), ("group_bound", lower_bound(lengths, capacity))):
+            rows = rows.append_column(name, pa.array(np.full(len(bins), value), pa.int64()))
+        return rows.append_column("_open", pa.array(open_bins[bins]))
 
     return pack_group
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Add sequence_id and offset to pieces (columns kept); every length is within 1..capacity.
+    """Add sequence_id, offset, group_bins and group_bound to pieces (columns kept); every length is within 1..capacity.
 
     Full pieces are sequences of their own. The rest is dealt over groups of about group_rows, and each
-    group is packed best-fit decreasing. A group whose gaps add up to a sequence or more while its lower
-    bound proves that it needs all its sequences is closed. In the others the sequences without a notable
-    gap close; the documents of those with gaps meet those of other groups in a new deal and are packed
-    again, until one group holds them, a round closes hardly any, or the rounds end. Groups have a set
-    size, so memory does not grow with the input.
+    group is packed best-fit decreasing; group_bins is the number of its sequences and group_bound the number
+    that its lower bound proves necessary, so equal numbers certify the group. Sequences without a notable gap
+    close; the documents of those with gaps meet those of other groups in a new deal and are packed again,
+    until one group holds them, a round closes hardly any, or the rounds end. Groups have a set size, so memory
+    does not grow with the input.
     """
     names = made.columns
     full = made.filter(F.col("length") >= capacity)
-    full = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.lit(1).cast("long").alias(x) for x in ("group_bins", "group_bound")])
     rest = made.filter(F.col("length") < capacity)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
     out, before = [full], None
@@ -148,7 +146,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
 
         dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
         packed = stage_table(
-            dealt.groupBy("_g").applyInArrow(group_packer(capacity, turn, final), f"{schema}, sequence_id long, offset long, _open boolean"), f"pack-{turn}"
+            dealt.groupBy("_g").applyInArrow(group_packer(capacity, turn, final), f"{schema}, sequence_id long, offset long, group_bins long, group_bound long, _open boolean"), f"pack-{turn}"
         )
         out.append(packed.filter(~F.col("_open")).drop("_open"))
         if final:
@@ -161,7 +159,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
 
 
 def pack_documents(docs: DataFrame, **kw) -> DataFrame:
-    """Pieces of docs with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Pieces of docs with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_bins, group_bound.
 
     Null and empty texts are the end token alone. Repeated rows are packed as often as they occur.
     An empty table gives no rows; columns beside doc_id and text are not read.
@@ -170,4 +168,5 @@ def pack_documents(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens. Edge cases: see pack_documents()."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ LIMIT = 2048
 #: Bytes of text that are encoded together; longer texts are split at white space.
 BATCH_BYTES = 4 << 20
 #: Pieces of words that a worker remembers: two generations of this many.
-REMEMBERED = 120_000
-_BREAK = re.compile("[ \t-\r]")
+REMEMBERED = 300_000
+#: A long text may be cut before a white space that follows anything else.
+_BREAK = re.compile("(?<=[^ \t-\r])[ \t-\r]")
 _ENCODERS: dict = {}
+_BY_WORDS: dict = {}
 
 
 #: A word of letters that the normaliser only turns to lower case, one for one, and marks after it: both are pieces of
@@ -151,10 +154,73 @@ def words_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
+def by_words(path: str) -> bool:
+    """Whether a vocabulary's ids are those of its white-space separated words in turn: lower case, white space dropped, word ends marked."""
+    if path.endswith(".model"):
+        return False
+    if path not in _BY_WORDS:
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        _BY_WORDS[path] = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and told["model"].get("end_of_word_suffix") == "</w>"
+            and first.get("type") == "Split"
+            and first.get("invert") is True
+            and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern"))
+        )
+    return _BY_WORDS[path]
+
+
+def encoded_parts(parts: list[str], path: str) -> list:
+    """Ids of whole parts under any vocabulary: sentencepiece for .model, tokenizers otherwise, many in one call."""
+    if ("whole", path) not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            _ENCODERS["whole", path] = SentencePieceProcessor(model_file=path)
+        else:
+            from tokenizers import Tokenizer
+
+            _ENCODERS["whole", path] = Tokenizer.from_file(path)
+            _ENCODERS["whole", path].no_truncation()
+            _ENCODERS["whole", path].no_padding()
+    made = _ENCODERS["whole", path]
+    if path.endswith(".model"):
+        return made.encode(parts, num_threads=1)
+    return [e.ids for e in made.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def token_ids(parts: list[str], path: str) -> Iterator[np.ndarray]:
+    """Ids of each part, as unsigned 32-bit integers. Words that occur again in a batch are encoded once where the vocabulary allows it."""
+    if not by_words(path):
+        yield from (np.array(x, dtype="<u4") for x in encoded_parts(parts, path))
+        return
+    offsets, index, words = words_of(parts)
+    coded = encoder(path, "ids").values(words)
+    flat, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    starts, many = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    ends = np.cumsum(many)
+    ids = flat[np.repeat(starts - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.concatenate([[0], ends])[offsets]
+    yield from (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
 def lengths(texts: pa.Array, path: str) -> np.ndarray:
-    """Number of tokens of each text; null counts as empty."""
+    """Number of tokens of each text; null counts as empty.
+
+    Batches hold about equal bytes. Long texts are cut where white space begins, which no vocabulary of words or of
+    bytes with leading spaces joins across; under a sentencepiece model texts stay whole.
+    """
     found = np.zeros(len(texts), dtype=np.int64)
-    for rows, parts in balanced(texts):
+    for rows, parts in balanced(texts, sys.maxsize if path.endswith(".model") else BATCH_BYTES):
+        if not by_words(path):
+            np.add.at(found, rows, [len(x) for x in encoded_parts(parts, path)])
+            continue
         offsets, index, words = words_of(parts)
         sizes = np.array(encoder(path, "lengths").values(words), dtype=np.int64)[index] if words else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -172,7 +238,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     """One row per row of docs: key, n_bytes, n_tokens, over_limit.
 
     vocabulary: a path that every executor can open; by default each worker asks the installed package
-    for its file. Null and empty texts have 0 bytes and 0 tokens; rows are independent, so repeats,
+    for its file. Any vocabulary of tokenizers or sentencepiece gives its library's counts. Under one whose ids
+    are those of its words in turn, as the default, only a batch's different words are encoded. Null and empty texts have 0 bytes and 0 tokens; rows are independent, so repeats,
     ties and hot sources need nothing special, and columns beside key and text are not read.
     """
     ship(docs.sparkSession)
@@ -190,4 +257,5 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the default vocabulary. Edge cases: see count_tokens()."""
     return count_tokens(table(spark, sf_dir, "documents"))
