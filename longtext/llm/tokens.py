@@ -170,7 +170,7 @@ def by_words(path: str) -> bool:
             and told["model"].get("end_of_word_suffix") == "</w>"
             and first.get("type") == "Split"
             and first.get("invert") is True
-            and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern"))
+            and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
         )
     return _BY_WORDS[path]
 
