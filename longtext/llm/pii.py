@@ -16,7 +16,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 TERM = r"[\p{L}\p{N}]{3,}"
-#: Code points on either side of a protected value that tell its contexts apart.
+#: Code points on either side of a protected value that, with the value, tell contexts apart.
 CONTEXT = 80
 #: Different contexts in which an entity must meet a term before their estimate counts.
 SUPPORT = 2
@@ -87,9 +87,9 @@ def entities_of(text: Column) -> Column:
     def each(kind: str) -> Column:
         def named(x: Column) -> Column:
             at = F.greatest(x["s"] - CONTEXT, F.lit(0))
-            context = F.md5(F.concat(F.substring(text, at + 1, x["s"] - at), F.lit("\x01"), F.substring(text, x["e"] + 1, F.lit(CONTEXT))))
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.conv(F.substring(context, 1, 2), 16, 10).cast("int") % MASK)
             value = VALUE[kind](x["m"])
+            context = F.md5(F.concat_ws("\x01", F.substring(text, at + 1, x["s"] - at), value, F.substring(text, x["e"] + 1, F.lit(CONTEXT))))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.conv(F.substring(context, 1, 2), 16, 10).cast("int") % MASK)
             names = F.array(F.concat(F.lit(f"{kind}="), value), F.concat(F.lit(f"{kind}~"), GROUP[kind](value)), F.lit(kind))
             return F.transform(names, lambda n: F.struct(n.alias("name"), bit.alias("bits")))
 
@@ -256,7 +256,7 @@ bt AS (SELECT r, string_agg(CASE WHEN s > p THEN substr(t, p + 1, s - p) ELSE ''
        FROM z JOIN d USING (r) GROUP BY r),
 c AS (SELECT b.r, kind, v, CASE k WHEN 0 THEN regexp_replace(v, '^[^@]*@', '@') WHEN 1 THEN regexp_replace(v, '[0-9]+$', '*')
              WHEN 2 THEN substr(v, 1, 6) || '*' ELSE regexp_replace(v, '....$', '*') END AS gr,
-             md5(substr(t, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) || chr(1) || substr(t, e + 1, 80)) AS h FROM b JOIN d ON b.r = d.r),
+             md5(substr(t, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) || chr(1) || v || chr(1) || substr(t, e + 1, 80)) AS h FROM b JOIN d ON b.r = d.r),
 q AS (SELECT r, unnest([kind || '=' || v, kind || '~' || gr, kind]) AS entity,
              1::BIGINT << (((strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2, 1)) - 1) % 62)::INT AS bits FROM c),
 en AS (SELECT r, entity, bit_or(bits) AS bits FROM q GROUP BY ALL),

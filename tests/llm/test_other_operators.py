@@ -52,6 +52,32 @@ def test_long_texts_are_split_safely(encoded):
     assert sum(len(p) for _, p in parts) > 20 and {i for rows, _ in parts for i in rows} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_every_vocabulary_counts_as_its_library(name, monkeypatch):
+    import pyarrow as pa
+
+    path, texts = tokens.vocabulary_path(name), [*ODD, "a  b\n\nc   d", "  lead and trail  ", *pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:60]]
+    if name.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        want = [x for x in SentencePieceProcessor(model_file=path).encode([t or "" for t in texts])]
+    else:
+        from tokenizers import Tokenizer
+
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert tokens.by_words(path) == (name == "word_bpe_49k.json")
+    for most in (tokens.BATCH_BYTES, 200):
+        monkeypatch.setattr(tokens, "BATCH_BYTES", most)
+        assert tokens.lengths(pa.array(texts), path).tolist() == [len(x) for x in want]
+    assert [x.tolist() for x in tokens.token_ids([t or "" for t in texts], path)] == want
+
+
+def test_empty_tables_have_no_tokens_pages_or_sequences(spark):
+    none = documents(spark, ["x"]).limit(0)
+    assert tokens.count_tokens(none).count() == packing.pack_documents(none).count() == 0
+    assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def check_packed(rows, want, capacity):
     """rows: packed pieces; want: {doc_id: ids}."""
     for doc, ids in want.items():
@@ -84,6 +110,7 @@ def test_packing_exchange(spark, kind):
         s = s.sort_values("offset")
         assert s.length.sum() <= 100 and s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]]
     bound = packing.lower_bound(rows.length.to_numpy(), 100)
+    assert (rows.group_bound <= rows.group_bins).all()
     assert rows.sequence_id.nunique() <= (bound if kind == "large" else bound * 1.03 + 2)
 
 
@@ -148,6 +175,49 @@ def test_jaccard_components(spark, seed, long, k, percent):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
+def test_merge_skip():
+    r = random.Random(7)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(40), r.randint(1, 20))) for _ in range(r.randint(1, 9))]
+        weights = [r.randint(1, 5) for _ in lists]
+        least = r.randint(1, 14)
+        total = {i: sum(w for x, w in zip(lists, weights, strict=True) if i in x) for i in range(40)}
+        assert jaccard_join.merge_skip(lists, weights, least) == [(i, n) for i, n in total.items() if n >= least]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_a_signature(percent):
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        base = r.integers(0, 2**64, r.integers(6, 200), dtype=np.uint64)
+        x = np.unique(base)
+        y = np.unique(np.concatenate([x[r.random(len(x)) > r.random() * 0.2], r.integers(0, 2**64, r.integers(0, 1 + len(x) // 10), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and both < len(np.union1d(x, y)) and 100 * both >= percent * len(np.union1d(x, y)):
+            assert set(jaccard_join.signatures(x, percent).tolist()) & set(jaccard_join.signatures(y, percent).tolist())
+
+
+def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
+    """Documents made of 5 of 40 passages: few pairs are looked at, and sets are compared for those that link."""
+    r, seen = random.Random(5), {}
+    store = jaccard_join.stage_table
+
+    def counted(df, name):
+        out = store(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage_table", counted)
+    passages = [" ".join(f"w{r.randrange(10**6)}" for _ in range(100)) for _ in range(40)]
+    texts = [" ".join(r.sample(passages, 5)) for _ in range(800)]
+    copy = texts[0].split()
+    copy[3] = "other"
+    texts.append(" ".join(copy))
+    got = jaccard_join.join_components(documents(spark, texts)).collect()
+    assert {x.doc_id: x.component_id for x in got if x.doc_id in (0, 800)} == {0: 0, 800: 0}
+    assert seen["jaccard-signed"] < 0.01 * 800 * 800 and seen["jaccard-near"] < 20
+
+
 def test_one_of_each(spark):
     texts = ["a b c d e f g h"] * 3 + ["x y z w v", None, ""]
     docs = documents(spark, texts).union(documents(spark, ["a b c d e f g h"]))
@@ -155,6 +225,17 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    """Two texts under one id, near copies without any id: each text stays or goes by itself; columns keep their values."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, "p"), (None, long + " end", "q"), (9, "one two three four five", "r"), (9, "quite another text is here", "s"), (None, "lonely words of no other", "t"), (None, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = jaccard_join.one_of_each(docs)
+    got = sorted(r.component for r in kept.collect())
+    assert kept.columns == docs.columns and got in (list("prstu"), list("qrstu"))
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.join_components(documents(spark, ["x"]).limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e", 1, "x"), (5, "a b c d e", 2, "y"), (5, None, 3, "z")], "doc_id long, text string, f long, component_id string")

@@ -58,9 +58,9 @@ def mixed_texts(n=300, seed=4):
 
 def test_pii_base(spark):
     texts = mixed_texts()
-    rows, _ = pii.detect(documents(spark, texts).select("doc_id", "text"), columns=["doc_id"])
+    rows = pii.detect(documents(spark, texts).select("doc_id", "text"))
     order = {k: i for i, (k, _) in enumerate(PII)}
-    for r in rows.select("doc_id", *pii.KINDS).collect():
+    for r in rows.select("_in.doc_id", *pii.KINDS).collect():
         want = base(PII, texts[r.doc_id] or "", keep_pii)
         got = [(k, x.s, x.e) for k in order for x in r[k]]
         assert got == want, texts[r.doc_id]
@@ -71,7 +71,7 @@ def test_secret_base(spark):
     found = secrets.scan(documents(spark, texts).select("doc_id", "text"))
     kinds = [k for k, _ in SECRETS]
     line = secrets.joined_spans([(i, k, k) for i, k in enumerate(kinds)], True)
-    for r in found.select("doc_id", line.alias("got"), F.sha2(line, 256).alias("digest")).collect():
+    for r in found.select("_in.doc_id", line.alias("got"), F.sha2(line, 256).alias("digest")).collect():
         spans = sorted(base(SECRETS, texts[r.doc_id] or "", keep_secret), key=lambda x: (x[1], kinds.index(x[0])))
         want = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
         assert (r.got, r.digest) == (want, hashlib.sha256(want.encode()).hexdigest()), texts[r.doc_id]
@@ -87,17 +87,96 @@ def window_entropy(s):
 
 def test_entropy(spark):
     r = random.Random(2)
-    pool = ["abcdef0123456789", "ABCDEFGHabcdefgh0123456789+/", "aab1", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    pool = ["abcdef0123456789", "ABCDEFGHabcdefgh0123456789+/", "aab1", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     words = ["".join(r.choice(p) for _ in range(r.randint(20, 60))) for p in pool for _ in range(20)] + ["123e4567-e89b-12d3-a456-426614174000", "x" * 30, "1" * 30]
-    found = {x.doc_id: x.entropy for x in secrets.scan(documents(spark, words).select("doc_id", "text")).select("doc_id", "entropy", "hex").collect()}
+    found = {x.doc_id: x.entropy for x in secrets.scan(documents(spark, words).select("doc_id", "text")).select("_in.doc_id", "entropy", "hex").collect()}
     for i, w in enumerate(words):
-        hexed = re.fullmatch("[0-9a-fA-F]+", w) is not None
-        wanted = re.search("[0-9]", w) and re.search("[A-Za-z]", w) and window_entropy(w) >= secrets.LEAST_BITS["hex" if hexed else "mixed"] - 1e-9
+        named = [k for k, p in (("digits", "[0-9]+"), ("hex", "(?=.*[0-9])[0-9a-fA-F]+"), ("letters", "[^0-9]+"), ("mixed", ".*")) if re.fullmatch(p, w)][0]
+        wanted = window_entropy(w) >= secrets.LEAST_BITS[named] - 1e-9
         if re.search("[0-9a-f]{24}", w) or re.search(secrets.ALLOWED.replace("(?i:", "(?:"), w, re.I):
             wanted = False
         assert bool(found[i]) == bool(wanted), w
 
 
+HARMLESS = """getElementsByClassName internationalization_of_things ThisIsAVeryLongClassNameIndeed com/example/project/module/util
+aaaaaaaaaaaaaaaaaaaaaaaa 00000000000000000000000000 ==================== ---------------------- donaudampfschifffahrtsgesellschaft
+2024-01-01T00-00-00Z-backup-file 123e4567-e89b-12d3-a456-426614174000 0123456789012345678901234 pneumonoultramicroscopicsilicovolcano
+changeme-changeme-changeme your_sample_api_goes_here12 src/main/java/org/tools/readers 1111222233334444555566667777 abababababababababababab
+this-is-the-title-of-a-blog-post and_this_is_a_snake_case_name antidisestablishmentarianism-again llanfairpwllgwyngyllgogery""".split()
+
+
+def test_entropy_recall_and_precision(spark):
+    import string
+
+    r = random.Random(8)
+    pools = ["0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters]
+    planted = ["".join(r.choice(p) for _ in range(n)) for p in pools for n in (32, 40, 48) for _ in range(40)]
+    texts = [f"some words before {w} and after" for w in [*planted, *HARMLESS]]
+    found = {x.doc_id: x.entropy for x in secrets.scan(documents(spark, texts)).select("_in.doc_id", "entropy").collect()}
+    caught = [i for i, e in found.items() if e]
+    true = [i for i in caught if i < len(planted)]
+    assert len(true) >= 0.95 * len(planted), len(true) / len(planted)
+    assert len(true) >= 0.97 * len(caught), [texts[i] for i in caught if i >= len(planted)]
+
+
+def disclosures(texts):
+    """Plain Python for revealing terms: {term: most disclosure}."""
+    held, heard, many, met, contexts = {}, {}, {}, {}, {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(k, m.start(), m.end(), m[0]) for k, p in PII for m in re.finditer(p, t) if keep_pii(k, m)]
+        bare, at = "", 0
+        for _, s, e, _ in sorted(spans, key=lambda x: x[1:3]):
+            if s >= at:
+                bare += t[at:s] + " "
+            at = max(at, e)
+        terms = {w.lower() for w in re.findall(r"[^\W_]{3,}", bare + t[at:])}
+        names = {}
+        for k, s, e, m in spans:
+            v = m.lower() if k == "email" else m if k == "ip" else re.sub("[^0-9]", "", m)
+            g = {"email": re.sub("^[^@]*@", "@", v), "ip": re.sub("[0-9]+$", "*", v), "card": v[:6] + "*", "phone": v[:-4] + "*"}[k]
+            h = hashlib.md5((t[max(0, s - 80) : s] + f"\x01{v}\x01" + t[e : e + 80]).encode()).hexdigest()
+            for name in (f"{k}={v}", f"{k}~{g}", k):
+                names.setdefault(name, set()).add(int(h[:2], 16) % 62)
+        for w in terms:
+            heard[w] = heard.get(w, 0) + 1
+        for name, bits in names.items():
+            many[name] = many.get(name, 0) + 1
+            contexts.setdefault(name, set()).update(bits)
+            for w in terms:
+                met.setdefault((name, w), [0, set()])
+                met[name, w][0] += 1
+                met[name, w][1] |= bits
+    out = {}
+    for (name, w), (n, bits) in met.items():
+        if len(bits) >= 2 and many[name] < len(texts):
+            d = 1 + math.log(n / (heard[w] + n / len(bits))) / math.log(len(texts) / many[name])
+            out[w] = max(d, out.get(w, -math.inf))
+    return out
+
+
+def test_revealing_terms_against_plain_python(spark):
+    r = random.Random(12)
+    values = ["a.b@c.de", "x.y@c.de", "q@zz.org", "1.2.3.4", "1.2.3.77", "4111 1111 1111 1111", "+1 (499) 555-6503"]
+    owner = {v: f"owner{i}" for i, v in enumerate(values)}
+    texts = []
+    for i in range(160):
+        words = [f"w{min(int(r.expovariate(0.08)), 90)}xyz" for _ in range(r.randint(3, 40))]
+        if r.random() < 0.3:
+            v = r.choice(values + values[:1] * 6)
+            words.insert(r.randrange(len(words)), v)
+            if v == values[0] or r.random() < 0.8:
+                words.insert(0, owner[v])
+        elif r.random() < 0.03:
+            words.append(r.choice(list(owner.values())[1:]))
+        texts.append(" ".join(words))
+    texts += texts[:30] + [None, ""]
+    rows = pii.with_values(documents(spark, texts), "text")
+    got = {x.term: x.r for x in pii.revealing_terms(rows).collect()}
+    want = {w: d >= pii.REMOVE for w, d in disclosures(texts).items() if d >= pii.GENERALISE}
+    assert got == want and len(want) > 5 and any(want.values()) and not all(want.values())
+
+
 def test_pii_terms_and_redaction(spark):
     texts = [f"{'north ' * i} contact Zyxvut about a.b@c.de today please number {i}" for i in range(6)] + ["plain text about nothing"] * 20 + [None, "", "call +1 (499) 555-6503 or 1.2.3.4, 4111 1111 1111 1111"]
     out = {r.doc_id: r for r in pii.sanitise(documents(spark, texts)).collect()}
@@ -110,18 +189,19 @@ def test_pii_terms_and_redaction(spark):
 
 def test_pii_terms_far_from_the_value(spark):
     fill = "plain text about nothing much " * 8
-    texts = [f"Zyxvut heads page {i} {fill} write to a.b@c.de [EMAIL] {i}" for i in range(6)] + [f"{fill} zyxvut once more"] + ["plain text about nothing much page write heads"] * 60
+    texts = [f"Zyxvut heads page {i} {fill} write to a.b@c.de [EMAIL] {i}" for i in range(6)] + [f"{fill} zyxvut once more"] + ["plain text about nothing much page write heads email"] * 60
     out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
     assert not [i for i, t in out.items() if "zyxvut" in t.lower()]
     assert "[EMAIL] [EMAIL] 0" in out[0] and out[7] == texts[7] and out[6].startswith(fill)
 
 
 def test_pii_terms_of_values_seen_once(spark):
+    """A name that always stands with addresses, each seen once, discloses their kind; one context alone proves nothing."""
     common = ["plain text about nothing much"] * 60
-    texts = ["Zyxvut text about nothing x.y@c.de", *["Qwopil plain about much +1 (499) 555-6503"] * 3, "qwopil plain text", *common]
+    texts = [f"Zyxvut text about nothing x{i}.y@c{i}.de" for i in range(8)] + ["only Qwopil plain about much +1 (499) 555-6503"] * 3 + ["zyxvut plain text", *common]
     out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
-    assert out[0] == "[TERM] text about nothing [EMAIL]"
-    assert out[1] == "Qwopil plain about much [PHONE]" and out[4] == texts[4] and out[5] == texts[5]
+    assert out[0] == "[WORD] text about nothing [EMAIL]" and out[11] == "[WORD] plain text"
+    assert out[8] == "only Qwopil plain about much [PHONE]" and out[12] == texts[12]
 
 
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -163,6 +243,20 @@ def test_mixing(spark):
         assert want[s] - 1 <= got <= want[s] + 40
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    rows = [(None if i % 3 else 7, f"t{i % 50} " * r.randint(1, 30), "en", ["a", "b", None][i % 3 if i < 600 else 0], 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes = {}
+    for x in rows:
+        sizes[x[3]] = sizes.get(x[3], 0) + len(x[1].split())
+    want = targets(sizes)
+    taken = mixing.mix(docs)
+    assert {x.source: x.n for x in taken.groupBy("source").agg(F.sum("taken").alias("n")).collect()} == {s: math.floor(t) for s, t in want.items()}
+    for x in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_size(F.col("text"))).alias("n")).collect():
+        assert want[x.source] - 1 <= x.n < want[x.source] + 30
+
+
 def repeated(words):
     seen = {}
     for i in range(len(words) - 7):
@@ -175,7 +269,7 @@ def test_quality_rules(spark):
     texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 60))) + r.choice(["", "\nx y\nx y\n \nx y", " ***", "\t\x0b w"]) for _ in range(150)]
     texts += ["common line of words here\n" + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)] + ["common line of words here\nCOMMON  line of words here\nshort tail of mine that has eight words"] * 3 + [None, "", "a" * 5000]
     docs = documents(spark, texts, ["h"] * len(texts))
-    got = quality_rules.rules(docs).collect()
+    got = quality_rules.judged(docs).select("_in.*", "*").drop("_in").collect()
     assert len(got) == len(texts)
     for x in got:
         t = x.text or ""
@@ -208,13 +302,36 @@ def test_boilerplate_of_large_hosts(spark):
             assert out == dict(enumerate(want)), (host, listed)
 
 
-def test_empty_tables_and_clashing_columns(spark):
+#: Names that the operators use for columns of their own.
+INTERNAL = """_in _row _key _text _spans _names email ip card phone generalise remove gone general term terms form entity bits n n_t n_v r name _salt
+_host _k _common _words _lines _gone _rest h kept base_failed n_words word_chars n_symbols n_dup_lines n_repeat_words boilerplate_words n_removed_lines
+id size key part taken target whole left cut of source_size _times _epoch upto in_part before_part assign access hex entropy _cand key.x c f l""".split()
+
+
+@pytest.mark.parametrize("operator", [pii.sanitise, mixing.mixed_documents, quality_rules.clean_documents])
+def test_clashing_columns_keep_their_values(spark, operator):
+    """Every column of the caller's comes back with its own values, whatever its name."""
+    words = " ".join(f"w{i}" for i in range(25))
+    names = ["doc_id", "text", "source", *INTERNAL]
+    rows = [(i, f"{words} mail me {i} a{i}@b.cd", "s", *[f"{n}-{i}" for n in INTERNAL]) for i in range(4)] + [(None,) * len(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in INTERNAL))
+    out = operator(docs)
+    assert out.columns == names
+    for x in out.collect():
+        assert tuple(x)[3:] == (tuple(f"{n}-{x[0]}" for n in INTERNAL) if x[0] is not None else (None,) * len(INTERNAL))
+
+
+def test_scans_carry_any_columns(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefgh", *INTERNAL), (None, None, *INTERNAL)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in INTERNAL))
+    for found in (secrets.scan(docs), pii.detect(docs)):
+        assert [tuple(x)[2:] for x in found.select("_in.*").collect()] == [tuple(INTERNAL)] * 2
+
+
+def test_empty_tables_and_repeated_rows(spark):
     none = spark.createDataFrame([], DOCS)
-    assert pii.sanitise(none).count() == mixing.mix(none).count() == mixing.mixed_documents(none).count() == quality_rules.rules(none).count() == secrets.scan(none).count() == 0
-    odd = spark.createDataFrame([(1, "a b 1.2.3.4", "s", 3, "y"), (None, None, None, None, None), (1, "a b 1.2.3.4", "s", 3, "y")], "doc_id long, text string, source string, size long, `key.x` string")
-    assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == 3
-    assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mix(odd).count() == 3
-    assert quality_rules.rules(odd).count() == 3 and secrets.scan(odd).count() == 3
+    assert pii.sanitise(none).count() == mixing.mix(none).count() == mixing.mixed_documents(none).count() == quality_rules.judged(none).count() == secrets.scan(none).count() == 0
+    odd = spark.createDataFrame([(1, "a b 1.2.3.4", "s"), (None, None, None), (1, "a b 1.2.3.4", "s")], "doc_id long, text string, source string")
+    assert pii.sanitise(odd).count() == mixing.mix(odd).count() == quality_rules.judged(odd).count() == secrets.scan(odd).count() == 3
 
 
 def test_running_sums(spark):
