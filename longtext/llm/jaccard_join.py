@@ -382,12 +382,12 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def signature_lists(sets: DataFrame, bits: int, percent: int, long: int, apart: bool) -> DataFrame:
-    """(a, b, star) pairs out of the lists of signatures. sets: c, n, s, and l, its component.
+def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> DataFrame:
+    """(a, b, o) pairs out of the lists of signatures, with the number of lists. sets: c, n, s, and l, its component.
 
-    A list of up to `long` documents gives its pairs, a longer one each member with the list's least. With apart, only
-    longer lists whose members lie in several components count: members outside the largest one meet those
-    of other components.
+    Modes: "stars" gives each member with its list's least. The others pass over lists whose members are all of one
+    component: "heads" gives members outside the list's largest component one member of each other one, another in
+    each list, and "all" gives them all members of the others.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,30 +403,30 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, long: int, apart:
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([np.frombuffer(b, NAMED) for b in blocks["block"]]))
         firsts, many = runs(items["t"])
-        found, stars = [np.zeros((0, 2), NAMED)], [np.zeros((0, 2), NAMED)]
+        found = [np.zeros((0, 2), NAMED)]
         for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
             rows = items[x : x + m]
-            if apart:
-                names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
-                if m <= long or len(names) == 1:
-                    continue
-                for i in np.flatnonzero(inverse != np.argmax(size)).tolist():
-                    others = rows[(inverse != inverse[i])]
-                    found.append(np.stack([np.broadcast_to(rows[i], len(others)), others], axis=1))
-            elif m > long:
-                stars.append(np.stack([np.broadcast_to(rows[0], m - 1), rows[1:]], axis=1))
-            else:
-                i, j = np.triu_indices(m, 1)
-                found.append(np.stack([rows[i], rows[j]], axis=1))
-        frames = []
-        for pairs, star in ((np.concatenate(found), False), (np.concatenate(stars), True)):
-            n = pairs["n"].astype(np.int64)
-            pairs = pairs["c"][100 * n.min(axis=1) >= percent * n.max(axis=1)]
-            frames.append(pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1), "star": star}).drop_duplicates())
-        return pd.concat(frames, ignore_index=True)
+            if mode == "stars":
+                found.append(np.stack([np.broadcast_to(rows[0], m - 1), rows[1:]], axis=1))
+                continue
+            names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            others = rows
+            if mode == "heads":
+                order = np.argsort(_mix(rows["c"].view(U) ^ rows["t"]))
+                others = rows[order[np.unique(inverse[order], return_index=True)[1]]]
+            for i in np.flatnonzero(inverse != np.argmax(size)).tolist():
+                part = others[others["l"] != rows["l"][i]]
+                found.append(np.stack([np.broadcast_to(rows[i], len(part)), part], axis=1))
+        pairs = np.concatenate(found)
+        n = pairs["n"].astype(np.int64)
+        pairs = pairs["c"][100 * n.min(axis=1) >= percent * n.max(axis=1)]
+        frame = pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+        return frame.groupby(["a", "b"], sort=False).size().rename("o").reset_index()
 
     dealt = sets.select("c", "n", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "a long, b long, star boolean")
+    return dealt.groupBy("r").applyInPandas(meet, "a long, b long, o long")
 
 
 def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -480,8 +480,9 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
     those of single shingles are long, and long for large groups of near copies alone.
 
     Documents of equal sets are one node, named by a 64-bit fingerprint, so copies cost one comparison. Only
-    what can still join components is compared: first each node's best partner and the members of long
-    signature lists with the list's least, then the pairs between different components.
+    what can still join components is compared: first each node's best partner, by short lists and among the least
+    members of its signature lists; then the pairs of short lists between different components, and members of signature lists with
+    one member of each other component; then all members of different components that share a signature list.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows share their class; a null
     doc_id never becomes a component's name unless its whole class has none. Empty input: no rows. Very long
@@ -510,22 +511,26 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
     sets = stage_table(picked_sets(docs, wanted, k), "jaccard-sets")
 
     common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_PICKED) else hot, "c", "left_semi")
-    signed = stage_table(signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, long, False), "jaccard-signed")
-    best = pairs.groupBy("b").agg(F.max_by("a", "o").alias("a")).select("a", "b").union(signed.filter("star").select("a", "b")).distinct()
-    best = stage_table(best, "jaccard-best")
-    links = stage_table(reaching(best, sets, percent), "jaccard-links-0")
-    labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels-0")
+    signed = signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, "stars").groupBy("a", "b").agg(F.sum("o").alias("o"))
+    nearest = lambda found: found.groupBy("b").agg(F.max_by("a", F.struct("o", "a")).alias("a")).select("a", "b")
+    links = reaching(stage_table(nearest(pairs).union(nearest(signed)).distinct(), "jaccard-best"), sets, percent)
+    links = stage_table(links, "jaccard-links-0")
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(column), F.col("component").alias(name))
         return df.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
-    rest = pairs.select("a", "b").union(signed.filter("not star").select("a", "b"))
-    if not labelled(labelled(signed.filter("star"), "a", "la"), "b", "lb").filter("la != lb").isEmpty():
-        rest = rest.union(signature_lists(labelled(common_sets, "c", "l"), bits, percent, long, True).select("a", "b"))
-    rest = labelled(labelled(rest.distinct(), "a", "la"), "b", "lb").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = links.union(stage_table(reaching(stage_table(rest, "jaccard-rest"), sets, percent), "jaccard-links-1"))
-    labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels-1")
+    rounds = ["heads", "all"] if not hot.isEmpty() else [None]
+    for turn, mode in enumerate(rounds):
+        labels = stage_table(connected_components(links, "a", "b", stage_table), f"jaccard-labels-{turn}")
+        rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b") if turn == 0 else None
+        if mode:
+            apart = signature_lists(labelled(common_sets, "c", "l"), bits, percent, mode).select("a", "b")
+            rest = rest.union(apart) if rest is not None else apart
+        rest = stage_table(rest.distinct(), f"jaccard-rest-{turn}")
+        if not rest.isEmpty():
+            links = links.union(stage_table(reaching(rest, sets, percent), f"jaccard-links-{turn + 1}"))
+    labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels")
 
     known = classes.select("f", F.col("doc_id").alias("least")).join(labels.select(F.col("node").alias("f"), "component"), "f", "left")
     known = known.withColumn("component", F.coalesce("component", "f"))
