@@ -163,9 +163,10 @@ class Dealer:
         return pa.RecordBatch.from_arrays([pa.array(keys[cuts[:-1]].astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["r", "block"])
 
 
-POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4")])
+#: k: shingles on long lists, of documents that have them in their prefix; -1 for others.
+POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("k", "<i4")])
 #: A posting of a document whose component is known.
-NAMED = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("l", "<i8")])
+NAMED = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("k", "<i4"), ("l", "<i8")])
 
 
 def shape(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -201,9 +202,10 @@ def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(deal), "r int, block binary").groupBy("r").applyInPandas(count, "t long, df long")
 
 
-def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens) -> DataFrame:
-    """(cs, ns, w): the short inverted lists of the documents' prefixes, names and sizes of their documents, with the number of
-    shingles that have just that list; and (cs, null, null) for the documents of a longer list.
+def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens, sure: bool) -> DataFrame:
+    """(cs, ns, ks, w): the short inverted lists of the documents' prefixes, names and sizes of their documents, with the number of
+    shingles that have just that list; and (cs, null, ks, null) for the documents of a longer list. ks are the numbers of
+    shingles on long lists (see POSTING); they are exact if sure, where all longer lists are named, and no less otherwise.
 
     A document's shingles are ordered short lists first, by hash; the first n - T + 1 of them, its prefix, make the lists that
     have to be merged: two documents that reach the overlap T meet in one of them.
@@ -224,6 +226,7 @@ def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_
                 out = np.zeros(p, POSTING)
                 out["t"] = np.concatenate([cold[:p], s[last][: max(0, p - len(cold))]])
                 out["c"], out["n"] = f, len(s)
+                out["k"] = -1 if len(cold) >= p else len(s) - len(cold) if sure else len(s)
                 yield from dealer.add(out)
         yield dealer.flush()
 
@@ -232,20 +235,28 @@ def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_
         firsts, many = runs(items["t"])
         found: dict = {}
         for x, m in zip(firsts[(many > 1) & (many <= long)].tolist(), many[(many > 1) & (many <= long)].tolist(), strict=True):
-            found.setdefault(items["c"][x : x + m].tobytes(), [items["c"][x : x + m], items["n"][x : x + m], 0])[2] += 1
-        rows = [(c.tolist(), n.tolist(), w) for c, n, w in found.values()]
-        hot = [items["c"][x : x + m] for x, m in zip(firsts[many > long], many[many > long], strict=True)]
+            found.setdefault(items["c"][x : x + m].tobytes(), [items[x : x + m], 0])[1] += 1
+        rows = [(x["c"].tolist(), x["n"].tolist(), x["k"].tolist(), w) for x, w in found.values()]
+        hot = [items[["c", "k"]][x : x + m] for x, m in zip(firsts[many > long], many[many > long], strict=True)]
         if hot:
-            rows.append((np.unique(np.concatenate(hot)).tolist(), None, None))
-        return pd.DataFrame(rows, columns=["cs", "ns", "w"]).astype({"w": "Int64"})
+            hot = np.unique(np.concatenate(hot))
+            rows.append((hot["c"].tolist(), None, hot["k"].tolist(), None))
+        return pd.DataFrame(rows, columns=["cs", "ns", "ks", "w"]).astype({"w": "Int64"})
 
     dealt = docs.select("text").mapInArrow(tidy(deal), "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "cs array<long>, ns array<int>, w long")
+    return dealt.groupBy("r").applyInPandas(meet, "cs array<long>, ns array<int>, ks array<int>, w long")
 
 
-def needed(na: int, nb: int, percent: int) -> int:
-    """So many prefix shingles two documents share at least when they reach the similarity: the overlap, less what can lie behind the longer prefix."""
-    return max(1, -(-percent * (na + nb) // (100 + percent)) + 1 - (-(-percent * max(na, nb) // 100)))
+def needed(na: int, nb: int, ka: int, kb: int, percent: int) -> int:
+    """So many short-list shingles two documents show in their prefixes at least when they reach the similarity.
+
+    That is the overlap less what can lie behind the longer prefix; or, where all short-list shingles of both are in their
+    prefixes and long lists cannot make the overlap, less what they can share on long lists.
+    """
+    overlap = -(-percent * (na + nb) // (100 + percent))
+    if ka >= 0 and kb >= 0 and min(ka, kb) < overlap:
+        return overlap - min(ka, kb)
+    return max(1, overlap - (-(-percent * max(na, nb) // 100) - 1))
 
 
 def merge_skip(lists: list[list[int]], weights: list[int], least: int) -> list[tuple[int, int]]:
@@ -284,22 +295,22 @@ def merged(lists: DataFrame, bits: int, percent: int) -> DataFrame:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        c, n, w = (rows.column(x).to_numpy() for x in ("c", "n", "w"))
-        flat, ns = rows.column("cs").combine_chunks(), rows.column("ns").combine_chunks()
-        ends = flat.offsets.to_numpy()
-        ids, sizes = flat.values.to_numpy(zero_copy_only=False), ns.values.to_numpy(zero_copy_only=False)
+        c, n, k, w = (rows.column(x).to_numpy() for x in ("c", "n", "k", "w"))
+        lists = [rows.column(x).combine_chunks() for x in ("cs", "ns", "ks")]
+        ends = lists[0].offsets.to_numpy()
+        ids, sizes, commons = (x.values.to_numpy(zero_copy_only=False) for x in lists)
         order = np.argsort(c, kind="stable")
         firsts, many = runs(c[order])
         out = []
         for x, m in zip(firsts.tolist(), many.tolist(), strict=True):
             at = order[x : x + m]
-            of, size = int(c[at[0]]), int(n[at[0]])
+            of, size, common = int(c[at[0]]), int(n[at[0]]), int(k[at[0]])
             lists, known = [], {}
             for i in at.tolist():
                 part = ids[ends[i] : ends[i + 1]].tolist()
                 lists.append(part)
-                known.update(zip(part, sizes[ends[i] : ends[i + 1]].tolist(), strict=True))
-            least = {b: needed(size, nb, percent) for b, nb in known.items() if 100 * min(size, nb) >= percent * max(size, nb)}
+                known.update(zip(part, zip(sizes[ends[i] : ends[i + 1]].tolist(), commons[ends[i] : ends[i + 1]].tolist(), strict=True), strict=True))
+            least = {b: needed(size, nb, common, kb, percent) for b, (nb, kb) in known.items() if 100 * min(size, nb) >= percent * max(size, nb)}
             if least:
                 for b, o in merge_skip(lists, w[at].tolist(), min(least.values())):
                     if o >= least.get(b, o + 1):
@@ -307,10 +318,11 @@ def merged(lists: DataFrame, bits: int, percent: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "o"])
 
-    whole = lists.filter("w is not null").groupBy("cs", "ns").agg(F.sum("w").alias("w"))
-    each = whole.select("cs", "ns", "w", F.posexplode("cs").alias("i", "c")).filter(F.col("i") < F.size("cs") - 1)
+    whole = lists.filter("w is not null").groupBy("cs", "ns", "ks").agg(F.sum("w").alias("w"))
+    each = whole.select("cs", "ns", "ks", "w", F.posexplode("cs").alias("i", "c")).filter(F.col("i") < F.size("cs") - 1)
     later = lambda x: F.slice(x, F.col("i") + 2, F.size(x) - F.col("i") - 1)
-    each = each.select(F.pmod(F.xxhash64("c"), F.lit(2**bits)).alias("r"), "c", F.get("ns", F.col("i")).alias("n"), later("cs").alias("cs"), later("ns").alias("ns"), "w")
+    mine = [F.get(x, F.col("i")).alias(x[0]) for x in ("ns", "ks")]
+    each = each.select(F.pmod(F.xxhash64("c"), F.lit(2**bits)).alias("r"), "c", *mine, *[later(x).alias(x) for x in ("cs", "ns", "ks")], "w")
     return each.groupBy("r").applyInArrow(run, "a long, b long, o long")
 
 
@@ -383,7 +395,9 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> DataFrame:
-    """(a, b, o) pairs out of the lists of signatures, with the number of lists. sets: c, n, s, and l, its component.
+    """(a, b, o) pairs out of the lists of signatures, with the number of lists. sets: c, n, k, s, and l, its component.
+
+    Pairs whose long-list shingles cannot make the overlap are left out: their short-list shingles show them (see needed()).
 
     Modes: "stars" gives each member with its list's least. The others pass over lists whose members are all of one
     component: "heads" gives members outside the list's largest component one member of each other one, another in
@@ -393,21 +407,28 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> Data
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(bits, NAMED)
         for batch in batches:
-            for c, n, s, named in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for c, n, k, s, named in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 t = signatures(np.frombuffer(s, "<u8"), percent)
                 out = np.zeros(len(t), NAMED)
-                out["t"], out["c"], out["n"], out["l"] = t, c, n, named
+                out["t"], out["c"], out["n"], out["k"], out["l"] = t, c, n, k, named
                 yield from dealer.add(out)
         yield dealer.flush()
 
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([np.frombuffer(b, NAMED) for b in blocks["block"]]))
         firsts, many = runs(items["t"])
-        found = [np.zeros((0, 2), NAMED)]
+        found = [np.zeros((0, 2), np.int64)]
+
+        def add(one: np.void, others: np.ndarray) -> None:
+            n, m = others["n"].astype(np.int64), int(one["n"])
+            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(others["k"], one["k"]).astype(np.int64) >= percent * (n + m))
+            part = others["c"][fit]
+            found.append(np.stack([np.full(len(part), one["c"]), part], axis=1))
+
         for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
             rows = items[x : x + m]
             if mode == "stars":
-                found.append(np.stack([np.broadcast_to(rows[0], m - 1), rows[1:]], axis=1))
+                add(rows[0], rows[1:])
                 continue
             names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
             if len(names) == 1:
@@ -417,15 +438,12 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> Data
                 order = np.argsort(_mix(rows["c"].view(U) ^ rows["t"]))
                 others = rows[order[np.unique(inverse[order], return_index=True)[1]]]
             for i in np.flatnonzero(inverse != np.argmax(size)).tolist():
-                part = others[others["l"] != rows["l"][i]]
-                found.append(np.stack([np.broadcast_to(rows[i], len(part)), part], axis=1))
+                add(rows[i], others[others["l"] != rows["l"][i]])
         pairs = np.concatenate(found)
-        n = pairs["n"].astype(np.int64)
-        pairs = pairs["c"][100 * n.min(axis=1) >= percent * n.max(axis=1)]
         frame = pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
         return frame.groupby(["a", "b"], sort=False).size().rename("o").reset_index()
 
-    dealt = sets.select("c", "n", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
+    dealt = sets.select("c", "n", "k", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
     return dealt.groupBy("r").applyInPandas(meet, "a long, b long, o long")
 
 
@@ -503,14 +521,15 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
     common = np.array(sorted(r[0] for r in lists.filter(F.col("df") > least).select("t").toLocalIterator()), dtype=np.int64).astype(U)
     sent = spark.sparkContext.broadcast(common)
 
-    met = stage_table(met_lists(docs, bits, k, percent, long, sent), "jaccard-met")
+    met = stage_table(met_lists(docs, bits, k, percent, long, sent, least == long), "jaccard-met")
     pairs = stage_table(merged(met, bits, percent), "jaccard-pairs")
-    hot = stage_table(met.filter("w is null").select(F.explode("cs").alias("c")).distinct(), "jaccard-hot")
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot).distinct()
+    hot = met.filter("w is null").select(F.explode(F.arrays_zip("cs", "ks")).alias("x")).groupBy(F.col("x.cs").alias("c")).agg(F.max("x.ks").alias("k"))
+    hot = stage_table(hot, "jaccard-hot")
+    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(hot.select("c")).distinct()
     wanted = nodes.join(classes.select(F.col("f").alias("c"), "h"), "c")
     sets = stage_table(picked_sets(docs, wanted, k), "jaccard-sets")
 
-    common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_PICKED) else hot, "c", "left_semi")
+    common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_DROPPED) else hot, "c")
     signed = signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, "stars").groupBy("a", "b").agg(F.sum("o").alias("o"))
     nearest = lambda found: found.groupBy("b").agg(F.max_by("a", F.struct("o", "a")).alias("a")).select("a", "b")
     links = reaching(stage_table(nearest(pairs).union(nearest(signed)).distinct(), "jaccard-best"), sets, percent)
