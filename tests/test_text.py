@@ -1,6 +1,7 @@
 """Hand-derived cases of the text functions."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,24 @@ def test_diversity(spark):
     assert rows[0][3] == 1
 
 
+def test_diversity_equals_brute_force(spark):
+    draw = random.Random(1)
+    words = [None, [], ["a"]] + [[f"w{draw.randint(0, most)}" for _ in range(draw.randint(1, 260))] for most in (0, 5, 40, 300) * 8]
+
+    def factors(w, full=0, start=0):
+        ends = (e for e in range(start + 1, len(w) + 1) if len(set(w[start:e])) / (e - start) <= D.THRESHOLD)
+        end = next(ends, None)
+        return (full, len(set(w[start:])), len(w) - start) if end is None else factors(w, full + 1, end)
+
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    for r in df.select("w", D.window_counts("w").alias("c"), D.mtld_counts("w").alias("m")).collect():
+        w = r.w or []
+        width = min(D.WINDOW, len(w))
+        windows = [w[i : i + width] for i in range(len(w) - width + 1)] if w else []
+        assert tuple(r.c) == (sum(len(set(x)) for x in windows), len(windows), sum(w.count(x) == 1 for x in set(w)))
+        assert tuple(r.m) == factors(w) + factors(w[::-1])
+
+
 def test_similarity():
     assert round(U.indel("kitten", "sitting"), 2) == 61.54
     assert U.indel("", "") == 100.0
