@@ -82,15 +82,31 @@ def word_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, in order; none if there are fewer."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    total = words[:n].copy()
+    for j in range(1, k):
+        total += words[j : n + j] * _FOLD[j]
+    return _mix(total + U(k))
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    hashes = np.sort(hashes)
+    if len(hashes) < 2:
+        return hashes
+    new = np.empty(len(hashes), bool)
+    new[0] = True
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
+
+
 def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of all runs of k words; of the whole sequence if it is shorter."""
-    if not len(words):
-        return words
-    k = min(k, len(words))
-    total = words[: len(words) - k + 1] * U(1)
-    for j in range(1, k):
-        total += words[j : len(words) - k + 1 + j] * _FOLD[j]
-    return np.unique(_mix(total + U(k)))
+    return distinct(shingles_of(words, min(k, len(words)))) if len(words) else words
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
@@ -99,13 +115,18 @@ def shingle_sets(texts: pa.Array, k: int = WORDS, most: int = 1 << 18) -> Iterat
     at, held = -1, []
     for rows, parts in balanced(texts, most):
         words, offsets = word_hashes(parts)
-        for j, row in enumerate(rows.tolist()):
-            if row != at and at >= 0:
+        hashes, rows, ends = shingles_of(words, k), rows.tolist(), offsets.tolist()
+        for j, row in enumerate(rows):
+            if row != at and held:
                 yield at, shingle_set(np.concatenate(held), k)
                 held = []
-            at = row
-            held.append(words[offsets[j] : offsets[j + 1]])
-    if at >= 0:
+            x, y = ends[j], ends[j + 1]
+            if not held and y - x >= k and j + 1 < len(rows) and rows[j + 1] != row:  # the whole text is here
+                yield row, distinct(hashes[x : y - k + 1])
+            else:
+                at = row
+                held.append(words[x:y])
+    if held:
         yield at, shingle_set(np.concatenate(held), k)
 
 
@@ -114,8 +135,11 @@ def fingerprint(shingles: np.ndarray) -> int:
     if not len(shingles):
         return 0
     one, two = int(_mix(shingles + U(1)).sum(dtype=U)), int(_mix(shingles ^ U(_GOLD)).sum(dtype=U))
-    folded = (one * _STEP + two + len(shingles)) % 2**64
-    return int(_mix(np.array([folded], dtype=U)).view(np.int64)[0])
+    x = (one * _STEP + two + len(shingles)) % 2**64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    x ^= x >> 31
+    return x - 2**64 if x >= 2**63 else x
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -153,9 +177,13 @@ class Dealer:
     def flush(self) -> pa.RecordBatch:
         items = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         self.held, self.n = [], 0
-        hashes = items["t"] if self.kind.names else items
-        items = items[np.argsort(hashes, kind="stable")]
-        keys = ((items["t"] if self.kind.names else items) >> U(64 - self.bits)).astype(np.int64)
+        if self.kind.names:
+            keys = (items["t"] >> U(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)
+            order = np.argsort(keys, kind="stable")
+            items, keys = items[order], keys[order]
+        else:
+            items = np.sort(items)
+            keys = items >> U(64 - self.bits)
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
         blocks = [items[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         if not self.kind.names:  # the range is known: 32 further bits are enough to tell lists apart
@@ -180,6 +208,13 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return firsts, np.diff(np.concatenate([firsts, [len(keys)]]))
 
 
+def postings(blocks: pd.Series, kind: np.dtype) -> np.ndarray:
+    """Different postings of all blocks by shingle, then name."""
+    items = np.concatenate([np.frombuffer(b, kind) for b in blocks])
+    items = items[np.lexsort((items["c"], items["t"]))]
+    return items[np.concatenate([[True], items[1:] != items[:-1]])] if len(items) else items
+
+
 def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
     """(t, df): leading bits of the shingles that more than `long` documents hold; every document counts."""
 
@@ -231,7 +266,7 @@ def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_
         yield dealer.flush()
 
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(np.concatenate([np.frombuffer(b, POSTING) for b in blocks["block"]]))  # by shingle, then name: copies fall together
+        items = postings(blocks["block"], POSTING)  # copies fall together
         firsts, many = runs(items["t"])
         found: dict = {}
         for x, m in zip(firsts[(many > 1) & (many <= long)].tolist(), many[(many > 1) & (many <= long)].tolist(), strict=True):
@@ -415,7 +450,7 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> Data
         yield dealer.flush()
 
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(np.concatenate([np.frombuffer(b, NAMED) for b in blocks["block"]]))
+        items = postings(blocks["block"], NAMED)
         firsts, many = runs(items["t"])
         found = [np.zeros((0, 2), np.int64)]
 
