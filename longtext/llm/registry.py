@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extraction, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
+from . import decontamination, embedding_dedup, html_extraction, importance, jaccard_join, manifest, mixing, packing, pii, quality_classifier, quality_rules, secrets, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op7_secret_scans": secrets.OP7_SQL,
     "op9_ngram_jaccard_join": jaccard_join.OP9_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_importance_resampling": importance.OP13_SQL,
 }

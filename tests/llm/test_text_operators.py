@@ -346,16 +346,18 @@ def test_stage_table_survives(spark):
     assert sorted(r.x for r in df.collect()) == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["op1_pii", "op2_mixing", "op3_quality_rules", "op6_embedding_dedup", "op7_secret_scans", "op9_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_pii", "op2_mixing", "op3_quality_rules", "op6_embedding_dedup", "op7_secret_scans", "op9_ngram_jaccard_join", "op11_merkle_manifest", "op12_decontamination", "op13_importance_resampling"])
 def test_queries_equal_sql(spark, name):
     import duckdb
+    import pandas as pd
 
     from longtext.llm import registry
 
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, sf).toPandas(), c.execute(registry.ORACLE_SQL[name]).df()
-    rows = lambda d: sorted(json.dumps(r, default=str) for r in d[sorted(d.columns)].astype(object).values.tolist())
+    cell = lambda v: None if v is pd.NA or v != v else int(v) if isinstance(v, float) and v == int(v) else v
+    rows = lambda d: sorted(json.dumps([cell(v) for v in r], default=str) for r in d[sorted(d.columns)].astype(object).values.tolist())
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
