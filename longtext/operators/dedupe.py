@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longtext.functions.text import hash_of_normalized, shingles
-from longtext.functions.udfs import indel_ratio, token_set_ratio
+from longtext.functions.udfs import indel_ratio
 
 from .components import connected_components
+from .ranges import placed
 
 BANDS, ROWS = 16, 8
 LEAST_CHARS, PREFIX = 200, 5000
@@ -29,16 +30,6 @@ def hash_edges(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return star_edges(df, key, F.when(F.length(text) > 0, hash_of_normalized(F.col(text))), "hash")
 
 
-def title_edges(df: DataFrame, key: str = "id", block: tuple[str, ...] = ("speaker", "date"), title: str = "title", least: float = 90) -> DataFrame:
-    """Pairs of like titles within a block: an equi-join on the block, one direction."""
-    rows = df.dropna(subset=[block[-1]]).select(key, *block, title).groupBy(*block, title).agg(F.min(key).alias("i"), F.collect_set(key).alias("_all"))
-    same = rows.select(F.col("i").alias("a"), F.explode("_all").alias("b")).filter("a < b")
-    x = rows.select(*block, F.col("i").alias("a"), F.col(title).alias("ta"))
-    y = rows.select(*block, F.col("i").alias("b"), F.col(title).alias("tb"))
-    near = x.join(y, list(block)).filter("a < b").filter(token_set_ratio("ta", "tb") >= least).select("a", "b")
-    return same.union(near).withColumn("reason", F.lit("title"))
-
-
 def band_keys(parts: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     """Array of one hash per band: minima of seeded hashes over the set, `rows` at a time."""
     seeds = F.sequence(F.lit(0), F.lit(bands * rows - 1))
@@ -88,19 +79,21 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
 
 
 def clusters(df: DataFrame, edges: DataFrame, save, key: str = "id", quality: str = "quality_score", words: str = "word_count") -> DataFrame:
-    """(key, cluster_id, is_canonical): clusters numbered by their least id; canonical is the best quality, then the longest, then the least id."""
+    """(key, cluster_id, is_canonical): clusters numbered by their least id; canonical is the best quality, then the longest, then the least id.
+
+    The canonical row of a cluster is a maximum, combined per task before the shuffle, so a cluster of any size is no large group.
+    """
     found = connected_components(edges, "a", "b", save)
     rows = df.select(key, quality, words).join(found.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
-    best = Window.partitionBy("component").orderBy(F.coalesce(F.col(quality), F.lit(0.0)).desc(), F.coalesce(F.col(words), F.lit(0)).desc(), F.col(key))
-    ranks = numbered(rows.select("component").distinct(), "component", save)
-    rows = rows.withColumn("is_canonical", F.row_number().over(best) == 1)
-    return rows.join(ranks, "component").select(key, F.concat(F.lit("clust_"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("cluster_id"), "is_canonical")
-
-
-def numbered(keys: DataFrame, column: str, save, parts: int = 64) -> DataFrame:
-    """0-based rank of distinct keys without one task for all: counts per range, their running sum, ranks inside a range. The ranges are saved, since they are read twice."""
-    ranged = save(keys.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()), "ranges")
-    inside = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")
-    return inside.join(F.broadcast(before), "_p").select(column, (F.col("_before") + F.col("_r") - 1).alias("number"))
+    rows = save(rows, "cluster-rows")
+    rank = F.struct(F.coalesce(F.col(quality), F.lit(0.0)).alias("q"), F.coalesce(F.col(words), F.lit(0)).alias("w"))
+    top = rows.groupBy("component").agg(F.max(rank).alias("_top"))
+    best = rows.withColumn("_top", rank).join(top, ["component", "_top"]).groupBy("component").agg(F.min(key).alias("_best"))
+    ranks = numbered(best, "component", save)
+    return rows.join(ranks, "component").select(key, F.concat(F.lit("clust_"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("cluster_id"), (F.col(key) == F.col("_best")).alias("is_canonical"))
+
+
+def numbered(keys: DataFrame, column: str, save) -> DataFrame:
+    """Rows with distinct keys and `number`, the key's 0-based rank, by ranges: see placed()."""
+    one = keys.withColumn("_all", F.lit(0))
+    return placed(one, "_all", [column], save, "ranks").withColumnRenamed("idx", "number").drop("_all", "_n")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longtext.functions.udfs import pearson_p
+from longtext.operators import ranges
+from longtext.operators.ranges import BLOCK, Save, broadcast_if_small, placed
 
 
-def chronological(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Add idx, the 0-based place within the key; give enough order columns to leave no tie."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def chronological(df: DataFrame, key: str, *order: str, save: Save) -> DataFrame:
+    """Add idx, the 0-based place within the key; give enough order columns to leave no tie. A key of any size: see placed()."""
+    return placed(df, key, list(order), save, "chronological").drop("_n")
 
 
 def trimmed(df: DataFrame, key: str, value: str, width: float = 2.0) -> DataFrame:
@@ -58,9 +60,10 @@ def composite(df: DataFrame, up: list[str], down: list[str], name: str = "comple
     return scored.withColumn(name, total / (len(up) + len(down)))
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, rows: int = 50, least: int = 10) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.withColumn("rolling", F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
+def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, rows: int = 50, least: int = 10, *, save: Save, block: int = BLOCK) -> DataFrame:
+    """Add `rolling`, the mean of the last rows in order, from blocks of the key and the rows just before them."""
+    placed_rows = placed(df, key, order, save, "rolling")
+    return ranges.rolling_mean(placed_rows, key, value, rows, least, block).drop("idx", "_n")
 
 
 def years_between(start: Column, end: Column) -> Column:
@@ -68,8 +71,10 @@ def years_between(start: Column, end: Column) -> Column:
 
 
 def progress(df: DataFrame, key: str, x: str) -> DataFrame:
-    most = F.max(x).over(Window.partitionBy(key))
-    return df.withColumn("progress", F.col(x) / F.coalesce(F.nullif(most, F.lit(0)), F.lit(1)))
+    """x over the greatest x of the key: a grouped maximum, joined back."""
+    most = df.groupBy(F.col(key).alias("_key")).agg(F.max(x).alias("_most"))
+    both = df.join(broadcast_if_small(most), F.col(key).eqNullSafe(F.col("_key")))
+    return both.withColumn("progress", F.col(x) / F.coalesce(F.nullif("_most", F.lit(0)), F.lit(1))).drop("_key", "_most")
 
 
 def centred(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -85,55 +90,43 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     return placed.groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.7, robust: int = 3) -> np.ndarray:
-    """Locally weighted lines: tricube weights over the nearest share of points, then bisquare reweighting."""
-    n = len(x)
-    near = max(2, min(n, int(share * n + 1e-10)))
-    order = np.argsort(x, kind="stable")
-    x, y = x[order].astype(float), y[order].astype(float)
-    fit, trust = np.zeros(n), np.ones(n)
-    for turn in range(robust + 1):
-        for i in range(n):
-            d = np.abs(x - x[i])
-            h = max(np.partition(d, near - 1)[near - 1], 1e-12)
-            w = np.clip(1 - (d / h) ** 3, 0, None) ** 3 * trust
-            s = w.sum()
-            mx, my = (w * x).sum() / s, (w * y).sum() / s
-            spread = (w * (x - mx) ** 2).sum()
-            fit[i] = my + ((w * (x - mx) * (y - my)).sum() / spread * (x[i] - mx) if spread > 1e-12 else 0.0)
-        if turn < robust:
-            off = np.abs(y - fit)
-            scale = np.median(off)
-            if scale <= 1e-12:
-                break
-            trust = np.clip(1 - (off / (6 * scale)) ** 2, 0, None) ** 2
-    out = np.empty(n)
-    out[order] = fit
-    return out
-
-
-def smoothed(df: DataFrame, key: str, x: str, y: str, share: float = 0.7) -> DataFrame:
-    """(key, x, y, smooth). One key's series is a task: it is a chart's points, tens to thousands."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: rows[key], "x": rows[x].astype(float), "y": rows[y].astype(float), "smooth": lowess(rows[x].to_numpy(float), rows[y].to_numpy(float), share)})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, x, y).dropna(subset=[x, y]).groupBy(key).applyInPandas(run, f"{key} {kind}, x double, y double, smooth double")
+#: From so many columns on, products are summed as matrices in tasks: as expressions they would be one for each pair of columns.
+WIDE = 16
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, means, population covariance) in one distributed pass; only p x p numbers reach the driver."""
-    d = df.dropna(subset=columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    """(n, means, population covariance); only numbers by the columns, never by the rows, reach the driver. Rows with a null are left out."""
+    d, p = df.select(*columns).dropna(subset=columns), len(columns)
+    if p >= WIDE:
+        return wide_moments(d, columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     row = d.agg(F.count("*"), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
-    p = len(columns)
     cov = np.zeros((p, p))
     for (i, j), v in zip(pairs, row[1 + p :], strict=True):
         cov[i, j] = cov[j, i] = v or 0.0
     return row[0], np.array([v or 0.0 for v in row[1 : 1 + p]]), cov
 
 
+def wide_moments(d: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """moments() of many columns: means first, then each task's matrix of products around them, added up by cell."""
+    p = len(columns)
+    n, *means = d.agg(F.count("*"), *[F.avg(c) for c in columns]).first()
+    means = np.array([v or 0.0 for v in means])
+
+    def products(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - means
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(total.ravel())], names=["cell", "v"])
+
+    cells = d.mapInArrow(products, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    cov = np.zeros(p * p)
+    for r in cells:
+        cov[r.cell] = r.v / max(n, 1)
+    return n, means, cov.reshape(p, p)
+
+
 def correlation(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.diag(cov))
     sd[sd == 0] = 1

@@ -18,7 +18,7 @@ from longtext.functions import classify as C
 from longtext.functions import diversity as D
 from longtext.functions import lexicons as L
 from longtext.functions import text as X
-from longtext.operators import dedupe, report, segment, stats
+from longtext.operators import dedupe, report, segment, stats, titles
 from longtext.plans.queries import save
 from longtext.schema import published
 
@@ -82,7 +82,7 @@ def run(docs: DataFrame, title_threshold: float = 90, text_threshold: float = 0.
     keyed = rows.withColumn("word_count", F.col("ws_word_count"))
     edges = dedupe.url_edges(keyed).unionByName(dedupe.hash_edges(keyed))
     if fuzzy:
-        edges = edges.unionByName(dedupe.title_edges(keyed, least=title_threshold)).unionByName(dedupe.text_edges(keyed, save, least=100 * text_threshold))
+        edges = edges.unionByName(titles.title_edges(keyed, save, least=title_threshold)).unionByName(dedupe.text_edges(keyed, save, least=100 * text_threshold))
     found = dedupe.clusters(keyed, save(edges, "edges"), save).withColumnRenamed("cluster_id", "duplicate_cluster_id")
     return measure(C.classify(rows.join(found, "id"), only_missing="event_type" if only_missing else None))
 
@@ -92,7 +92,7 @@ def replicate(docs: DataFrame, max_words: int = L.STUDY_WORDS) -> DataFrame:
     talks = docs.filter(F.col("title").ilike("%news conference%"))
     said = segment.answers(segment.paragraph_rows(talks)).withColumn("w", X.lower_words(F.col("text"))).filter(F.size("w") >= max_words)
     rows = said.select("id", *[c.cast("double").alias(n) for n, c in X.study_features(F.col("w"), max_words).items()]).join(talks.select("id", "speaker", "date"), "id")
-    rows = save(stats.chronological(rows, "speaker", "date", "id"), "conferences")
+    rows = save(stats.chronological(rows, "speaker", "date", "id", save=save), "conferences")
     out = None
     for feature in ("ns_plus_fillers", "li_verbs"):
         t = stats.against_published(stats.trend(rows, "speaker", "idx", feature), published(docs.sparkSession), "speaker", feature).withColumn("feature", F.lit(feature))

@@ -13,8 +13,8 @@ from longtext.functions import diversity as D
 from longtext.functions import lexicons as L
 from longtext.functions import text as X
 from longtext.functions import udfs as U
-from longtext.operators import annotate, dedupe, report, search, segment, stats
-from longtext.sources import html, store
+from longtext.operators import annotate, dedupe, report, search, segment, smooth, stats, titles
+from longtext.sources import html, serving, store
 from longtext.sources.tables import parquet
 
 QUERIES: dict = {}
@@ -38,17 +38,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the driver and the executors both see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         local = spark.sparkContext.master.startswith("local")
         base = tempfile.mkdtemp(prefix="longtext-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_longtext"
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/core-{name}-{uuid.uuid4().hex}"
+    return f"{base}/core-{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -303,8 +307,9 @@ def dedupe_near(spark, sf_dir):
 
 @query("dedupe_titles")
 def dedupe_titles(spark, sf_dir):
-    t = transcripts(spark, sf_dir).withColumn("date", F.date_trunc("year", "date").cast("date"))
-    return dedupe.title_edges(t).select("a", "b")
+    """Like opening lines of documents of the same language, however long the block."""
+    t = transcripts(spark, sf_dir).select("id", "lang", F.substring("text", 1, 48).alias("title"))
+    return titles.title_edges(t, save, block=("lang",)).select("a", "b")
 
 
 @query("segment_answers", r"""WITH p AS (SELECT conv_id AS id, turn, CASE WHEN role = 'user' THEN 'Q. ' || text ELSE 'The President. ' || text END AS p FROM conversations),
@@ -324,6 +329,7 @@ def conference_features(spark, sf_dir):
     a = segment.answers(labelled_turns(spark, sf_dir, "The President. ")).select("id", X.lower_words(F.col("text")).alias("w")).filter(F.size("w") >= 50)
     f = X.study_features(F.col("w"), 50)
     rows = a.select("id", F.size("w").cast("long").alias("words"), f["ns_nouns"].cast("long").alias("ns_nouns"), f["li_verbs"].cast("long").alias("li_verbs"))
+    rows = save(rows, "conferences")
     ranks = dedupe.numbered(rows.select("id"), "id", save)
     return rows.join(ranks, "id").withColumnRenamed("number", "idx").withColumn("idx", F.col("idx").cast("long"))
 
@@ -336,7 +342,7 @@ m AS (SELECT k, avg(y) AS m, stddev_pop(y) AS s, count(y) AS c FROM o GROUP BY k
 def series(spark, sf_dir) -> DataFrame:
     o, c = parquet(spark, sf_dir, "orders"), parquet(spark, sf_dir, "customer")
     rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("k"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("y"))
-    return stats.chronological(rows, "k", "o_orderdate", "o_orderkey")
+    return stats.chronological(rows, "k", "o_orderdate", "o_orderkey", save=save)
 
 
 @query("trend_regression", SERIES + """ SELECT k, count(*) AS n, max(c) - count(*) AS dropped, round(corr(y, idx), 6) AS r, round(regr_slope(y, idx), 4) AS slope, round(regr_intercept(y, idx), 2) AS intercept FROM q GROUP BY k""")
@@ -345,9 +351,18 @@ def trend_regression(spark, sf_dir):
     return t.select("k", "n", "dropped", F.round("r", 6).alias("r"), F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-@query("trend_significance")
+def _p_value(r: str, n: str) -> str:
+    """Two-sided p of a correlation in SQL: the closed series of Student's distribution, for an even or odd number of degrees of freedom n - 2."""
+    rest = f"(1 - {r} * {r})"
+    even = f"abs({r}) * list_reduce(list_prepend({{'s': 1::DOUBLE, 'c': 1::DOUBLE, 'j': 0}}, list_transform(range(1, ({n} - 2) // 2), lambda j: {{'s': 0::DOUBLE, 'c': 0::DOUBLE, 'j': j}})), lambda a, b: {{'s': a.s + a.c * {rest} * (2 * b.j - 1) / (2 * b.j), 'c': a.c * {rest} * (2 * b.j - 1) / (2 * b.j), 'j': b.j}}).s"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * list_reduce(list_prepend({{'s': sqrt{rest}, 'c': sqrt{rest}, 'j': 1}}, list_transform(range(2, ({n} - 3) // 2 + 1), lambda j: {{'s': 0::DOUBLE, 'c': 0::DOUBLE, 'j': j}})), lambda a, b: {{'s': a.s + a.c * {rest} * (2 * b.j - 2) / (2 * b.j - 1), 'c': a.c * {rest} * (2 * b.j - 2) / (2 * b.j - 1), 'j': b.j}}).s)"
+    return f"1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+@query("trend_significance", SERIES + f""", t AS (SELECT k, count(*) AS n, corr(y, idx) AS r FROM q GROUP BY k), p AS (SELECT *, {_p_value('r', 'n')} AS p FROM t)
+SELECT k, n, round(r, 6) AS r, round(p, 6) AS p, CASE WHEN p >= 0.05 THEN 'null' WHEN r > 0 THEN 'sig-pos' ELSE 'sig-neg' END AS verdict FROM p""")
 def trend_significance(spark, sf_dir):
-    return stats.trend(series(spark, sf_dir), "k", "idx", "y").select("k", "n", "r", "p", "verdict")
+    return stats.trend(series(spark, sf_dir), "k", "idx", "y").select("k", "n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), "verdict")
 
 
 @query("zscore_composite", """WITH s AS (SELECT l_suppkey AS k, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c FROM lineitem GROUP BY 1),
@@ -361,7 +376,7 @@ def zscore_composite(spark, sf_dir):
 @query("rolling_mean_50", """SELECT event_id, CASE WHEN count(value) OVER w >= 10 THEN round(avg(value) OVER w, 6) END AS rolling FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
 def rolling_mean_50(spark, sf_dir):
-    return stats.rolling_mean(parquet(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value").select("event_id", F.round("rolling", 6).alias("rolling"))
+    return stats.rolling_mean(parquet(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value", save=save).select("event_id", F.round("rolling", 6).alias("rolling"))
 
 
 @query("within_centering", """SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS centred FROM orders""")
@@ -382,11 +397,28 @@ def histogram_40(spark, sf_dir):
     return stats.histogram(parquet(spark, sf_dir, "orders"), "o_totalprice")
 
 
-@query("lowess_by_segment")
+def _lines(number: int, trust: str) -> str:
+    """CTEs of one round of locally weighted lines in SQL: trust is the join that says how far each point is trusted."""
+    return f"""j{number} AS (SELECT a.k, a.x, a.y, b.x - a.x AS d, b.y AS z, power(1 - least(1, power(abs(b.x - a.x) / a.h, 3)), 3) * {trust} AS w
+  FROM h AS a JOIN m AS b USING (k){'' if number == 0 else f' JOIN t{number} AS t ON t.k = b.k AND t.x = b.x'}),
+c{number} AS (SELECT *, sum(w * d) OVER p / sum(w) OVER p AS mx, sum(w * z) OVER p / sum(w) OVER p AS my FROM j{number} WINDOW p AS (PARTITION BY k, x)),
+f{number} AS (SELECT k, x, any_value(y) AS y, any_value(my) - sum(w * (d - mx) * (z - my)) / sum(w * (d - mx) * (d - mx)) * any_value(mx) AS smooth FROM c{number} GROUP BY k, x)"""
+
+
+def _trusts(number: int) -> str:
+    return f"""t{number + 1} AS (SELECT k, x, power(greatest(0, 1 - power(abs(y - smooth) / (6 * median(abs(y - smooth)) OVER (PARTITION BY k)), 2)), 2) AS trust FROM f{number})"""
+
+
+@query("lowess_by_segment", """WITH m AS (SELECT c_mktsegment AS k, date_diff('day', DATE '1992-01-01', date_trunc('month', o_orderdate)::DATE)::DOUBLE AS x, avg(o_totalprice) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+h AS (SELECT a.k, a.x, a.y, list_sort(list(abs(a.x - b.x)))[greatest(2, floor(0.7 * count(*) + 1e-10))::INT] AS h FROM m AS a JOIN m AS b USING (k) GROUP BY ALL),
+""" + ", ".join([_lines(0, "1"), *(f"{_trusts(i)}, {_lines(i + 1, 't.trust')}" for i in range(3))]) + """
+SELECT k, x, round(smooth, 4) AS smooth FROM f3""")
 def lowess_by_segment(spark, sf_dir):
-    o = series(spark, sf_dir).withColumn("month", F.date_trunc("month", "o_orderdate"))
-    monthly = o.groupBy("k", "month").agg(F.avg("y").alias("y")).withColumn("x", F.datediff("month", F.lit("1992-01-01")).cast("double"))
-    return stats.smoothed(monthly, "k", "x", "y")
+    o, c = parquet(spark, sf_dir, "orders"), parquet(spark, sf_dir, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("k"), F.datediff(F.date_trunc("month", "o_orderdate"), F.lit("1992-01-01")).cast("double").alias("x"), "o_totalprice")
+    monthly = rows.groupBy("k", "x").agg(F.avg("o_totalprice").alias("y"))
+    return smooth.smoothed(monthly, "k", "x", "y", save).select("k", "x", F.round("smooth", 4).alias("smooth"))
 
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -394,7 +426,9 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("pca_variance")
 def pca_variance(spark, sf_dir):
-    e = parquet(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    e = parquet(spark, sf_dir, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = e.select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
     shares = stats.explained_variance(e, e.columns)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(shares)], "component int, share double")
 
@@ -539,6 +573,25 @@ def upsert_latest(spark, sf_dir):
     return store.latest(e, "user_id", "ts", "event_id").select("user_id", "event_id", "value")
 
 
+@query("serving_upserts", f"""{T}, s AS (SELECT id::VARCHAR AS id, speaker, date, CASE WHEN id % 3 = 0 THEN 'Revised: ' || title ELSE title END AS title, CASE WHEN id % 3 = 0 THEN 'Revised. ' || text ELSE text END AS text,
+  len(regexp_extract_all(text, '[A-Za-z'']+')) AS n, CASE WHEN id % 3 = 0 THEN id / 1000.0 END AS mtld FROM t WHERE id % 7 <> 1)
+SELECT id, list_position({KEYS}, speaker)::BIGINT AS president_id, title, year(date) AS year, md5(text) AS digest, CASE WHEN n >= 100 THEN n END::BIGINT AS n_words, CASE WHEN n >= 100 THEN round(mtld, 6) END::DOUBLE AS mtld FROM s""")
+def serving_upserts(spark, sf_dir):
+    """Two loads of transcripts and features, the second of a third of them with other values, then a removal; what the three tables say in the end."""
+    root = folder(spark, "serving")
+    t = transcripts(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    third, seventh = F.col("id").cast("long") % 3 == 0, F.col("id").cast("long") % 7 == 1
+    f = t.select("id", F.regexp_count("text", F.lit(X.ALPHA_WORD)).cast("long").alias("n_words")).filter("n_words >= 100")
+    serving.load(spark, root, t, f, buckets=8)
+    again = t.filter(third).withColumns({"title": F.concat(F.lit("Revised: "), "title"), "text": F.concat(F.lit("Revised. "), "text")})
+    serving.load(spark, root, again, f.filter(third).withColumn("mtld", F.col("id").cast("long") / 1000.0), buckets=8)
+    serving.remove(spark, root, t.filter(seventh).select("id"), buckets=8)
+    found = {name: table.read() for name, table in serving.tables(spark, root, 8).items()}
+    kept = found["linguistic_features"].select(F.col("speech_id").alias("id"), "n_words", F.round("mtld", 6).alias("mtld"))
+    named = found["speeches"].join(F.broadcast(found["presidents"].select(F.col("id").alias("president_id"))), "president_id")
+    return named.join(kept, "id", "left").select("id", F.col("president_id").cast("long").alias("president_id"), "title", F.col("year").cast("long").alias("year"), F.md5("full_text").alias("digest"), "n_words", "mtld")
+
+
 @query("append_dedup", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
 def append_dedup(spark, sf_dir):
     e = parquet(spark, sf_dir, "events").select("event_id")

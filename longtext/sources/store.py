@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_side")
 
 
-def latest(df: DataFrame, key: str, *order) -> DataFrame:
-    """Latest row per key by struct maximum: combined per task before the shuffle, so a hot key is no large group."""
-    cols = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max(F.struct(*[F.col(o) for o in order], *[F.col(c) for c in cols if c not in order])).alias("x"))
-    return best.select(key, *[F.col(f"x.{c}").alias(c) for c in cols])
+def latest(df: DataFrame, key: str | list[str], *order) -> DataFrame:
+    """Latest row per key (one column or several) by struct maximum: combined per task before the shuffle, so a hot key is no large group."""
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(o) for o in order], *[F.col(c) for c in cols if c not in order])).alias("x"))
+    return best.select(*keys, *[F.col(f"x.{c}").alias(c) for c in cols])
+
+
+def save_metadata(df: DataFrame, path: str) -> int:
+    """Canonical columns as CSV and parquet in a new folder under path, which becomes the current one when both are whole; its version."""
+    from longtext.sources import versions
+
+    rows, run = untyped(df), f"runs/{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(f"{path}/{run}/csv")
+    rows.write.parquet(f"{path}/{run}/parquet")
+    spark = df.sparkSession
+    found = versions.versions(spark, path)
+    return versions.publish(spark, path, found[-1] if found else 0, {"run": run})
+
 
+def metadata_folder(spark: SparkSession, path: str) -> str:
+    """Where the current metadata lie: a folder with csv and parquet."""
+    from longtext.sources import versions
 
-def save_metadata(df: DataFrame, path: str) -> None:
-    """Canonical columns as CSV and parquet under path."""
-    rows = untyped(df)
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(f"{path}/csv")
-    rows.write.mode("overwrite").parquet(f"{path}/parquet")
+    told = versions.record(spark, path)
+    if told is None:
+        raise FileNotFoundError(f"{path} has no metadata")
+    return f"{path}/{told['run']}"
 
 
 def save_features(df: DataFrame, path: str) -> None:
