@@ -26,6 +26,18 @@ def annotate(docs: DataFrame, annotator: Callable[[str], list[dict]], key: str =
     return docs.select(key, text).mapInPandas(run, TOKEN_SCHEMA)
 
 
+def annotator_function(annotator: Callable[[str], list[dict]], most: int = 300_000):
+    """The annotator as a table function of a text, for SQL: SELECT d.id, t.* FROM docs AS d, LATERAL annotate(d.text) AS t."""
+    names = [c.split()[0] for c in TOKEN_SCHEMA.split(", ")[1:]]
+
+    class Annotate:
+        def eval(self, text: str):
+            for t in annotator((text or "")[:most]):
+                yield tuple(t.get(n) for n in names)
+
+    return F.udtf(Annotate, returnType=", ".join(TOKEN_SCHEMA.split(", ")[1:]))
+
+
 def depths(tokens: DataFrame, guard: int = 200) -> DataFrame:
     """(id, sent, depth): deepest token of each sentence; heads are followed inside a sentence's own array."""
     s = tokens.groupBy("id", "sent").agg(F.map_from_entries(F.collect_list(F.struct("i", "head"))).alias("head"), F.collect_list("i").alias("all"))

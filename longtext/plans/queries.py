@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ from longtext.functions import diversity as D
 from longtext.functions import lexicons as L
 from longtext.functions import text as X
 from longtext.functions import udfs as U
-from longtext.operators import annotate, dedupe, report, search, segment, smooth, stats, titles
+from longtext.operators import annotate, dedupe, figures, index, report, search, segment, smooth, stats, titles, words
 from longtext.sources import html, serving, store
 from longtext.sources.tables import parquet
 
@@ -219,9 +221,7 @@ def study_counts(spark, sf_dir):
 
 @query("stemmed_types")
 def stemmed_types(spark, sf_dir):
-    w = transcripts(spark, sf_dir).select("id", F.explode(F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, L.STUDY_WORDS))).alias("w"))
-    stems = w.select("w").distinct().withColumn("stem", U.lancaster_stem("w"))
-    return w.join(stems, "w").groupBy("id").agg(F.count_distinct("stem").alias("unique_words"))
+    return words.unique_stems(transcripts(spark, sf_dir).select("id", F.slice(X.lower_words(F.col("text")), 1, L.STUDY_WORDS).alias("w")))
 
 
 @query("mattr", f"""{T}, p AS (SELECT id, unnest({LW}) AS tok, generate_subscripts({LW}, 1) - 1 AS i, len({LW}) AS n FROM t),
@@ -264,6 +264,18 @@ def readability(spark, sf_dir):
     return s.select("id", y.cast("long").alias("syllables"), F.round(X.reading_ease(n, k, y), 6).alias("ease"), F.round(X.grade_level(n, k, y), 6).alias("grade"))
 
 
+@query("readability_dictionary", f"""WITH t AS (SELECT doc_id AS id, text FROM documents), s AS (SELECT id, {LW} AS w, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'),
+  '([.!?])\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM t),
+d AS (SELECT DISTINCT unnest({LW}) AS word, TRUE AS known FROM benchmark AS t), u AS (SELECT id, s, unnest(w) AS word FROM s),
+y AS (SELECT id, s, count(*) AS n, sum(CASE WHEN known THEN (length(word) + 1) // 2 ELSE greatest(1, len(regexp_extract_all(word, '[aeiouy]+'))) END)::BIGINT AS y, count(known) AS k FROM u LEFT JOIN d USING (word) GROUP BY id, s)
+SELECT id, n AS words, y AS syllables, k AS known, round(206.835 - 1.015 * (n / s) - 84.6 * (y / n), 6) AS ease, round(0.39 * (n / s) + 11.8 * (y / n) - 15.59, 6) AS grade FROM y WHERE n >= 20""")
+def readability_dictionary(spark, sf_dir):
+    """Readability with syllables from a dictionary, here of the words of `benchmark`, and vowel groups for other words."""
+    known = parquet(spark, sf_dir, "benchmark").select(F.explode(X.lower_words(F.col("text"))).alias("word")).distinct()
+    found = words.dictionary_readability(transcripts(spark, sf_dir).select("id", "text"), known.withColumn("syllables", F.floor((F.length("word") + 1) / 2)))
+    return found.filter("words >= 20").select("id", "words", "syllables", "known", F.round("ease", 6).alias("ease"), F.round("grade", 6).alias("grade"))
+
+
 @query("shingle_counts", f"""{T}, w AS (SELECT id, regexp_extract_all(lower(text), '[0-9_\\pL\\pN]+') AS w FROM t)
 SELECT id, CASE WHEN len(w) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END::BIGINT AS shingles FROM w""")
 def shingle_counts(spark, sf_dir):
@@ -397,6 +409,29 @@ def histogram_40(spark, sf_dir):
     return stats.histogram(parquet(spark, sf_dir, "orders"), "o_totalprice")
 
 
+_BAND = "1.96 * sqrt((syy - slope * sxy) / (n - 2)) * sqrt(1 / n + (x - mx) * (x - mx) / sxx)"
+
+
+@query("trend_figure", SERIES + f""", l AS (SELECT k, count(*) AS n, avg(idx) AS mx, regr_sxx(y, idx) AS sxx, regr_syy(y, idx) AS syy, regr_sxy(y, idx) AS sxy, regr_slope(y, idx) AS slope,
+  regr_intercept(y, idx) AS b, min(idx)::DOUBLE AS lo, max(idx)::DOUBLE AS hi FROM q GROUP BY k), e AS (SELECT *, unnest([lo, hi]) AS x FROM l)
+SELECT k, x, round(b + slope * x, 3) AS y, round(b + slope * x - {_BAND}, 3) AS low, round(b + slope * x + {_BAND}, 3) AS high FROM e""")
+def trend_figure(spark, sf_dir):
+    """Ends of each segment's trend line over its trimmed series, with the band of the mean."""
+    rows = stats.trimmed(series(spark, sf_dir), "k", "y")
+    ends = figures.trend_ends(figures.trend_lines(rows, "k", "idx", "y"), "k")
+    return ends.select("k", "x", *[F.round(c, 3).alias(c) for c in ("y", "low", "high")])
+
+
+@query("cohort_figure", SERIES + f""", l AS (SELECT k, count(*) AS n, avg(idx) AS mx, regr_sxx(y, idx) AS sxx, regr_syy(y, idx) AS syy, regr_sxy(y, idx) AS sxy, regr_slope(y, idx) AS slope,
+  regr_intercept(y, idx) AS b, max(idx)::DOUBLE AS hi FROM q GROUP BY k), e AS (SELECT l.*, q.idx::DOUBLE AS x, y FROM q JOIN l USING (k))
+SELECT k, x, y, round(x / hi, 6) AS progress, round(b + slope * x, 3) AS line, round(b + slope * x - {_BAND}, 3) AS low, round(b + slope * x + {_BAND}, 3) AS high FROM e""")
+def cohort_figure(spark, sf_dir):
+    """Every point of each segment's trimmed series, with its progress and the trend line and band there."""
+    rows = save(stats.trimmed(series(spark, sf_dir), "k", "y"), "points")
+    points = figures.cohort_points(rows, figures.trend_lines(rows, "k", "idx", "y"), "k", "idx", "y")
+    return points.select("k", "x", "y", F.round("progress", 6).alias("progress"), *[F.round(c, 3).alias(c) for c in ("line", "low", "high")])
+
+
 def _lines(number: int, trust: str) -> str:
     """CTEs of one round of locally weighted lines in SQL: trust is the join that says how far each point is trusted."""
     return f"""j{number} AS (SELECT a.k, a.x, a.y, b.x - a.x AS d, b.y AS z, power(1 - least(1, power(abs(b.x - a.x) / a.h, 3)), 3) * {trust} AS w
@@ -567,6 +602,27 @@ def fts_stemmed(spark, sf_dir):
     return search.search(search.inverted_index(d), "tionings ereding")
 
 
+SUFFIX = "(ing|ed|es|s|en|on)$"
+ASKED = ("thst ea", "tions ereding", "the and", "zebras there", "ou ther nderes")
+
+
+@query("fts_index", f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'Zebra ' || text ELSE text END AS text FROM documents),
+w AS (SELECT id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {_in(L.STOP_WORDS)}), lambda x: regexp_replace(x, '{SUFFIX}', '')) AS w FROM d),
+q AS (SELECT unnest({list(ASKED)}) AS query),
+l AS (SELECT query, list_transform(list_filter(regexp_extract_all(query, '[a-z0-9]+'), lambda x: x NOT IN {_in(L.STOP_WORDS)}), lambda x: regexp_replace(x, '{SUFFIX}', '')) AS l FROM q)
+SELECT query, id FROM w, l WHERE len(l) > 0 AND list_has_all(w, l)""")
+def fts_index(spark, sf_dir):
+    """Searches of a stored index, built of three batches, a fifth of the documents then replaced and the first segments joined. Stems are a rule here."""
+    d = spread(parquet(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
+    made = index.TextIndex(spark, folder(spark, "index"), 8, stems=lambda w: F.regexp_replace(w, SUFFIX, ""), stem_word=lambda w: re.sub(SUFFIX, "", w))
+    for part in range(3):
+        made.append(d.filter(F.col("id") % 3 == part))
+    made.append(d.filter("id % 5 = 0").withColumn("text", F.concat(F.lit("Zebra "), "text")))
+    made.merge(3)
+    found = [made.search(q).select(F.lit(q).alias("query"), "id") for q in ASKED]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("upsert_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def upsert_latest(spark, sf_dir):
     e = parquet(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
@@ -660,6 +716,36 @@ def nlp_aggregates(spark, sf_dir):
     return f.select("id", "n_words", "n_sentences", *[F.round(c, 6).alias(c) for c in names])
 
 
+@query("trajectory_indicators", f"""WITH w AS (SELECT doc_id AS id, ({LW})[1:{L.STUDY_WORDS}] AS w, len({LW}) AS n FROM documents),
+f AS (SELECT id, len(list_distinct(list_transform(w, lambda x: substr(x, 1, 4)))) AS u, len(list_filter(w, lambda x: contains(x, 'thing'))) + len(list_filter(w, lambda x: x IN {_in(L.STUDY_FILLERS)})) AS f,
+  len(list_filter(w, lambda x: length(x) % 7 IN (1, 3, 4, 6))) / len(w) AS i FROM w WHERE n >= {L.STUDY_WORDS}),
+m AS (SELECT avg(u) AS mu, stddev_samp(u) AS su, avg(f) AS mf, stddev_samp(f) AS sf, avg(i) AS mi, stddev_samp(i) AS si FROM f)
+SELECT id, u::BIGINT AS unique_words, f::BIGINT AS ns_fill, round(i, 6) AS idea, round(((u - mu) / su + (i - mi) / si - (f - mf) / sf) / 3, 6) AS complexity FROM f, m""")
+def trajectory_indicators(spark, sf_dir):
+    """Indicators of the first 1,400 words of every document that has as many, tagged in a pass of their own (by rules on length here), and their composite."""
+
+    def tag(docs: DataFrame) -> DataFrame:
+        n = F.length("text")
+        pos = F.element_at(F.array(*[F.lit(p) for p in ("NOUN", "VERB", "DET", "ADJ", "ADP", "PRON", "ADV")]), (n % 7 + 1).cast("int"))
+        return docs.select("id", F.explode(F.split("text", " ")).alias("text")).select("id", pos.alias("pos"), F.lit(True).alias("is_alpha"))
+
+    d = spread(parquet(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
+    found = save(words.indicators(d, tag, stem=lambda w: F.substring(w, 1, 4)), "indicators")
+    rows = stats.composite(found, ["unique_words", "idea"], ["ns_fill"])
+    return rows.select("id", "unique_words", F.col("ns_fill").cast("long").alias("ns_fill"), F.round("idea", 6).alias("idea"), F.round("complexity", 6).alias("complexity"))
+
+
+@query("most_self_referential", f"""{T}, k AS (SELECT doc_id AS id, unnest({LW}) AS w FROM documents),
+f AS (SELECT id, count(*) AS n, count(*) FILTER (length(w) % 7 = 5 AND length(w) % 2 = 1 AND length(w) % 3 = 0) AS me,
+  count(*) FILTER (length(w) % 7 = 5 AND length(w) % 2 = 1 AND length(w) % 3 <> 0) AS us FROM k GROUP BY id)
+SELECT date::VARCHAR AS date, speaker, title, id, round(me / n, 6) AS i_ratio, round(CASE WHEN us > 0 THEN me / us ELSE me::DOUBLE END, 6) AS i_to_we_ratio FROM f JOIN t USING (id) ORDER BY me / n DESC, id LIMIT 100""")
+def most_self_referential(spark, sf_dir):
+    """The hundred documents that say I most often for their length."""
+    f = annotate.features(tagged_tokens(spark, sf_dir)).select("id", "first_person_singular_ratio", "i_to_we_ratio")
+    rows = transcripts(spark, sf_dir).select("id", "date", "speaker", "title").join(f, "id").orderBy(F.desc("first_person_singular_ratio"), "id").limit(100)
+    return rows.select(F.col("date").cast("string").alias("date"), "speaker", "title", "id", F.round("first_person_singular_ratio", 6).alias("i_ratio"), F.round("i_to_we_ratio", 6).alias("i_to_we_ratio"))
+
+
 @query("sentiment")
 def sentiment(spark, sf_dir):
     lexicon = {"trash": -2.0, "pathetic": -2.4, "idiot": -2.3, "worthless": -1.9, "disgusting": -2.4, "stupid": -2.4, "loser": -2.4}
