@@ -38,34 +38,47 @@ def annotator_function(annotator: Callable[[str], list[dict]], most: int = 300_0
     return F.udtf(Annotate, returnType=", ".join(TOKEN_SCHEMA.split(", ")[1:]))
 
 
-def depths(tokens: DataFrame, guard: int = 200) -> DataFrame:
-    """(id, sent, depth): deepest token of each sentence; heads are followed inside a sentence's own array."""
-    s = tokens.groupBy("id", "sent").agg(F.map_from_entries(F.collect_list(F.struct("i", "head"))).alias("head"), F.collect_list("i").alias("all"))
+def tree_depth(tokens: Column, guard: int = 200) -> Column:
+    """Hops from the deepest token of a sentence to its root, `guard` or the number of its tokens at most; tokens: array of (i, head).
 
-    def climb(i: Column, head: Column) -> Column:
-        steps = F.aggregate(
-            F.sequence(F.lit(1), F.least(F.lit(guard), F.size("all"))),  # no path in a tree is longer than its sentence
-            F.struct(i.alias("at"), F.lit(0).alias("d")),
-            lambda a, _: F.when(F.coalesce(head[a["at"]], a["at"]) == a["at"], a).otherwise(F.struct(head[a["at"]].alias("at"), (a["d"] + 1).alias("d"))),
-        )
-        return steps["d"]
+    Heads become places in the array once. Then every step lets each token jump over what its present jump already spans, so the steps are
+    the logarithm of the depth. A head outside the sentence is a root.
+    """
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  # a value that lambdas use is computed once
 
-    return s.select("id", "sent", F.array_max(F.transform("all", lambda i: climb(i, F.col("head")))).alias("depth"))
+    def parents(ordered: Column) -> Column:
+        # array_position is 0 where a head is missing; nulls and the token's own index are roots
+        parent = lambda ids: F.transform(ordered, lambda t, k: F.coalesce(F.nullif(F.array_position(ids, t["head"]), F.lit(0)).cast("int") - 1, k))
+        return bound(F.transform(ordered, lambda t: t["i"]), parent)
+
+    def deepest(to: Column) -> Column:
+        most = F.least(F.lit(guard), F.size(to))
+        start = F.struct(to.alias("to"), F.transform(to, lambda p, k: F.when(p == k, 0).otherwise(1)).alias("far"))
+
+        def leap(s: Column, _: Column) -> Column:
+            far = F.zip_with(s["far"], s["to"], lambda d, j: F.least(most, d + F.get(s["far"], j)))
+            return F.struct(F.transform(s["to"], lambda j: F.get(s["to"], j)).alias("to"), far.alias("far"))
+
+        steps = F.ceil(F.log2(most + 1)).cast("int")
+        return F.array_max(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps)), start, leap, lambda s: s["far"]))
+
+    return bound(bound(F.array_sort(tokens), parents), deepest)
 
 
 def features(tokens: DataFrame) -> DataFrame:
-    """One row per document: counts, ratios and complexity of the token contract, all grouped sums."""
+    """One row per document: counts, ratios and complexity of the token contract.
+
+    Sentences are counted where their trees are measured, so the sums over tokens have one distinct count, of lemmas, and no copies of rows.
+    """
     alpha, pos, dep = F.col("is_alpha"), F.col("pos"), F.col("dep")
     n = F.count_if(alpha)
     share = lambda cond: F.try_divide(F.count_if(alpha & cond), n)
     first = (pos == "PRON") & (F.col("person") == "1")
     me, us = F.count_if(alpha & first & (F.col("number") == "Sing")), F.count_if(alpha & first & (F.col("number") == "Plur"))
-    sents = F.count_distinct("sent")
     content = alpha & pos.isin(*L.CONTENT_POS)
     far = (dep != "punct") & (F.col("head") != F.col("i"))
     base = tokens.groupBy("id").agg(
         n.alias("n_words"),
-        sents.alias("n_sentences"),
         share(pos == "PRON").alias("pronoun_ratio"),
         share(pos.isin("NOUN", "PROPN")).alias("noun_ratio"),
         share(pos == "VERB").alias("verb_ratio"),
@@ -77,8 +90,12 @@ def features(tokens: DataFrame) -> DataFrame:
         F.try_divide(us, n).alias("first_person_plural_ratio"),
         F.when(us > 0, me / us).otherwise(me.cast("double")).alias("i_to_we_ratio"),
         F.coalesce(F.avg(F.when(far, F.abs(F.col("i") - F.col("head")))), F.lit(0.0)).alias("mean_dependency_distance"),
-        (F.count_if(dep.isin(*L.SUBORDINATE_DEPS)) / sents).alias("subordination_ratio"),
-        (F.count_if(dep.isin(*L.CLAUSE_DEPS) & pos.isin("VERB", "AUX")) / sents).alias("clauses_per_sentence"),
+        F.count_if(dep.isin(*L.SUBORDINATE_DEPS)).alias("_subordinate"),
+        F.count_if(dep.isin(*L.CLAUSE_DEPS) & pos.isin("VERB", "AUX")).alias("_clauses"),
         F.try_divide(F.count_distinct(F.when(content, F.lower("lemma"))), F.count_if(content)).alias("content_ttr"),
     )
-    return base.join(depths(tokens).groupBy("id").agg(F.avg("depth").alias("mean_tree_depth")), "id", "left")
+    trees = tokens.groupBy("id", "sent").agg(tree_depth(F.collect_list(F.struct("i", "head"))).alias("depth"))
+    sentences = trees.groupBy("id").agg(F.count("sent").alias("n_sentences"), F.avg("depth").alias("mean_tree_depth"))
+    both = base.join(sentences, "id", "left")
+    rates = {"subordination_ratio": F.try_divide("_subordinate", "n_sentences"), "clauses_per_sentence": F.try_divide("_clauses", "n_sentences")}
+    return both.withColumns(rates).drop("_subordinate", "_clauses")

@@ -28,8 +28,12 @@ def trimmed(df: DataFrame, key: str, value: str, width: float = 2.0) -> DataFram
 def trend(df: DataFrame, key: str, x: str, y: str, alpha: float = 0.05) -> DataFrame:
     """(key, n, dropped, r, p, slope, intercept, verdict) of y over x after trimming; r and p are null below three rows."""
     all_rows = df.groupBy(key).agg(F.count(y).alias("_all"))
-    kept = trimmed(df, key, y).groupBy(key)
-    fitted = kept.agg(F.count(y).alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    sums = trimmed(df, key, y).groupBy(key).agg(
+        F.count(y).alias("n"), F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.avg(x).alias("_mx"), F.avg(y).alias("_my")
+    )
+    # corr() divides by zero where a series does not vary
+    fitted = sums.withColumns({"r": F.when((F.col("_vx") > 0) & (F.col("_vy") > 0), F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy"))), "slope": F.when(F.col("_vx") > 0, F.col("_c") / F.col("_vx"))})
+    fitted = fitted.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
     both = fitted.join(all_rows, key).withColumn("dropped", F.col("_all") - F.col("n")).withColumn("r", F.when(F.col("n") >= 3, F.col("r")))
     both = both.withColumn("p", F.when(F.col("r").isNotNull(), pearson_p("r", F.col("n").cast("double"))))
     return both.withColumn("verdict", verdict(F.col("r"), F.col("p"), alpha)).select(key, "n", "dropped", "r", "p", "slope", "intercept", "verdict")

@@ -246,7 +246,12 @@ def mtld(spark, sf_dir):
     return w.select("id", F.size("w").cast("long").alias("n"), D.mtld_counts("w").alias("c")).select("id", "n", "c.*")
 
 
-@query("mtld_by_speaker_year")
+def _way(side: str) -> str:
+    return f"coalesce(n / nullif({side}.f + CASE WHEN {side}.c > 0 THEN (1 - len({side}.t) / {side}.c) / 0.28::DOUBLE ELSE 0 END, 0), n)"
+
+
+@query("mtld_by_speaker_year", f"""{T}, w AS (SELECT speaker, year, {LW} AS w FROM t), r AS (SELECT speaker, year, len(w) AS n, {_FOLD % 'w'} AS f, {_FOLD % 'list_reverse(w)'} AS b FROM w)
+SELECT speaker, year, round(avg(CASE WHEN n < 50 THEN 0 ELSE ({_way('f')} + {_way('b')}) / 2 END), 1) AS avg_mtld, count(*) AS n FROM r GROUP BY speaker, year""")
 def mtld_by_speaker_year(spark, sf_dir):
     w = transcripts(spark, sf_dir).select("id", "speaker", "year", X.lower_words(F.col("text")).alias("w"))
     w = w.select("speaker", "year", D.mtld(F.size("w"), D.mtld_counts("w")).alias("mtld"))

@@ -254,3 +254,22 @@ def test_metadata_in_versions(spark, tmp_path):
         where = store.metadata_folder(spark, str(tmp_path))
         assert spark.read.parquet(f"{where}/parquet").first().title == t
         assert spark.read.option("header", True).option("escape", '"').csv(f"{where}/csv").first().title == t
+
+
+def test_tree_depths(spark):
+    from longtext.operators import annotate
+
+    rng = random.Random(5)
+    sentences = [[(0, 0)], [(i, i - 1 if i else 0) for i in range(150)], [(i, 0) for i in range(9)], [(3, 4), (4, 3)], [(5, None), (6, 5), (9, 6)]]
+    sentences += [[(i, rng.randrange(n)) for i in range(n)] for n in (2, 5, 9, 40)]
+    rows = [(k, [{"i": i, "head": h} for i, h in rng.sample(s, len(s))]) for k, s in enumerate(sentences)]
+    df = spark.createDataFrame(rows, "k int, t array<struct<i:int,head:int>>")
+    got = {r.k: r.d for r in df.select("k", annotate.tree_depth(F.col("t"), 100).alias("d")).collect()}
+    for k, s in enumerate(sentences):
+        heads, most = dict(s), 0
+        for i in heads:
+            at, d = i, 0
+            while d < min(100, len(s)) and heads[at] is not None and heads[at] in heads and heads[at] != at:
+                at, d = heads[at], d + 1
+            most = max(most, d)
+        assert got[k] == most, k
