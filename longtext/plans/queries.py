@@ -15,7 +15,7 @@ from longtext.functions import diversity as D
 from longtext.functions import lexicons as L
 from longtext.functions import text as X
 from longtext.functions import udfs as U
-from longtext.operators import annotate, dedupe, figures, index, report, search, segment, smooth, stats, titles, words
+from longtext.operators import annotate, clusters, dedupe, figures, index, report, search, segment, smooth, stats, titles, words
 from longtext.sources import html, serving, store
 from longtext.sources.tables import parquet
 
@@ -315,6 +315,21 @@ def dedupe_clusters(spark, sf_dir):
     return dedupe.clusters(rows, edges, save)
 
 
+@query("clusters_incremental", r"""WITH RECURSIVE d AS (SELECT doc_id AS id, sha1(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h, doc_id // 3 AS url FROM documents),
+e AS (SELECT id AS a, min(id) OVER (PARTITION BY h) AS b FROM d UNION SELECT id, min(id) OVER (PARTITION BY url) FROM d),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, c) AS (SELECT id, id FROM d UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.id WHERE r.c < g.b)
+SELECT id, min(c) AS component FROM r GROUP BY id""")
+def clusters_incremental(spark, sf_dir):
+    """Components by url and text hash, the edges added in two batches to stored labels."""
+    rows = save(scored(spark, sf_dir).select("id", "text", "source_url"), "scored")
+    edges = save(dedupe.url_edges(rows).union(dedupe.hash_edges(rows)), "edges")
+    stored = clusters.StoredComponents(spark, folder(spark, "components"), save, 8)
+    for part in range(2):
+        stored.add(edges.filter(F.pmod("b", F.lit(2)) == part))
+    return rows.select("id").join(stored.labels().withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 @query("dedupe_near")
 def dedupe_near(spark, sf_dir):
     rows = scored(spark, sf_dir).select("id", "text", "word_count", "quality_score")

@@ -77,12 +77,14 @@ class VersionedTable:
     folders, and leaves the others where they are; readers of older versions are not disturbed, and a job that dies before the
     rename has changed nothing. Two jobs at once: the later one gets Conflict and may run again. Choose `buckets` so that a
     partition is some hundred MB; the record grows with them, not with the rows. Rows with a null in the key are left out, as are empty strings.
+    `by` names the key columns whose hash deals the rows, all by default: rows that agree in them are found together.
     """
 
     spark: SparkSession
     path: str
     keys: tuple[str, ...]
     buckets: int = 64
+    by: tuple[str, ...] | None = None
 
     def exists(self) -> bool:
         return bool(versions(self.spark, self.path))
@@ -91,7 +93,7 @@ class VersionedTable:
         return record(self.spark, self.path, version) or {"version": 0, "schema": None, "parts": {}, "buckets": self.buckets, "keys": list(self.keys)}
 
     def _bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.by or self.keys]), F.lit(buckets)).cast("int")
 
     def _rows(self, told: dict, parts: dict) -> DataFrame:
         schema = StructType.fromJson(told["schema"])
@@ -105,6 +107,20 @@ class VersionedTable:
             raise FileNotFoundError(f"{self.path} has no version")
         return self._rows(told, told["parts"])
 
+    def touched(self, keys: DataFrame) -> list[str]:
+        """Partitions that hold rows with these values of the dealing columns."""
+        told = self._told()
+        found = keys.select(self._bucket(told["buckets"]).alias("b")).distinct().collect()  # at most one for each partition
+        return sorted({str(r.b) for r in found} & set(told["parts"]))
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """Rows whose dealing columns are among these distinct keys; only their partitions are read."""
+        told = self._told()
+        if told["schema"] is None:
+            raise FileNotFoundError(f"{self.path} has no version")
+        rows = self._rows(told, {b: told["parts"][b] for b in self.touched(keys)})
+        return rows.join(keys.select(*(self.by or self.keys)), list(self.by or self.keys), "left_semi")
+
     def _whole(self) -> Column:
         return reduce(and_, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in self.keys])
 

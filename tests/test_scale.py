@@ -273,3 +273,33 @@ def test_tree_depths(spark):
                 at, d = heads[at], d + 1
             most = max(most, d)
         assert got[k] == most, k
+
+
+def test_stored_components_equal_a_full_run_after_every_batch(spark, tmp_path):
+    from longtext.operators.clusters import StoredComponents
+
+    rng = random.Random(6)
+    stored, parent = StoredComponents(spark, str(tmp_path / "c"), save, 16), {}
+
+    def root(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    batches = [[(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(n)] for n in (120, 60, 3)] + [[(401, 401), (None, 2)], [(0, 1), (1, 2), (2, 3)]]
+    for batch in batches:
+        told = stored.add(spark.createDataFrame(batch, "a long, b long"))
+        before = {i: root(i) for i in parent}
+        for a, b in batch:
+            if a is not None and b is not None:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        now = {i: root(i) for i in parent}
+        assert {r.node: r.component for r in stored.labels().collect()} == now
+        assert {(r.node, r.component) for r in stored._members.read().collect()} == set(now.items())
+        assert told["changed"] == sum(before.get(i) != c for i, c in now.items())
+        if len(batch) < 4:
+            assert told["labels_read"] <= 6
+    again = stored.add(spark.createDataFrame(batches[0], "a long, b long"))
+    assert again["changed"] == 0 and again["members_read"] == 0
