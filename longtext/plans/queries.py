@@ -651,7 +651,7 @@ def upsert_latest(spark, sf_dir):
 
 @query("serving_upserts", f"""{T}, s AS (SELECT id::VARCHAR AS id, speaker, date, CASE WHEN id % 3 = 0 THEN 'Revised: ' || title ELSE title END AS title, CASE WHEN id % 3 = 0 THEN 'Revised. ' || text ELSE text END AS text,
   len(regexp_extract_all(text, '[A-Za-z'']+')) AS n, CASE WHEN id % 3 = 0 THEN id / 1000.0 END AS mtld FROM t WHERE id % 7 <> 1)
-SELECT id, list_position({KEYS}, speaker)::BIGINT AS president_id, title, year(date) AS year, md5(text) AS digest, CASE WHEN n >= 100 THEN n END::BIGINT AS n_words, CASE WHEN n >= 100 THEN round(mtld, 6) END::DOUBLE AS mtld FROM s""")
+SELECT id, list_position({KEYS}, speaker)::BIGINT AS president_id, title, year(date) AS year, md5(text) AS digest, CASE WHEN n >= 100 THEN n ELSE -1 END::BIGINT AS n_words, coalesce(CASE WHEN n >= 100 THEN round(mtld, 6) END, -1)::DOUBLE AS mtld FROM s""")
 def serving_upserts(spark, sf_dir):
     """Two loads of transcripts and features, the second of a third of them with other values, then a removal; what the three tables say in the end."""
     root = folder(spark, "serving")
@@ -665,7 +665,7 @@ def serving_upserts(spark, sf_dir):
     found = {name: table.read() for name, table in serving.tables(spark, root, 8).items()}
     kept = found["linguistic_features"].select(F.col("speech_id").alias("id"), "n_words", F.round("mtld", 6).alias("mtld"))
     named = found["speeches"].join(F.broadcast(found["presidents"].select(F.col("id").alias("president_id"))), "president_id")
-    return named.join(kept, "id", "left").select("id", F.col("president_id").cast("long").alias("president_id"), "title", F.col("year").cast("long").alias("year"), F.md5("full_text").alias("digest"), "n_words", "mtld")
+    return named.join(kept, "id", "left").select("id", F.col("president_id").cast("long").alias("president_id"), "title", F.col("year").cast("long").alias("year"), F.md5("full_text").alias("digest"), F.coalesce("n_words", F.lit(-1)).alias("n_words"), F.coalesce("mtld", F.lit(-1.0)).alias("mtld"))
 
 
 @query("append_dedup", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
