@@ -15,9 +15,10 @@ from longtext.schema import typed, untyped
 from longtext.sources import html, store, tables
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_components(spark, most):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 200), (None, 3), (101, 100)]
-    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", save).collect()}
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", save, most=most).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", save).count() == 0
 
