@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from longtext.operators.components import connected_components
 
-from .common import carried, returned, ship, small_enough, stage_table, table, tidy
+from .common import carried, join_small, returned, ship, small_enough, stage_table, table, tidy
 from .tokens import balanced, forget
 
 WORDS = 4
@@ -28,8 +28,10 @@ MOST_LONG = 2_000_000
 RANGE_TOKENS = 2_000_000
 #: Documents whose texts may be named to all tasks to pick their sets; beyond it a join picks them.
 MOST_PICKED = 2_000_000
-#: Dropped rows whose keys (two longs) may be sent to all tasks.
-MOST_DROPPED = 500_000
+#: Rows of two longs (pairs, labels, keys of dropped rows) that may be sent to all tasks.
+MOST_KEYS = 500_000
+#: Rounds in which each document meets one partner of another component, before all partners that are still apart.
+ROUNDS = 3
 #: Parts of a group of a document's shingles; any three of four make a signature.
 PARTS = 4
 #: Buckets of the histograms by which distant pairs are told before their sets are fetched.
@@ -429,14 +431,15 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> DataFrame:
+def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: int = 0) -> DataFrame:
     """(a, b, o) pairs out of the lists of signatures, with the number of lists. sets: c, n, k, s, and l, its component.
 
     Pairs whose long-list shingles cannot make the overlap are left out: their short-list shingles show them (see needed()).
 
     Modes: "stars" gives each member with its list's least. The others pass over lists whose members are all of one
-    component: "heads" gives members outside the list's largest component one member of each other one, another in
-    each list, and "all" gives them all members of the others.
+    component: "next" orders each list by a hash of its own and gives each member with the next one of another component, so a
+    list of m members makes m pairs at most (those left out have o = 0: they tell that components are apart); "all" gives
+    members outside the list's largest component with all members of the others.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,31 +455,33 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str) -> Data
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = postings(blocks["block"], NAMED)
         firsts, many = runs(items["t"])
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
 
-        def add(one: np.void, others: np.ndarray) -> None:
-            n, m = others["n"].astype(np.int64), int(one["n"])
-            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(others["k"], one["k"]).astype(np.int64) >= percent * (n + m))
-            part = others["c"][fit]
-            found.append(np.stack([np.full(len(part), one["c"]), part], axis=1))
+        def add(x: np.ndarray, y: np.ndarray, keep_all: bool = False) -> None:
+            n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(x["k"], y["k"]).astype(np.int64) >= percent * (n + m))
+            part = np.stack(np.broadcast_arrays(x["c"], y["c"], fit.astype(np.int64)), axis=1)
+            found.append(part if keep_all else part[fit])
 
         for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
             rows = items[x : x + m]
             if mode == "stars":
-                add(rows[0], rows[1:])
+                add(rows[:1], rows[1:])
                 continue
             names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
-            others = rows
-            if mode == "heads":
-                order = np.argsort(_mix(rows["c"].view(U) ^ rows["t"]))
-                others = rows[order[np.unique(inverse[order], return_index=True)[1]]]
-            for i in np.flatnonzero(inverse != np.argmax(size)).tolist():
-                add(rows[i], others[others["l"] != rows["l"][i]])
+            if mode == "next":
+                ring = rows[np.argsort(_mix(rows["c"].view(U) ^ rows["t"] ^ U(_GOLD * turn % 2**64)))]
+                last = np.flatnonzero(ring["l"] != np.roll(ring["l"], -1))  # the next member is of another component
+                add(ring, ring[(last[np.searchsorted(last, np.arange(m)) % len(last)] + 1) % m], True)
+                continue
+            largest = np.argmax(size)
+            for i in np.flatnonzero(inverse != largest).tolist():
+                add(rows[i : i + 1], rows[(inverse == largest) | (inverse < inverse[i])])
         pairs = np.concatenate(found)
-        frame = pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
-        return frame.groupby(["a", "b"], sort=False).size().rename("o").reset_index()
+        frame = pd.DataFrame({"a": pairs[:, :2].min(axis=1), "b": pairs[:, :2].max(axis=1), "o": pairs[:, 2]})
+        return frame.groupby(["a", "b"], sort=False)["o"].sum().reset_index()
 
     dealt = sets.select("c", "n", "k", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
     return dealt.groupBy("r").applyInPandas(meet, "a long, b long, o long")
@@ -510,7 +515,12 @@ def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def joined(pairs: DataFrame, *names: str) -> DataFrame:
         left, right = (sets.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]) for side in "ab")
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{side}" for x in names for side in "ab"])
+        pairs = pairs.select("a", "b")
+        if small_enough(pairs, MOST_KEYS):  # pairs are different, so each side's rows meet by pair, however often one document stands in them
+            found = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+        else:
+            found = pairs.join(left, "a").join(right, "b")
+        return found.select("a", "b", *[f"{x}_{side}" for x in names for side in "ab"])
 
     close = stage_table(joined(pairs, "n", "z").mapInArrow(tidy(near), "a long, b long"), "jaccard-near")
     return joined(close, "s").mapInArrow(tidy(probe), "a long, b long")
@@ -534,8 +544,9 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
 
     Documents of equal sets are one node, named by a 64-bit fingerprint, so copies cost one comparison. Only
     what can still join components is compared: first each node's best partner, by short lists and among the least
-    members of its signature lists; then the pairs of short lists between different components, and members of signature lists with
-    one member of each other component; then all members of different components that share a signature list.
+    members of its signature lists; then the pairs of short lists between different components; then, for some rounds, each node and the
+    one node of another component that it meets most often when each signature list pairs neighbours of an order of its own; at
+    last all members of different components that share a signature list. Components are carried from step to step.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows share their class; a null
     doc_id never becomes a component's name unless its whole class has none. Empty input: no rows. Very long
@@ -564,27 +575,39 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
     wanted = nodes.join(classes.select(F.col("f").alias("c"), "h"), "c")
     sets = stage_table(picked_sets(docs, wanted, k), "jaccard-sets")
 
-    common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_DROPPED) else hot, "c")
-    signed = signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, "stars").groupBy("a", "b").agg(F.sum("o").alias("o"))
+    common_sets = sets.join(F.broadcast(hot) if small_enough(hot, MOST_KEYS) else hot, "c")
+    summed = lambda found: found.groupBy("a", "b").agg(F.sum("o").alias("o"))
     nearest = lambda found: found.groupBy("b").agg(F.max_by("a", F.struct("o", "a")).alias("a")).select("a", "b")
+    signed = summed(signature_lists(common_sets.withColumn("l", F.col("c")), bits, percent, "stars"))
     links = reaching(stage_table(nearest(pairs).union(nearest(signed)).distinct(), "jaccard-best"), sets, percent)
     links = stage_table(links, "jaccard-links-0")
+    labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels-0")
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(column), F.col("component").alias(name))
-        return df.join(named, column, "left").withColumn(name, F.coalesce(name, column))
+        return join_small(df, named, column, "left", MOST_KEYS).withColumn(name, F.coalesce(name, column))
 
-    rounds = ["heads", "all"] if not hot.isEmpty() else [None]
-    for turn, mode in enumerate(rounds):
-        labels = stage_table(connected_components(links, "a", "b", stage_table), f"jaccard-labels-{turn}")
+    apart, grown = not hot.isEmpty(), True
+    for turn, mode in enumerate(["next"] * ROUNDS + ["all"]):
+        if turn and (not apart or mode == "next" and not grown):
+            continue
         rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b") if turn == 0 else None
-        if mode:
-            apart = signature_lists(labelled(common_sets, "c", "l"), bits, percent, mode).select("a", "b")
-            rest = rest.union(apart) if rest is not None else apart
+        if apart:
+            met_again = signature_lists(labelled(common_sets, "c", "l"), bits, percent, mode, turn)
+            if mode == "next":
+                met_again = stage_table(summed(met_again), f"jaccard-apart-{turn}")
+                apart = not met_again.isEmpty()
+                both = met_again.union(met_again.select(F.col("b").alias("a"), F.col("a").alias("b"), "o")).filter("o > 0")
+                met_again = nearest(both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            rest = met_again.select("a", "b") if rest is None else rest.union(met_again.select("a", "b"))
         rest = stage_table(rest.distinct(), f"jaccard-rest-{turn}")
-        if not rest.isEmpty():
-            links = links.union(stage_table(reaching(rest, sets, percent), f"jaccard-links-{turn + 1}"))
-    labels = stage_table(connected_components(links, "a", "b", stage_table), "jaccard-labels")
+        grown = not rest.isEmpty()
+        if grown:
+            links = stage_table(reaching(rest, sets, percent), f"jaccard-links-{turn + 1}")
+            grown = not links.isEmpty()
+        if grown:
+            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+            labels = stage_table(connected_components(links, "a", "b", stage_table), f"jaccard-labels-{turn + 1}")
 
     known = classes.select("f", F.col("doc_id").alias("least")).join(labels.select(F.col("node").alias("f"), "component"), "f", "left")
     known = known.withColumn("component", F.coalesce("component", "f"))
@@ -610,7 +633,7 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     rows = carried(docs, _id=F.col("doc_id"), _h=F.xxhash64("text"))
 
     def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        small = F.broadcast(keys) if small_enough(keys, MOST_DROPPED) else keys
+        small = F.broadcast(keys) if small_enough(keys, MOST_KEYS) else keys
         return rows.join(small, F.col("_id").eqNullSafe(F.col("id_x")) & (F.col("_h") == F.col("h_x")), how)
 
     rows = matched(rows, dropped, "left_anti")

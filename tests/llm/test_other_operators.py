@@ -197,10 +197,9 @@ def test_similar_sets_share_a_signature(percent):
             assert set(jaccard_join.signatures(x, percent).tolist()) & set(jaccard_join.signatures(y, percent).tolist())
 
 
-def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
-    """Documents made of 5 of 40 passages: few pairs are looked at, and sets are compared for those that link."""
-    r, seen = random.Random(5), {}
-    store = jaccard_join.stage_table
+def counted_stages(monkeypatch):
+    """Rows of each stage table that the join writes from now on."""
+    seen, store = {}, jaccard_join.stage_table
 
     def counted(df, name):
         out = store(df, name)
@@ -208,6 +207,16 @@ def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard_join, "stage_table", counted)
+    return seen
+
+
+def compared(seen):
+    return sum(n for name, n in seen.items() if name == "jaccard-best" or name.startswith("jaccard-rest-"))
+
+
+def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
+    """Documents made of 5 of 40 passages: few pairs are looked at, and sets are compared for those that link."""
+    r, seen = random.Random(5), counted_stages(monkeypatch)
     passages = [" ".join(f"w{r.randrange(10**6)}" for _ in range(100)) for _ in range(40)]
     texts = [" ".join(r.sample(passages, 5)) for _ in range(800)]
     copy = texts[0].split()
@@ -215,7 +224,18 @@ def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
     texts.append(" ".join(copy))
     got = jaccard_join.join_components(documents(spark, texts)).collect()
     assert {x.doc_id: x.component_id for x in got if x.doc_id in (0, 800)} == {0: 0, 800: 0}
-    assert seen["jaccard-rest-0"] + seen["jaccard-rest-1"] < 0.01 * 800 * 800 and seen["jaccard-near"] < 20
+    assert compared(seen) < 0.01 * 800 * 800 and seen["jaccard-near"] < 20
+
+
+def test_groups_near_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    """Documents that each lack 4 of 60 blocks: similarities lie about the threshold, and signatures bring nearly all pairs together."""
+    r, seen = random.Random(8), counted_stages(monkeypatch)
+    blocks = [" ".join(f"b{i}w{j}" for j in range(12)) for i in range(60)]
+    texts = [" ".join(blocks[i] for i in sorted(r.sample(range(60), 56))) for _ in range(100)]
+    sizes, want = brute_components(texts)
+    got = {x.doc_id: x for x in jaccard_join.join_components(documents(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(100)] == want
+    assert compared(seen) < 10 * 100
 
 
 def test_one_of_each(spark):
