@@ -85,6 +85,18 @@ def tidy(run):
     return wrapped
 
 
+def tidy_group(run):
+    """run, a function of a key and its group, which gives memory back after each group."""
+
+    def wrapped(key, rows):
+        try:
+            return run(key, rows)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def carried(docs: DataFrame, **more: Column) -> DataFrame:
     """docs as one struct column _in beside the named columns, so that no name of the caller's can clash with an internal one."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), *[v.alias(k) for k, v in more.items()])

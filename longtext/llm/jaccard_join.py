@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from longtext.operators.components import connected_components
 
-from .common import carried, join_small, returned, ship, small_enough, stage_table, table, tidy
+from .common import carried, join_small, returned, ship, small_enough, stage_table, table, tidy, tidy_group
 from .tokens import balanced, forget
 
 WORDS = 4
@@ -236,7 +236,7 @@ def long_lists(docs: DataFrame, bits: int, k: int, long: int) -> DataFrame:
         pick = many > long
         return pd.DataFrame({"t": (np.int64(key[0]) << np.int64(32)) + items[firsts[pick]].astype(np.int64), "df": many[pick]})
 
-    return docs.select("text").mapInArrow(tidy(deal), "r int, block binary").groupBy("r").applyInPandas(count, "t long, df long")
+    return docs.select("text").mapInArrow(tidy(deal), "r int, block binary").groupBy("r").applyInPandas(tidy_group(count), "t long, df long")
 
 
 def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_tokens, sure: bool) -> DataFrame:
@@ -281,7 +281,7 @@ def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_
         return pd.DataFrame(rows, columns=["cs", "ns", "ks", "w"]).astype({"w": "Int64"})
 
     dealt = docs.select("text").mapInArrow(tidy(deal), "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "cs array<long>, ns array<int>, ks array<int>, w long")
+    return dealt.groupBy("r").applyInPandas(tidy_group(meet), "cs array<long>, ns array<int>, ks array<int>, w long")
 
 
 def needed(na: int, nb: int, ka: int, kb: int, percent: int) -> int:
@@ -360,7 +360,7 @@ def merged(lists: DataFrame, bits: int, percent: int) -> DataFrame:
     later = lambda x: F.slice(x, F.col("i") + 2, F.size(x) - F.col("i") - 1)
     mine = [F.get(x, F.col("i")).alias(x[0]) for x in ("ns", "ks")]
     each = each.select(F.pmod(F.xxhash64("c"), F.lit(2**bits)).alias("r"), "c", *mine, *[later(x).alias(x) for x in ("cs", "ns", "ks")], "w")
-    return each.groupBy("r").applyInArrow(run, "a long, b long, o long")
+    return each.groupBy("r").applyInArrow(tidy_group(run), "a long, b long, o long")
 
 
 def picked_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -484,7 +484,7 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
         return frame.groupby(["a", "b"], sort=False)["o"].sum().reset_index()
 
     dealt = sets.select("c", "n", "k", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
-    return dealt.groupBy("r").applyInPandas(meet, "a long, b long, o long")
+    return dealt.groupBy("r").applyInPandas(tidy_group(meet), "a long, b long, o long")
 
 
 def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
