@@ -263,7 +263,8 @@ def met_lists(docs: DataFrame, bits: int, k: int, percent: int, long: int, long_
                 out = np.zeros(p, POSTING)
                 out["t"] = np.concatenate([cold[:p], s[last][: max(0, p - len(cold))]])
                 out["c"], out["n"] = f, len(s)
-                out["k"] = -1 if len(cold) >= p else len(s) - len(cold) if sure else len(s)
+                # where lists beyond `long` are not all named, any prefix may reach one: no document may be ruled out by its k
+                out["k"] = len(s) if not sure else -1 if len(cold) >= p else len(s) - len(cold)
                 yield from dealer.add(out)
         yield dealer.flush()
 

@@ -175,6 +175,15 @@ def test_jaccard_components(spark, seed, long, k, percent):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
+def test_no_document_is_ruled_out_where_not_all_long_lists_are_named(spark):
+    """k bounds what two documents can share on long lists (see signature_lists); with lists left unnamed it must not be too low."""
+    base = [f"w{i}" for i in range(160)]
+    docs = documents(spark, [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(24)])
+    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    hot = jaccard_join.met_lists(docs, 7, 4, 85, 4, none, False).filter("w is null").collect()
+    assert hot and {k for r in hot for k in r.ks} == {157}
+
+
 def test_merge_skip():
     r = random.Random(7)
     for _ in range(300):
