@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +161,32 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
     return stage_table(told.select("term", (F.col("disclosure") >= REMOVE).alias("r")), "pii-reveals")
 
 
+def among(terms: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a term is one of these (column term): they are sent to all tasks as a constant, strings of terms by a hash, so no row moves."""
+    many = 1 << max(0, terms.count() - 1).bit_length()
+    at = lambda t: F.pmod(F.xxhash64(t), F.lit(many)).cast("int")
+    parts = [","] * many
+    for x in terms.select(at(F.col("term")).alias("at"), "term").toLocalIterator():
+        parts[x.at] += x.term + ","  # letters and digits
+    table = F.split(F.lit(";".join(parts)), ";")
+    return lambda t: F.contains(F.get(table, at(t)), F.concat(F.lit(","), t, F.lit(",")))
+
+
+def marked(rows: DataFrame, reveals: DataFrame) -> DataFrame:
+    """rows with gone and general, the forms in which revealing terms stand in each.
+
+    Up to MOST_SENT terms every row is looked through where it lies. Beyond, the hits are joined to the rows, and both are shuffled.
+    """
+    if not small_enough(reveals, MOST_SENT):
+        hits = terms_by_row(rows, reveals)
+        return rows.join(F.broadcast(hits) if small_enough(hits, 50_000) else hits, "_row", "left")
+    any_of, gone = among(reveals), among(reveals.filter("r"))
+    forms = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(TERM), F.lit(0)))
+    found = rows.withColumn("_forms", F.filter(forms, lambda f: any_of(F.lower(f))))
+    found = found.withColumns({"gone": F.filter("_forms", lambda f: gone(F.lower(f))), "general": F.filter("_forms", lambda f: ~gone(F.lower(f)))})
+    return found.drop("_forms")
+
+
 def terms_by_row(rows: DataFrame, reveals: DataFrame) -> DataFrame:
     """(_row, gone, general): the forms in which revealing terms stand in each row that holds any. A common term's rows are dealt over SALTS."""
     forms = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(TERM), F.lit(0)))
@@ -176,16 +204,14 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of docs with all spans: _in (the caller's columns), _text, and arrays email, ip, card, phone, generalise, remove of (s, e, m).
 
     The last two are the places of revealing terms (see revealing_terms), in whatever document they stand, where
-    they touch no value. A row's terms are joined by _row; where few rows hold any, that side is
-    broadcast. They are then sought in that row's text alone, by a pattern made of them.
+    they touch no value. A row's terms (see marked) are sought in that row's text alone, by a pattern made of them.
 
     Null and empty texts have no spans. Rows are told apart by _row, not by their id: repeated and null ids are
     kept apart, and columns of any name are carried in _in. An empty table gives no rows. Work grows
     linearly with a text's length, but for a text's terms times its own values.
     """
     rows = with_values(docs, text)
-    hits = terms_by_row(rows, revealing_terms(rows))
-    both = rows.join(F.broadcast(hits) if small_enough(hits, 50_000) else hits, "_row", "left")
+    both = marked(rows, revealing_terms(rows))
     of = {}
     for name, forms in (("generalise", "general"), ("remove", "gone")):  # forms are letters and digits: nothing to escape
         of[name] = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))

@@ -187,6 +187,22 @@ def test_pii_terms_and_redaction(spark):
     assert list(out[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_pii_texts_are_not_shuffled_to_meet_their_terms(spark, monkeypatch):
+    """However many rows hold revealing terms, they are found where the text lies."""
+    texts = [f"{'north ' * i} contact Zyxvut about a.b@c.de today please number {i}" for i in range(6)] + ["plain text about nothing"] * 20
+    enough = pii.small_enough
+    monkeypatch.setattr(pii, "small_enough", lambda df, rows: rows >= pii.MOST_SENT and enough(df, rows))
+    found = pii.detect(documents(spark, texts))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    spans = lambda df: sorted(map(str, df.select("_in.doc_id", "generalise", "remove").collect()))
+    got = spans(found)
+    monkeypatch.setattr(pii, "MOST_SENT", -1)  # the same by a join
+    joined = pii.detect(documents(spark, texts))
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString() and spans(joined) == got
+    assert sum("zyxvut" in x.lower() for x in got) == 6
+
+
 def test_pii_terms_far_from_the_value(spark):
     fill = "plain text about nothing much " * 8
     texts = [f"Zyxvut heads page {i} {fill} write to a.b@c.de [EMAIL] {i}" for i in range(6)] + [f"{fill} zyxvut once more"] + ["plain text about nothing much page write heads email"] * 60
