@@ -1,4 +1,4 @@
-"""Importance resampling towards a target distribution: one dictionary of the corpus's distinct features, hashed once each, in SQL functions only."""
+"""Importance resampling towards a target distribution: features hashed to buckets as texts are read, in SQL functions only."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ LEAST_WORDS, PERCENT, SEED = 20, 10, "2024"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word before its letters are made lower case: digits, ASCII letters and anything beyond ASCII.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: At most so many features can each make up one in so many of all; those that do are broadcast with their gains, 64 bytes of text each on average at most.
-FREQUENT = 2_000_000
 
 
 def features(text: Column, run: int = RUN) -> Column:
@@ -38,49 +36,49 @@ def words_of(n_features: Column, run: int = RUN) -> Column:
     return F.when(n_features >= run * (run + 1) // 2, F.floor((n_features + run * (run - 1) // 2) / run)).otherwise(short)
 
 
-def dictionary(docs: DataFrame, text: str = "text", run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
-    """(f, n, bucket): every distinct feature of the texts, its count and the bucket of its lower-case form.
+def lowered(word: Column) -> Column:
+    """A-Z made lower case, nothing else; lower() does just that to ASCII, and faster."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
-    Counts are combined per task before the shuffle, so a frequent feature is one row per task. Only the distinct
-    strings are made lower case and hashed.
-    """
-    counted = docs.select(F.explode(features(F.col(text), run)).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
-    return counted.withColumn("bucket", F.crc32(F.translate("f", UPPER, LOWER).cast("binary")) % buckets)
+
+def bucket_ids(text: Column, run: int = RUN, buckets: int = BUCKETS) -> Column:
+    """The bucket of every feature of a text, in order, repeats included."""
+    return F.transform(features(text, run), lambda f: (F.crc32(lowered(f).cast("binary")) % buckets).cast("int"))
+
+
+def bucket_counts(rows: DataFrame, ids: str) -> dict[int, int]:
+    """How many features of all rows lie in each bucket; counts are combined per task, and as many rows as there are buckets come to the driver."""
+    counted = rows.select(F.explode(ids).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    return {x.b: x.n for x in counted.collect()}
+
+
+def gains_of(corpus: dict[int, int], target: dict[int, int], spark: SparkSession, buckets: int = BUCKETS) -> list[int]:
+    """Gain of every bucket: how much likelier the target's features fall into it, in thousandths of a natural logarithm."""
+    rows = spark.range(0, buckets, 1, 1).select(
+        "id", *[F.get(constant([float(x.get(b, 0)) for b in range(buckets)], "double"), F.col("id").cast("int")).alias(n) for n, x in (("s", corpus), ("t", target))]
+    )
+    all_s, all_t = float(sum(corpus.values())), float(sum(target.values()))
+    ratio = ((F.col("t") + 1) * (F.lit(all_s) + buckets)) / ((F.col("s") + 1) * (F.lit(all_t) + buckets))
+    return [x.gain for x in rows.select("id", F.floor(1000 * F.log(ratio)).cast("long").alias("gain")).orderBy("id").collect()]
 
 
-def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) of every bucket of the corpus: how much likelier the target's features fall into it, in thousandths of a natural logarithm."""
-    s = corpus.groupBy("bucket").agg(F.sum("n").cast("double").alias("s"))
-    t = target.groupBy("bucket").agg(F.sum("n").cast("double").alias("t"))
-    both = s.join(t, "bucket", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
-    totals = s.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("all_s")).crossJoin(t.agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("all_t")))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return both.crossJoin(F.broadcast(totals)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+def constant(values: list, kind: str) -> Column:
+    """An array of numbers as a constant of the query."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def weighted(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, buckets: int = BUCKETS, frequent: int = FREQUENT) -> DataFrame:
+def weighted(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
     """(_row, key, n_features, weight) of every row of docs: the floored mean of its features' gains.
 
-    The dictionary is stored; gains of the buckets (a bounded number of rows) are joined to it, then to the documents' features. A feature
-    that makes up at least one in `frequent` of all is one of at most so many: those are broadcast. The others, each rare
-    by that bound, meet their documents by a shuffle on the feature. Both are summed per row, frequent ones before the shuffle.
+    Texts are read once: the buckets of their features, a few bits each, are stored row by row. They are counted, combined per task,
+    and the gains of all buckets, a bounded number, go to all tasks as a constant. No feature and no document is shuffled.
     """
-    words = stage_table(dictionary(docs, text, run, buckets), "importance-features")
-    aims = dictionary(target, text, run, buckets)
-    gains = stage_table(bucket_gains(words, aims, buckets), "importance-gains")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = words.join(F.broadcast(gains), "bucket")
-    often = F.col("n") * frequent >= F.lit(total) * F.ceil(F.octet_length("f") / 64)
-    hot = F.broadcast(known.filter(often).select("f", "gain"))
-    rare = known.filter(~often).select("f", "gain")
-    # the row numbers first: beside explode they would number its output
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = rows.select("_row", "_key", F.explode_outer(features(F.col("_text"), run)).alias("f"))
-    met = rows.join(hot, "f", "left")
-    one = met.filter(F.col("gain").isNotNull() | F.col("f").isNull()).select("_row", "_key", F.col("f").isNotNull().cast("long").alias("n"), "gain")
-    rest = met.filter(F.col("gain").isNull() & F.col("f").isNotNull()).select("_row", "_key", "f").join(rare, "f")
-    summed = one.unionByName(rest.select("_row", "_key", F.lit(1).cast("long").alias("n"), "gain"))
-    summed = summed.groupBy("_row", "_key").agg(F.sum("n").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total"))
+    # the row numbers first, in the order of the table
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), bucket_ids(F.col(text), run, buckets).alias("_ids"))
+    rows = stage_table(rows, "importance-buckets")
+    aims = target.select(bucket_ids(F.col(text), run, buckets).alias("_ids"))
+    gains = constant(gains_of(bucket_counts(rows, "_ids"), bucket_counts(aims, "_ids"), docs.sparkSession, buckets), "long")
+    summed = rows.select("_row", "_key", F.size("_ids").cast("long").alias("n_features"), F.aggregate("_ids", F.lit(0).cast("long"), lambda s, b: s + F.get(gains, b)).alias("total"))
     mean = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0))
     return summed.select("_row", F.col("_key").alias(key), "n_features", mean.cast("long").alias("weight"))
 
@@ -116,14 +114,15 @@ def drawn(scored: DataFrame, key: str, eligible: Column, percent: int) -> DataFr
     return scored.filter(~may).withColumn("rank", F.lit(None).cast("long")).unionByName(ranked.select(*scored.columns, "rank"))
 
 
-def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, buckets: int = BUCKETS, least: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED, frequent: int = FREQUENT) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, buckets: int = BUCKETS, least: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED, frequent: int | None = None) -> DataFrame:
     """One row per row of docs: key, n_features, weight, score, rank (null where not drawn).
 
     Null and empty texts have no features, weight 0, and are never drawn, nor are texts of fewer than `least` words. Long texts count whole.
     Rows with a null key share the noise of the empty one and lose ties; repeated keys share their noise, are rows of their own, and break ties
     by their place in the table. An empty target gives gains by the corpus alone; an empty table has no rows. Other columns are not read, whatever their names.
+    `frequent` is taken for older callers and has no effect: frequent features are not treated apart any more.
     """
-    rows = stage_table(weighted(docs, target, key, text, run, buckets, frequent), "importance-weights")
+    rows = stage_table(weighted(docs, target, key, text, run, buckets), "importance-weights")
     scored = rows.withColumn("score", F.col("weight") + noise(F.col(key), seed))
     eligible = words_of(F.col("n_features"), run) >= least
     return drawn(scored, key, eligible, percent).select(key, "n_features", "weight", "score", "rank")

@@ -225,6 +225,12 @@ def test_importance_resampling(spark, seed, run, frequent, percent):
     assert sorted((str(r.doc_id), r.n_features, r.weight, r.score, r["rank"]) for r in got.collect()) == brute_resample(rows, target, run, 97, 20, percent, "2024")
 
 
+def test_importance_reads_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i} " * 10) for i in range(20)], "doc_id long, text string")
+    plan = importance.weighted(docs, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "regexp_extract_all" not in plan
+
+
 def test_importance_resampling_edges(spark):
     schema = "doc_id long, text string"
     aim = spark.createDataFrame([(1, "a b")], "item_id long, text string")
