@@ -164,6 +164,14 @@ def test_titles_are_compared_rarely(spark):
         titles.like_titles(sets, save, 60.0)
 
 
+def test_titles_of_other_letters_part_as_they_meet(spark):
+    """Titles with common pieces of words but other letters are no candidates by pieces: such pairs are not shuffled or stored."""
+    rows = [("g", i, f"rema{a * 6} ks{b * 6} inn{c * 6}".split()) for i, (a, b, c) in enumerate((a, b, c) for a in "bcdfg" for b in "hjklm" for c in "pqtvw")]
+    sets = spark.createDataFrame(rows, "_g string, i long, tokens array<string>").withColumn("n", F.length(F.array_join("tokens", " ")))
+    told = sets.withColumns(dict(zip(titles.MARKS, titles.tally(F.array_join("tokens", " ")), strict=True)))
+    assert titles.shared_pieces(told, 90.0).count() == 0
+
+
 def test_query_of_titles_yields_pairs(spark):
     from longtext.plans import queries
 
