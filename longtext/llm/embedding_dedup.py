@@ -21,6 +21,8 @@ SAMPLE = 4096
 GRID = 4
 #: Vectors in a block of the sequence, and intervals that one interval of the next level joins.
 BLOCK, FAN = 1024, 8
+#: Neighbouring blocks that meet others together, at most, and bytes of their vectors, about; a table has PARTS such groups at least, where it has as many blocks.
+GROUP, GROUP_BYTES, PARTS = 32, 16 << 20, 8
 
 
 def usable(e: Column) -> Column:
@@ -122,7 +124,7 @@ def merged(column: str, how: str) -> Column:
 
 
 def block_pairs(found: DataFrame, epsilon: float) -> DataFrame:
-    """(dim, i, j), i <= j: the pairs of blocks that are not provably distant.
+    """(dim, i, j, ki, kj), ki <= kj: the pairs of blocks that are not provably distant, by name and by place in the sequence.
 
     Intervals of FAN neighbours in the sequence form the next level. From the top level down, each pair of
     intervals whose boxes are farther apart than epsilon ends there; the others give their parts' pairs.
@@ -146,7 +148,7 @@ def block_pairs(found: DataFrame, epsilon: float) -> DataFrame:
         pairs = met.filter(far <= (epsilon + 1e-6) ** 2).select("dim", "i", "j")
     names = levels[0].select("dim", "k", "blk")
     i, j = names.select("dim", F.col("k").alias("i"), F.col("blk").alias("bi")), names.select("dim", F.col("k").alias("j"), F.col("blk").alias("bj"))
-    return pairs.join(i, ["dim", "i"]).join(j, ["dim", "j"]).select("dim", F.col("bi").alias("i"), F.col("bj").alias("j"))
+    return pairs.join(i, ["dim", "i"]).join(j, ["dim", "j"]).select("dim", F.col("bi").alias("i"), F.col("bj").alias("j"), F.col("i").alias("ki"), F.col("j").alias("kj"))
 
 
 def numbered(found: DataFrame, parts: int = 64) -> DataFrame:
@@ -177,27 +179,47 @@ def forest(mask: np.ndarray, same: bool) -> np.ndarray:
     return label
 
 
-def linked(rows: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
-    """(c, k, root): for each class with links in a pair of blocks, the vectors linked there and a class of its part; never the pairs themselves."""
+def linked(rows: DataFrame, pairs: DataFrame, cosine: float, group: int | None = None) -> DataFrame:
+    """(c, k, root): for each class with links in a pair of groups of blocks, the vectors linked there and a class of its part; never the pairs themselves.
+
+    `group` neighbouring blocks travel together: a task gets two groups and compares their pairs of blocks that are not
+    provably distant, so a vector is sent once for each group that it meets, and not for each block.
+    """
     pairs = stage_table(pairs, "ego-pairs")
     data = rows.select("dim", "blk", "c", "m", "x")
-    sides = pairs.select("dim", "i", "j", F.col("i").alias("blk")).union(pairs.filter("i != j").select("dim", "i", "j", F.col("j").alias("blk")))
-
-    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        a = frame[frame["blk"] == i]
-        b = a if i == j else frame[frame["blk"] == j]
-        x = np.stack([np.frombuffer(v, np.float64) for v in a["x"]])
-        y = x if i == j else np.stack([np.frombuffer(v, np.float64) for v in b["x"]])
-        mask = x @ y.T >= cosine
-        if i == j:
-            np.fill_diagonal(mask, False)
-        label, names = forest(mask, i == j), np.concatenate([a["c"].to_numpy(), b["c"].to_numpy()])
-        many = np.concatenate([mask @ b["m"].to_numpy(), [] if i == j else a["m"].to_numpy() @ mask]).astype(np.int64)
-        pick = np.flatnonzero(many > 0)
-        return pd.DataFrame({"c": names[pick], "k": many[pick], "root": names[label[pick]]})
+    if group is None:
+        most, dim = pairs.agg(F.max("kj"), F.max("dim")).first()
+        group = max(1, min(GROUP, GROUP_BYTES // (8 * BLOCK * (dim or 1)), -(-((most or 0) + 1) // PARTS)))
+    cells = pairs.withColumns({"gi": F.floor(F.col("ki") / group), "gj": F.floor(F.col("kj") / group)})
+    sides = cells.select("dim", "gi", "gj", F.explode(F.array("i", "j")).alias("blk")).distinct()
+    sides = stage_table(sides, "ego-sides")
+
+    def meet(key: tuple, frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        held, found = {}, [pd.DataFrame({"c": [], "k": [], "root": []}, dtype=np.int64)]
+        for blk, g in frame.groupby("blk"):
+            x = np.frombuffer(b"".join(g["x"]), np.float64).reshape(len(g), -1)
+            held[blk] = x, x.astype(np.float32), g["c"].to_numpy(), g["m"].to_numpy()
+        del frame
+        for i, j in zip(wanted["i"], wanted["j"], strict=True):
+            (x, x32, a, am), (y, y32, b, bm) = held[i], held[j]
+            rough = x32 @ y32.T
+            if i == j:
+                np.fill_diagonal(rough, -2)
+            if rough.max() < cosine - 1e-6 * (x.shape[1] + 10):  # rounding of singles; what may link is computed in doubles
+                continue
+            mask = x @ y.T >= cosine
+            if i == j:
+                np.fill_diagonal(mask, False)
+            if not mask.any():
+                continue
+            label, names = forest(mask, i == j), np.concatenate([a, b])
+            many = np.concatenate([mask @ bm, [] if i == j else am @ mask]).astype(np.int64)
+            pick = np.flatnonzero(many > 0)
+            found.append(pd.DataFrame({"c": names[pick], "k": many[pick], "root": names[label[pick]]}))
+        return pd.concat(found).groupby(["c", "root"], as_index=False)["k"].sum()[["c", "k", "root"]]
 
-    return data.join(sides, ["dim", "blk"]).groupBy("dim", "i", "j").applyInPandas(meet, "c long, k long, root long")
+    by = ["dim", "gi", "gj"]
+    return data.join(sides, ["dim", "blk"]).groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(meet, "c long, k long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -206,7 +228,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     Unit vectors with cosine c are sqrt(2 - 2c) apart, so links are neighbours within epsilon. Vectors are
     turned to principal directions, sorted by the cells of an epsilon grid on the leading ones, cut into
     blocks, and intervals of the sequence are joined recursively, leaving out those whose boxes are
-    provably farther apart; blocks that remain are compared in full, in doubles, so no link is lost.
+    provably farther apart; blocks that remain are compared in full, in doubles where singles leave a doubt, so no link is
+    lost. Blocks travel in groups (see linked), so each vector is sent once for each group that it meets.
     Equal vectors are one class with a multiplicity: copies cost one comparison and links are counted by
     multiplicity, never listed. Each pair of blocks gives at most one row per class.
 

@@ -305,6 +305,24 @@ def test_embeddings(spark, block):
     assert all(got[i].kept == (find(i) == i) for i in range(len(rows)))
 
 
+def test_vectors_are_sent_once_for_each_group_of_blocks(spark):
+    """Blocks that all meet each other: 32 of them, of which 8 travel together, are 5 copies of each vector or fewer, not 32."""
+    r = np.random.default_rng(2)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(r.normal(size=(256, 12)))]
+    df = spark.createDataFrame(rows, "c long, e array<double>").withColumns({"dim": F.lit(12), "m": F.lit(1).cast("long")})
+    placed = embedding_dedup.sequence(df, spark.sparkContext.broadcast({}), 0.4, 8)
+    blocks = sorted(x.blk for x in placed.select("blk").distinct().collect())
+    pairs = spark.createDataFrame([(12, x, y, i, j) for i, x in enumerate(blocks) for j, y in enumerate(blocks) if i <= j], "dim int, i long, j long, ki long, kj long")
+    links = embedding_dedup.linked(placed, pairs, 0.5, group=8)
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    want = ((x @ x.T >= 0.5) & ~np.eye(256, dtype=bool)).sum(axis=1)
+    got = {t.c: t.k for t in links.groupBy("c").agg(F.sum("k").alias("k")).collect()}
+    assert [got.get(i, 0) for i in range(256)] == want.tolist()
+    cells = {(i // 8, j // 8) for i in range(len(blocks)) for j in range(i, len(blocks))}
+    joined = links._jdf.queryExecution().optimizedPlan().toString()
+    assert len(cells) <= 15 and "FlatMapCoGroupsInPandas" in joined
+
+
 def test_embeddings_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(none).count() == 0
