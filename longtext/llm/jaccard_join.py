@@ -32,6 +32,8 @@ MOST_PICKED = 2_000_000
 MOST_KEYS = 500_000
 #: Rounds in which each document meets one partner of another component, before all partners that are still apart.
 ROUNDS = 3
+#: Signature lists in which a document looks for its partner of a round: those of its least signatures by hash, which similar documents share.
+PARTNER_LISTS = 8
 #: Parts of a group of a document's shingles; any three of four make a signature.
 PARTS = 4
 #: Buckets of the histograms by which distant pairs are told before their sets are fetched.
@@ -195,8 +197,8 @@ class Dealer:
 
 #: k: shingles on long lists, of documents that have them in their prefix; -1 for others.
 POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("k", "<i4")])
-#: A posting of a document whose component is known.
-NAMED = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("k", "<i4"), ("l", "<i8")])
+#: A posting of a document whose component is known; e marks the lists in which the document looks for a partner.
+NAMED = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("k", "<i4"), ("l", "<i8"), ("e", "u1")])
 
 
 def shape(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -438,9 +440,10 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
     Pairs whose long-list shingles cannot make the overlap are left out: their short-list shingles show them (see needed()).
 
     Modes: "stars" gives each member with its list's least. The others pass over lists whose members are all of one
-    component: "next" orders each list by a hash of its own and gives each member with the next one of another component, so a
-    list of m members makes m pairs at most (those left out have o = 0: they tell that components are apart); "all" gives
-    members outside the list's largest component with all members of the others.
+    component: "next" orders each list by a hash of its own and gives each member with the next one of another component; "all" gives
+    members outside the list's largest component with all members of the others. In "stars" and "next" a member
+    speaks in PARTNER_LISTS of its lists only, so a document makes that many pairs at most, however many signatures it has;
+    one pair of every list of several components stays (with o = 0 if it cannot link): it tells that components are apart.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,6 +453,8 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
                 t = signatures(np.frombuffer(s, "<u8"), percent)
                 out = np.zeros(len(t), NAMED)
                 out["t"], out["c"], out["n"], out["k"], out["l"] = t, c, n, k, named
+                mixed = _mix(t)  # the ranges follow t itself
+                out["e"] = mixed <= np.sort(mixed)[min(PARTNER_LISTS, len(t)) - 1] if len(t) else 0
                 yield from dealer.add(out)
         yield dealer.flush()
 
@@ -467,7 +472,7 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
         for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
             rows = items[x : x + m]
             if mode == "stars":
-                add(rows[:1], rows[1:])
+                add(rows[:1], rows[1:][rows["e"][1:] == 1])
                 continue
             names, inverse, size = np.unique(rows["l"], return_inverse=True, return_counts=True)
             if len(names) == 1:
@@ -475,7 +480,10 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
             if mode == "next":
                 ring = rows[np.argsort(_mix(rows["c"].view(U) ^ rows["t"] ^ U(_GOLD * turn % 2**64)))]
                 last = np.flatnonzero(ring["l"] != np.roll(ring["l"], -1))  # the next member is of another component
-                add(ring, ring[(last[np.searchsorted(last, np.arange(m)) % len(last)] + 1) % m], True)
+                partner = ring[(last[np.searchsorted(last, np.arange(m)) % len(last)] + 1) % m]
+                speaks = ring["e"] == 1
+                speaks[0] = True
+                add(ring[speaks], partner[speaks], True)
                 continue
             largest = np.argmax(size)
             for i in np.flatnonzero(inverse != largest).tolist():

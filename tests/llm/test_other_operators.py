@@ -247,6 +247,18 @@ def test_groups_near_the_threshold_are_not_compared_in_pairs(spark, monkeypatch)
     assert compared(seen) < 10 * 100
 
 
+@pytest.mark.parametrize("mode", ["stars", "next"])
+def test_a_document_makes_few_pairs_however_many_signatures_it_has(spark, mode):
+    r = np.random.default_rng(6)
+    base = np.sort(r.integers(0, 2**63, 400, dtype=np.uint64))
+    sets = [np.sort(np.delete(base, r.integers(0, 400, 8))) for _ in range(60)]
+    rows = [(i, len(x), len(x), x.tobytes(), i) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "c long, n int, k int, s binary, l long")
+    pairs = jaccard_join.signature_lists(df, 7, 85, mode, 1).filter("o > 0").count()
+    different = len({t for x in sets for t in jaccard_join.signatures(x, 85).tolist()})
+    assert 59 <= pairs <= 60 * jaccard_join.PARTNER_LISTS + (different if mode == "next" else 0)
+
+
 def test_one_of_each(spark):
     texts = ["a b c d e f g h"] * 3 + ["x y z w v", None, ""]
     docs = documents(spark, texts).union(documents(spark, ["a b c d e f g h"]))
