@@ -38,6 +38,8 @@ PARTNER_LISTS = 8
 PARTS = 4
 #: Buckets of the histograms by which distant pairs are told before their sets are fetched.
 BUCKETS = 128
+#: Pairs out of signature lists that a task gathers before it joins the repeated ones, about.
+GATHERED = 2_000_000
 
 U = np.uint64
 
@@ -434,6 +436,27 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def range_bits(items: int, least: int = 1) -> int:
+    """Bits of the hash that make ranges of about RANGE_TOKENS items."""
+    return min(26, max(least, int(np.ceil(np.log2(max(1, items) / RANGE_TOKENS + 1)))))
+
+
+def signature_bits(sets: DataFrame) -> int:
+    """Ranges for the signatures of these sets: a set has fewer than its shingles and 16.
+
+    Two sets share many lists, and each range that holds one of these names the pair: no more ranges than the lists fill.
+    """
+    told = sets.agg(F.sum(F.col("n").cast("long")), F.count("*")).first()
+    return range_bits((told[0] or 0) + 16 * told[1])
+
+
+def joined_pairs(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (x, y, o) of the list as different rows (a, b, o), a < b, o added up."""
+    pairs = np.concatenate(found)
+    frame = pd.DataFrame({"a": pairs[:, :2].min(axis=1), "b": pairs[:, :2].max(axis=1), "o": pairs[:, 2]})
+    return frame.groupby(["a", "b"], sort=False)["o"].sum().reset_index().to_numpy(np.int64)
+
+
 def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: int = 0) -> DataFrame:
     """(a, b, o) pairs out of the lists of signatures, with the number of lists. sets: c, n, k, s, and l, its component.
 
@@ -461,13 +484,17 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
     def meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         items = postings(blocks["block"], NAMED)
         firsts, many = runs(items["t"])
-        found = [np.zeros((0, 3), np.int64)]
+        found, held = [np.zeros((0, 3), np.int64)], [0, GATHERED]  # rows held, and how many are too many
 
         def add(x: np.ndarray, y: np.ndarray, keep_all: bool = False) -> None:
             n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
             fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(x["k"], y["k"]).astype(np.int64) >= percent * (n + m))
             part = np.stack(np.broadcast_arrays(x["c"], y["c"], fit.astype(np.int64)), axis=1)
             found.append(part if keep_all else part[fit])
+            held[0] += len(found[-1])
+            if held[0] > held[1]:
+                found[:] = [joined_pairs(found)]
+                held[:] = [len(found[0]), GATHERED + 2 * len(found[0])]
 
         for x, m in zip(firsts[many > 1].tolist(), many[many > 1].tolist(), strict=True):
             rows = items[x : x + m]
@@ -488,9 +515,7 @@ def signature_lists(sets: DataFrame, bits: int, percent: int, mode: str, turn: i
             largest = np.argmax(size)
             for i in np.flatnonzero(inverse != largest).tolist():
                 add(rows[i : i + 1], rows[(inverse == largest) | (inverse < inverse[i])])
-        pairs = np.concatenate(found)
-        frame = pd.DataFrame({"a": pairs[:, :2].min(axis=1), "b": pairs[:, :2].max(axis=1), "o": pairs[:, 2]})
-        return frame.groupby(["a", "b"], sort=False)["o"].sum().reset_index()
+        return pd.DataFrame(joined_pairs(found), columns=["a", "b", "o"])
 
     dealt = sets.select("c", "n", "k", "s", "l").mapInArrow(tidy(deal), "r int, block binary")
     return dealt.groupBy("r").applyInPandas(tidy_group(meet), "a long, b long, o long")
@@ -567,7 +592,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
     rows = stage_table(described(docs, k), "jaccard-rows")
     classes = rows.filter("n_shingles > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(26, max(7, int(np.ceil(np.log2(max(1, total) / RANGE_TOKENS + 1)))))
+    bits = range_bits(total, 7)
 
     lists = stage_table(long_lists(docs, bits, k, long), "jaccard-long")
     least = long
@@ -602,7 +627,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long: in
             continue
         rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b") if turn == 0 else None
         if apart:
-            met_again = signature_lists(labelled(common_sets, "c", "l"), bits, percent, mode, turn)
+            met_again = signature_lists(labelled(common_sets, "c", "l"), signature_bits(common_sets) if mode == "all" else bits, percent, mode, turn)
             if mode == "next":
                 met_again = stage_table(summed(met_again), f"jaccard-apart-{turn}")
                 apart = not met_again.isEmpty()

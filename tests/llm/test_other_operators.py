@@ -259,6 +259,29 @@ def test_a_document_makes_few_pairs_however_many_signatures_it_has(spark, mode):
     assert 59 <= pairs <= 60 * jaccard_join.PARTNER_LISTS + (different if mode == "next" else 0)
 
 
+def test_the_last_step_names_a_pair_once(spark, monkeypatch):
+    """Documents that differ in 5 of 60 blocks each: pairs share many lists, and come out once for each range of signatures that holds one."""
+    made, lists = [], jaccard_join.signature_lists
+
+    def counted(sets, bits, percent, mode, turn=0):
+        out = jaccard_join.stage_table(lists(sets, bits, percent, mode, turn), "made")
+        if mode == "all":
+            made.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "signature_lists", counted)
+    blocks = [" ".join(f"b{i}w{j}" for j in range(12)) for i in range(60)]
+    r = random.Random(8)
+    texts = []
+    for n in range(60):
+        lost = set(r.sample(range(60), 5))
+        texts.append(" ".join(f"d{n}x{i} " * 12 if i in lost else b for i, b in enumerate(blocks)))
+    sizes, want = brute_components(texts)
+    got = {x.doc_id: x for x in jaccard_join.join_components(documents(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(60)] == want
+    assert made and made[0][1] > 500 and made[0][0] <= 2 * made[0][1]
+
+
 def test_one_of_each(spark):
     texts = ["a b c d e f g h"] * 3 + ["x y z w v", None, ""]
     docs = documents(spark, texts).union(documents(spark, ["a b c d e f g h"]))
