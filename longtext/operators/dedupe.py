@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longtext.functions.text import hash_of_normalized, shingles
 from longtext.functions.udfs import indel_ratio
@@ -30,12 +33,93 @@ def hash_edges(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return star_edges(df, key, F.when(F.length(text) > 0, hash_of_normalized(F.col(text))), "hash")
 
 
-def band_keys(parts: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """Array of one hash per band: minima of seeded hashes over the set, `rows` at a time."""
-    seeds = F.sequence(F.lit(0), F.lit(bands * rows - 1))
-    hashed = F.transform(parts, lambda x: F.xxhash64(x))
-    minima = F.transform(F.array(hashed), lambda h: F.transform(seeds, lambda s: F.array_min(F.transform(h, lambda x: F.xxhash64(x, s)))))[0]
-    return F.transform(F.array(minima), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows))))[0]
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(33)
+    x *= _P2
+    x ^= x >> np.uint64(29)
+    x *= _P3
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _hash_longs(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = _turned(_turned(x * _P2, 31) * _P1 ^ (seed + _P5 + np.uint64(8)), 27) * _P1 + _P4
+    return _mixed(h)
+
+
+def _hash_int(x: int, seed: np.ndarray) -> np.ndarray:
+    return _mixed(_turned((seed + _P5 + np.uint64(4)) ^ np.uint64(x * int(_P1) % 2**64), 23) * _P2 + _P3)
+
+
+def seeded_bands(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each run of longs that begins at one of `starts`, a hash per band: xxhash64(band, minima), as Spark computes it, where the minima are
+    the least xxhash64(x, seed) of `rows` seeds each."""
+    x = _hash_longs(hashes.view(np.uint64), np.full(1, 42, np.uint64)) + _P5 + np.uint64(4)
+    h, t = np.empty_like(x), np.empty_like(x)
+    by = [np.uint64(n) for n in (23, 41, 33, 29, 32)]
+    out = np.empty((len(starts), bands), np.int64)
+    for band in range(bands):
+        key = _hash_int(band, np.full(len(starts), 42, np.uint64))
+        for seed in range(band * rows, (band + 1) * rows):
+            # _hash_int(seed, x) in two buffers that stay in the core's cache
+            np.bitwise_xor(x, np.uint64(seed * int(_P1) % 2**64), out=h)
+            np.left_shift(h, by[0], out=t)
+            np.right_shift(h, by[1], out=h)
+            h |= t
+            h *= _P2
+            h += _P3
+            for shift, times in ((by[2], _P2), (by[3], _P3)):
+                np.right_shift(h, shift, out=t)
+                h ^= t
+                h *= times
+            np.right_shift(h, by[4], out=t)
+            h ^= t
+            least = np.minimum.reduceat(h.view(np.int64), starts)
+            key = _hash_longs(least.view(np.uint64), key)
+        out[:, band] = key.view(np.int64)
+    return out
+
+
+def bands_function(bands: int, rows: int, most: int = 1 << 13):
+    """Arrow function array of longs -> array of band hashes; null of an empty array. Works through about `most` longs at a time, which stays in a core's cache."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def made(sets: pd.Series) -> pd.Series:
+        out, held, n = [None] * len(sets), [], 0
+
+        def flush() -> None:
+            starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+            for (i, _), row in zip(held, seeded_bands(np.concatenate([x for _, x in held]), starts, bands, rows), strict=True):
+                out[i] = row
+
+        for i, x in enumerate(sets):
+            if x is None or not len(x):
+                continue
+            held.append((i, np.asarray(x, np.int64)))
+            n += len(x)
+            if n >= most:
+                flush()
+                held, n = [], 0
+        if held:
+            flush()
+        return pd.Series(out, dtype=object)
+
+    return made
+
+
+def band_keys(hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """Array of one hash per band: minima of seeded hashes over a set of longs, `rows` at a time. Empty sets have the same bands.
+
+    The longs should be a stored column: Spark does not take nested lambdas as an argument of an Arrow function.
+    """
+    return F.coalesce(bands_function(bands, rows)(hashes), F.array(*[F.xxhash64(F.lit(b)) for b in range(bands)]))
 
 
 def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least: float = 85.0) -> DataFrame:
@@ -48,12 +132,14 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
     """
     rows = df.filter(F.length(text) >= LEAST_CHARS).select(F.col(key).alias("i"), F.col(text).alias("t"))
     rows = rows.groupBy(F.md5("t").alias("h")).agg(F.min("i").alias("i"), F.first("t").alias("t"))
-    banded = save(rows.select("i", F.least(F.length("t"), F.lit(PREFIX)).alias("n"), F.posexplode(band_keys(shingles(F.col("t")))).alias("band", "k")), "bands")
-    heads = save(rows.select("i", F.substring("t", 1, PREFIX).alias("t")), "heads")
+    heads = save(rows.select("i", F.substring("t", 1, PREFIX).alias("t"), F.transform(shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("s")), "heads")
+    keyed = heads.select("i", F.length("t").alias("n"), band_keys(F.col("s")).alias("ks"))
+    banded = save(keyed.select("i", "n", F.posexplode("ks").alias("band", "k")), "bands")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = heads.select(F.col("i").alias("a"), F.col("t").alias("x")), heads.select(F.col("i").alias("b"), F.col("t").alias("y"))
-        return pairs.join(x, "a").join(y, "b").filter(indel_ratio("x", "y") >= least).select("a", "b")
+        long_enough = 200 * F.least(F.length("x"), F.length("y")) >= least * (F.length("x") + F.length("y"))
+        return pairs.join(x, "a").join(y, "b").filter(long_enough).filter(indel_ratio("x", "y") >= least).select("a", "b")
 
     first = banded.groupBy("band", "k").agg(F.min("i").alias("a"))
     met = save(banded.join(first, ["band", "k"]).filter("a < i").select("a", F.col("i").alias("b")).distinct(), "near-met")
