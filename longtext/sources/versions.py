@@ -15,6 +15,10 @@ from pyspark.sql.types import StructType
 from longtext.sources.store import latest
 
 
+#: Bytes of stored rows that one task of a merge writes, about.
+SLICE = 64 << 20
+
+
 class Conflict(RuntimeError):
     """Another job has published the same version first; nothing of this job is visible."""
 
@@ -24,6 +28,11 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, where = _files(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the published versions, ascending."""
     fs, folder = _files(spark, f"{root}/_versions")
@@ -85,6 +94,7 @@ class VersionedTable:
     keys: tuple[str, ...]
     buckets: int = 64
     by: tuple[str, ...] | None = None
+    slice: int = SLICE
 
     def exists(self) -> bool:
         return bool(versions(self.spark, self.path))
@@ -152,7 +162,11 @@ class VersionedTable:
             old = self._rows(told, before) if told["schema"] else None
             made = self._merged(old, batch.drop("_b"), columns, remove)
             made = made.withColumn("_b", self._bucket(told["buckets"]))
-            made.repartition(max(1, len(touched)), "_b").write.partitionBy("_b").parquet(f"{self.path}/{run}")
+            # a partition of the table is written by as many tasks as its bytes ask for, each its own file of the folder
+            held = sum(_bytes(self.spark, f"{self.path}/{f}") for f in before.values()) + _bytes(self.spark, staged)
+            slices = max(1, -(-held // (max(1, len(touched)) * self.slice)))
+            part = F.pmod(F.xxhash64(F.lit("slice"), *[F.col(k) for k in self.keys]), F.lit(slices))
+            made.repartition(max(1, len(touched)) * slices, "_b", part).write.partitionBy("_b").parquet(f"{self.path}/{run}")
         finally:
             fs.delete(folder, True)
         fs, folder = _files(self.spark, f"{self.path}/{run}")
