@@ -15,6 +15,12 @@ from longtext.sources.versions import publish, record
 
 #: Documents whose ids share one list of a term: the list of a term that every document has is cut into parts of about so many.
 PART = 4096
+#: Parts of a folder whose lists one task writes.
+PARTS_A_TASK = 16
+
+
+def parts_of(docs: DataFrame, part: int = PART) -> int:
+    return max(1, -(-docs.count() // part))
 
 
 def posting_lists(docs: DataFrame, stems, part: int = PART) -> DataFrame:
@@ -23,7 +29,7 @@ def posting_lists(docs: DataFrame, stems, part: int = PART) -> DataFrame:
     Lists are made by word first, so each distinct word is stemmed once for a part and not for every document that holds it; the lists
     of words with the same stem are then one. No list is longer than its part, however common the term.
     """
-    parts = max(1, -(-docs.count() // part))
+    parts = parts_of(docs, part)
     words = docs.select("id", F.explode(plain_lexemes(F.col("text"))).alias("word"))
     lists = words.groupBy("word", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list("id").alias("ids"))
     known = lists.select("word").distinct().withColumn("lexeme", stems(F.col("word")))
@@ -56,10 +62,11 @@ class TextIndex:
     def _bucket(self, lexeme: Column) -> Column:
         return F.pmod(F.crc32(lexeme.cast("binary")), F.lit(self.buckets)).cast("int")
 
-    def _write(self, lists: DataFrame, ids: DataFrame) -> str:
+    def _write(self, lists: DataFrame, ids: DataFrame, parts: int) -> str:
         run = f"segments/{uuid.uuid4().hex}"
         rows = lists.withColumn("b", self._bucket(F.col("lexeme")))
-        rows.repartition(self.buckets, "b").sortWithinPartitions("b", "lexeme", "part").write.partitionBy("b").parquet(f"{self.path}/{run}/lists")
+        # lists of a folder are dealt by their part as well, so that more documents are more tasks and files, not larger ones
+        rows.repartition(self.buckets * (-(-parts // PARTS_A_TASK)), "b", F.floor(F.col("part") / PARTS_A_TASK)).sortWithinPartitions("b", "lexeme", "part").write.partitionBy("b").parquet(f"{self.path}/{run}/lists")
         ids.write.parquet(f"{self.path}/{run}/ids")
         return run
 
@@ -67,7 +74,7 @@ class TextIndex:
         """Add documents, or replace those with known ids; the new version."""
         told = self._told()
         rows = docs.select("id", "text").filter("id is not null")
-        run = self._write(posting_lists(rows, self.stems, self.part), rows.select("id").distinct())
+        run = self._write(posting_lists(rows, self.stems, self.part), rows.select("id").distinct(), parts_of(rows, self.part))
         return publish(self.spark, self.path, told["version"], {"segments": [*told["segments"], run]})
 
     def _ids(self, runs: list[str]) -> DataFrame:
@@ -112,5 +119,5 @@ class TextIndex:
         ids = self._ids(runs).distinct()
         parts = max(1, -(-ids.count() // self.part))
         rows = self._postings(runs, None).groupBy("lexeme", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-        run = self._write(rows.agg(F.array_sort(F.collect_set("id")).alias("ids")), ids)
+        run = self._write(rows.agg(F.array_sort(F.collect_set("id")).alias("ids")), ids, parts)
         return publish(self.spark, self.path, told["version"], {"segments": [*told["segments"][: -len(runs)], run]})
