@@ -145,8 +145,20 @@ def page_parser(archive: str, selectors: dict | None = None):
     return parse
 
 
+#: Bytes of pages in one Arrow batch, where the session sets no bound.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Bound Arrow batches by bytes where the session does not, so that what a worker holds does not grow with the rows of its task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, str(2**31 - 1)) == str(2**31 - 1):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(pages: DataFrame, archive: str, url: str = "url", page: str = "html", least: int = 200, default_speaker: str | None = None) -> DataFrame:
     """(url, title, date, location, speaker, text) of pages with enough content; the speaker block counts before title and text."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(url, page_parser(archive)(F.col(page)).alias("x")).select(url, "x.*").filter(F.length("content") >= least)
     who = F.coalesce(speaker_of(F.col("person")), speaker_of(F.col("title")), speaker_of(F.substring("content", 1, 800)), F.lit(default_speaker))
     return rows.select(url, "title", parsed_date(F.col("date_raw")).alias("date"), F.nullif("location", F.lit("")).alias("location"), who.alias("speaker"), F.col("content").alias("text"))
