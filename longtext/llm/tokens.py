@@ -13,14 +13,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, tidy
+from .common import give_back, ship, table, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of text that are encoded together; longer texts are split at white space.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Pieces of words that a worker remembers: two generations of this many.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Words that the library encodes in one call: what it returns for each takes about a kilobyte.
+CALL_WORDS = 2000
+#: Bytes of text after which a worker gives freed memory back, so that what batches leave behind does not add up.
+TIDY_BYTES = 16 << 20
 #: A long text may be cut before a white space that follows anything else.
 _BREAK = re.compile("(?<=[^ \t-\r])[ \t-\r]")
 _ENCODERS: dict = {}
@@ -58,16 +62,16 @@ class WordEncoder:
         A plain piece is one for the pre-tokenizer too, and the last id of such a piece, and no other, is
         one of a word end: plain pieces are encoded as one text and cut at those ids.
         """
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+        for at in range(0, len(plain), CALL_WORDS):
+            part = plain[at : at + CALL_WORDS]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 yield from zip(part, self.keep(ids, cuts), strict=True)
             else:
                 other = other + part
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
+        for at in range(0, len(other), CALL_WORDS):
+            part = other[at : at + CALL_WORDS]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 yield w, self.keep(np.array(e.ids, dtype="<u4"), np.array([len(e)]))[0]
 
@@ -132,8 +136,11 @@ def safe_parts(text: str, most: int) -> list[str]:
 
 
 def balanced(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Batches (row numbers, text parts) of about equal bytes; a long text spreads over several."""
-    rows, parts, held = [], [], 0
+    """Batches (row numbers, text parts) of about equal bytes; a long text spreads over several.
+
+    Memory that earlier batches freed is given back now and then.
+    """
+    rows, parts, held, since = [], [], 0, 0
     for i, text in enumerate(t for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()):
         for part in safe_parts(text, most) if text and len(text) > most else [text or ""]:
             rows.append(i)
@@ -141,7 +148,11 @@ def balanced(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndar
             held += len(part)
             if held >= most:
                 yield np.array(rows), parts
+                since += held
                 rows, parts, held = [], [], 0
+                if since >= TIDY_BYTES:
+                    give_back()
+                    since = 0
     if rows:
         yield np.array(rows), parts
 
@@ -205,7 +216,10 @@ def token_ids(parts: list[str], path: str) -> Iterator[np.ndarray]:
     flat, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     starts, many = (np.cumsum(sizes) - sizes)[index], sizes[index]
     ends = np.cumsum(many)
-    ids = flat[np.repeat(starts - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+    places = np.repeat(starts - (ends - many), many)
+    places += np.arange(len(places))
+    ids = flat[places]
+    del places
     bounds = np.concatenate([[0], ends])[offsets]
     yield from (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
