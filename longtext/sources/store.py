@@ -11,8 +11,13 @@ from longtext.schema import untyped
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of the batch whose key is neither in existing nor earlier in the batch."""
-    return batch.join(existing.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    """Rows of the batch whose key is neither in existing nor earlier in the batch.
+
+    Both sides are dealt by key over spark.sql.shuffle.partitions tasks, a number that Spark then keeps: keys compress well, so
+    partitions merged by their shuffled bytes would hold very many of them in one task's tables.
+    """
+    tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batch.repartition(tasks, key).join(existing.select(key).repartition(tasks, key), key, "left_anti").dropDuplicates([key])
 
 
 def append(batch: DataFrame, path: str, key: str = "id") -> int:
