@@ -19,8 +19,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of text that are encoded together; longer texts are split at white space.
 BATCH_BYTES = 2 << 20
-#: Pieces of words that a worker remembers: two generations of this many.
-REMEMBERED = 200_000
+#: Pieces of words that a worker remembers; beyond, it keeps the half that it met last.
+REMEMBERED = 400_000
 #: Words that the library encodes in one call: what it returns for each takes about a kilobyte.
 CALL_WORDS = 2000
 #: Bytes of text after which a worker gives freed memory back, so that what batches leave behind does not add up.
@@ -31,9 +31,48 @@ _ENCODERS: dict = {}
 _BY_WORDS: dict = {}
 
 
-#: A word of letters that the normaliser only turns to lower case, one for one, and marks after it: both are pieces of
-#: their own for the pre-tokenizer, so that the word's ids are theirs in turn.
-_SPLIT = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:$&%*#]*)").fullmatch
+#: The normaliser and pre-tokenizer under which a text is what its words are, and the special strings that words may hold.
+_STEPS = ["NFC", "Replace", "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPECIAL = "<\\|[a-z]+\\|>"
+#: Classes of bytes: ASCII letters and digits, and the ASCII marks that neither a contraction nor a special string holds.
+_BYTES = np.arange(256)
+_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_ALNUM = _DIGIT | _UPPER | ((_BYTES >= 97) & (_BYTES <= 122))
+_MARK = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM & ~np.isin(_BYTES, list(b"'<|>"))
+#: Second bytes, after C3, of Latin letters, and of those in upper case: the lower ones lie 32 further.
+_LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & ~np.isin(_BYTES, [0x97, 0xB7])
+_LATIN_UPPER = _LATIN & (_BYTES <= 0x9E)
+
+
+def spread(texts: pa.Array) -> pa.Array:
+    """Texts with a space at each border that the pre-tokenizer cuts anyway (letters, digits and marks of ASCII and Latin-1), these letters in lower case.
+
+    Ids stay what they were: words come out as pieces, and fewer of them differ. A letter before U+0300 or beyond keeps its case, as
+    composition comes before the normaliser's lower case; so does what would turn into a special string.
+    """
+    if not len(texts):
+        return texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    if not size:
+        return texts
+    given = np.frombuffer(texts.buffers()[2], np.uint8)[first : first + size]
+    after = np.append(given[1:], 0)
+    latin = np.append(False, (given[:-1] == 0xC3) & _LATIN[given[1:]])
+    ends = _ALNUM[given] | latin
+    starts = _ALNUM[given] | np.append(latin[1:], False)
+    digit, mark = _DIGIT[given], _MARK[given]
+    gaps = np.flatnonzero((ends[:-1] & (mark | digit)[1:]) | ((mark | digit)[:-1] & starts[1:])) + 1
+    made = given + ((_UPPER[given] | (latin & _LATIN_UPPER[given])) & (after < 0xCC)).astype(np.uint8) * np.uint8(32)
+    told = made.tobytes()
+    if b"<|" in told:
+        for m in re.finditer(_SPECIAL.encode(), told):
+            made[m.start() : m.end()] = given[m.start() : m.end()]
+    made = np.insert(made, gaps, 32)
+    moved = offsets - first + np.searchsorted(gaps, offsets - first)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(made))
 
 
 class WordEncoder:
@@ -42,7 +81,7 @@ class WordEncoder:
     The vocabulary's pre-tokenizer drops white space and never joins across it, its special strings
     hold none, and Unicode composition does not cross a space: a text's ids are its words' ids in
     order. So a batch is split once, and only its distinct unknown words go to the library, many in
-    one call. Memory is bounded: when the newer generation is full, the older one is forgotten.
+    one call. What is known lies in a few arrays, not in an object a word, and its size is bounded.
     """
 
     def __init__(self, path: str, keep):
@@ -50,64 +89,90 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.new, self.old = keep, {}, {}
-        self.none = 0 if keep is _lengths else b""
+        self.keep, self.turn = keep, 0
+        self.known, self.used = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
 
-    def encoded(self, plain: list[str], other: list[str]) -> Iterator[tuple[str, object]]:
-        """Each new piece and what keep makes of its ids.
+    def encoded(self, words: pa.Array) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+        """The words in another order, and the ids and numbers of ids of some of them at a time.
 
-        A plain piece is one for the pre-tokenizer too, and the last id of such a piece, and no other, is
-        one of a word end: plain pieces are encoded as one text and cut at those ids.
+        A word of lower-case letters is one for the pre-tokenizer too, and the last id of such a word, and no other, is
+        one of a word end: such words are encoded as one text and cut at those ids.
         """
+        plain = pc.match_substring_regex(words, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$")
+        done, ids, sizes, other = [], [], [], words.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+        plain = words.filter(plain).to_numpy(zero_copy_only=False).tolist()
         for at in range(0, len(plain), CALL_WORDS):
             part = plain[at : at + CALL_WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                yield from zip(part, self.keep(ids, cuts), strict=True)
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(found):
+                done += part
+                ids.append(found)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                other = other + part
+                other += part
         for at in range(0, len(other), CALL_WORDS):
             part = other[at : at + CALL_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                yield w, self.keep(np.array(e.ids, dtype="<u4"), np.array([len(e)]))[0]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            done += part
+            ids.append(np.array([x for one in found for x in one], "<u4"))
+            sizes.append(np.array([len(one) for one in found]))
+        return pa.array(done, pa.string()), ids, sizes
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is among those known; those that are not yet so are encoded. The places hold until the next call."""
+        if len(self.known) > REMEMBERED:
+            self.forget_half()
+        self.turn += 1
+        n = len(self.known)
+        coded = pa.concat_arrays([self.known, words]).dictionary_encode()
+        place = coded.indices.to_numpy()[n:]
+        fresh = coded.dictionary[n:]
+        if len(fresh):
+            done, ids, sizes = self.encoded(fresh)
+            # the library took the fresh words in another order than the dictionary has them
+            turned = np.concatenate([np.arange(n), n + pc.index_in(fresh, done).to_numpy()])
+            place = turned[place]
+            self.known = pa.concat_arrays([self.known, done])
+            self.used = np.append(self.used, np.zeros(len(done), np.int32))
+            self.sizes = np.concatenate([self.sizes, *sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            if self.keep is not _lengths:
+                self.ids = np.concatenate([self.ids, *ids])
+        self.used[place] = self.turn
+        return place
+
+    def forget_half(self) -> None:
+        """Keep what was met last."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        if self.keep is not _lengths:
+            self.ids = self.ids[_runs(self.starts[stay], self.sizes[stay])]
+        self.known, self.used, self.sizes = self.known.take(pa.array(stay)), self.used[stay], self.sizes[stay]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def values(self, words: list[str]) -> list:
         """What keep makes of each word's ids."""
-        new, old = self.new, self.old
-        out = list(map(new.get, words))
-        missing = [i for i, v in enumerate(out) if v is None]
-        parts, plain, other = [], set(), set()
-        for i in missing:
-            m = _SPLIT(words[i])
-            core, marks = (m[1].lower(), m[2]) if m else ("", words[i])
-            parts.append((core, marks))
-            if core and core not in new:
-                plain.add(core)
-            if marks and marks not in new:
-                other.add(marks)
-        for pieces in (plain, other):
-            for p in [p for p in pieces if p in old]:
-                new[p] = old[p]
-                pieces.discard(p)
-        new.update(self.encoded(sorted(plain), sorted(other)))
-        for i, (core, marks) in zip(missing, parts, strict=True):
-            out[i] = (new[core] if core else self.none) + (new[marks] if marks else self.none)
-        if len(new) > REMEMBERED:
-            self.old, self.new = new, {}
-        return out
-
-
-def _lengths(ids: np.ndarray, cuts: np.ndarray) -> list[int]:
-    return np.diff(cuts, prepend=0).tolist()
-
-
-def _bytes(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    data, ends = ids.tobytes(), (4 * cuts).tolist()
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        place = self.places(pa.array(words, pa.string()))
+        return self.keep(self, place)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + sizes[i] - 1 of each i in turn."""
+    places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    places += np.arange(len(places))
+    return places
+
+
+def _lengths(made: WordEncoder, place: np.ndarray) -> list[int]:
+    return made.sizes[place].tolist()
+
+
+def _bytes(made: WordEncoder, place: np.ndarray) -> list[bytes]:
+    return [made.ids[a : a + n].tobytes() for a, n in zip(made.starts[place], made.sizes[place], strict=True)]
 
 
 def encoder(path: str, kind: str) -> WordEncoder:
@@ -157,12 +222,16 @@ def balanced(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndar
         yield np.array(rows), parts
 
 
-def words_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(offsets of each part, index of each word, distinct words)."""
-    split = pc.ascii_split_whitespace(pa.array(parts, pa.string()))
-    coded = split.flatten().dictionary_encode()
-    offsets = split.offsets.to_numpy()
-    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+def words_of(parts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of each part, its words or pieces of them)."""
+    split = pc.ascii_split_whitespace(spread(pa.array(parts, pa.string())))
+    flat = split.flatten()
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    # a part without words, or with white space at an end, gives empty ones
+    full = pc.not_equal(flat, "")
+    total = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return total[offsets], flat.filter(full)
 
 
 def by_words(path: str) -> bool:
@@ -177,11 +246,12 @@ def by_words(path: str) -> bool:
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         _BY_WORDS[path] = (
-            steps == ["NFC", "Replace", "Lowercase"]
+            steps == _STEPS
             and told["model"].get("end_of_word_suffix") == "</w>"
             and first.get("type") == "Split"
             and first.get("invert") is True
-            and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
+            and first.get("pattern", {}).get("Regex") == _PIECES
+            and all(re.fullmatch(_SPECIAL, x["content"]) and not x["normalized"] for x in told.get("added_tokens") or [])
         )
     return _BY_WORDS[path]
 
@@ -211,15 +281,12 @@ def token_ids(parts: list[str], path: str) -> Iterator[np.ndarray]:
     if not by_words(path):
         yield from (np.array(x, dtype="<u4") for x in encoded_parts(parts, path))
         return
-    offsets, index, words = words_of(parts)
-    coded = encoder(path, "ids").values(words)
-    flat, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    starts, many = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    offsets, words = words_of(parts)
+    made = encoder(path, "ids")
+    place = made.places(words)
+    many = made.sizes[place]
+    ids = made.ids[_runs(made.starts[place], many)]
     ends = np.cumsum(many)
-    places = np.repeat(starts - (ends - many), many)
-    places += np.arange(len(places))
-    ids = flat[places]
-    del places
     bounds = np.concatenate([[0], ends])[offsets]
     yield from (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
@@ -235,8 +302,10 @@ def lengths(texts: pa.Array, path: str) -> np.ndarray:
         if not by_words(path):
             np.add.at(found, rows, [len(x) for x in encoded_parts(parts, path)])
             continue
-        offsets, index, words = words_of(parts)
-        sizes = np.array(encoder(path, "lengths").values(words), dtype=np.int64)[index] if words else np.zeros(0, np.int64)
+        offsets, words = words_of(parts)
+        made = encoder(path, "lengths")
+        place = made.places(words)
+        sizes = made.sizes[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         np.add.at(found, rows, total[offsets[1:]] - total[offsets[:-1]])
     return found
