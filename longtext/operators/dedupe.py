@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from longtext.functions.text import hash_of_normalized, shingles
 from longtext.functions.udfs import indel_ratio
 
-from .components import connected_components
+from .components import connected_components, dealt
 from .ranges import placed
 
 BANDS, ROWS = 16, 8
@@ -22,7 +22,7 @@ def star_edges(df: DataFrame, key: str, group: Column, reason: str) -> DataFrame
     """Edges from each row to the least id of its group; blank groups have none."""
     rows = df.select(F.col(key).alias("b"), group.alias("_g")).filter("_g is not null and _g != ''")
     least = rows.groupBy("_g").agg(F.min("b").alias("a"))
-    return rows.join(least, "_g").filter("a < b").select("a", "b", F.lit(reason).alias("reason"))
+    return rows.join(dealt(least), "_g").filter("a < b").select("a", "b", F.lit(reason).alias("reason"))
 
 
 def url_edges(df: DataFrame, key: str = "id", url: str = "source_url") -> DataFrame:

@@ -19,6 +19,10 @@ from longtext.sources.store import latest
 SLICE = 64 << 20
 
 
+#: Bytes of a stored batch up to which Spark may send it to all tasks of a merge.
+SENT = 1 << 20
+
+
 class Conflict(RuntimeError):
     """Another job has published the same version first; nothing of this job is visible."""
 
@@ -123,13 +127,14 @@ class VersionedTable:
         found = keys.select(self._bucket(told["buckets"]).alias("b")).distinct().collect()  # at most one for each partition
         return sorted({str(r.b) for r in found} & set(told["parts"]))
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """Rows whose dealing columns are among these distinct keys; only their partitions are read."""
+    def lookup(self, keys: DataFrame, send: bool = True) -> DataFrame:
+        """Rows whose dealing columns are among these distinct keys; only their partitions are read. send: Spark may send the keys to all tasks."""
         told = self._told()
         if told["schema"] is None:
             raise FileNotFoundError(f"{self.path} has no version")
         rows = self._rows(told, {b: told["parts"][b] for b in self.touched(keys)})
-        return rows.join(keys.select(*(self.by or self.keys)), list(self.by or self.keys), "left_semi")
+        keys = keys.select(*(self.by or self.keys))
+        return rows.join(keys if send else keys.hint("merge"), list(self.by or self.keys), "left_semi")
 
     def _whole(self) -> Column:
         return reduce(and_, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in self.keys])
@@ -160,7 +165,8 @@ class VersionedTable:
             touched = {str(r[0]) for r in batch.select("_b").distinct().collect()}  # at most one for each partition
             before = {b: f for b, f in told["parts"].items() if b in touched}
             old = self._rows(told, before) if told["schema"] else None
-            made = self._merged(old, batch.drop("_b"), columns, remove)
+            batch = batch.drop("_b")
+            made = self._merged(old, batch if _bytes(self.spark, staged) <= SENT else batch.hint("merge"), columns, remove)
             made = made.withColumn("_b", self._bucket(told["buckets"]))
             # a partition of the table is written by as many tasks as its bytes ask for, each its own file of the folder
             held = sum(_bytes(self.spark, f"{self.path}/{f}") for f in before.values()) + _bytes(self.spark, staged)
