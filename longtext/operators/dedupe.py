@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from longtext.functions.text import hash_of_normalized, shingles
 from longtext.functions.udfs import indel_ratio
+from longtext.sources.html import bounded_batches
 
 from .components import connected_components, dealt
 from .ranges import placed
 
 BANDS, ROWS = 16, 8
-LEAST_CHARS, PREFIX = 200, 5000
+LEAST_CHARS = 200
 
 
 def star_edges(df: DataFrame, key: str, group: Column, reason: str) -> DataFrame:
@@ -123,26 +124,34 @@ def band_keys(hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
 
 
 def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least: float = 85.0) -> DataFrame:
-    """Near-duplicate texts: minhash bands give candidates, the edit ratio of the first PREFIX characters decides.
+    """Near-duplicate texts: minhash bands give candidates, the edit ratio of the whole texts decides.
 
     Equal texts are one candidate. In each band bucket the members meet the bucket's least member first.
     Where that leaves a bucket in several components, their least members meet each other. Members of
     components that are then still apart meet in all the pairs not yet compared whose lengths allow the
-    ratio, so that every candidate is confirmed, refused or within one component already.
+    ratio, so that every candidate is confirmed, refused or within one component already. Lengths, which
+    travel along, rule pairs out before their texts are fetched.
     """
+    bounded_batches(df.sparkSession)
     rows = df.filter(F.length(text) >= LEAST_CHARS).select(F.col(key).alias("i"), F.col(text).alias("t"))
     rows = rows.groupBy(F.md5("t").alias("h")).agg(F.min("i").alias("i"), F.first("t").alias("t"))
-    heads = save(rows.select("i", F.substring("t", 1, PREFIX).alias("t"), F.transform(shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("s")), "heads")
-    keyed = heads.select("i", F.length("t").alias("n"), band_keys(F.col("s")).alias("ks"))
+    heads = save(rows.select("i", "t", F.length("t").alias("n"), F.transform(shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("s")), "heads")
+    keyed = heads.select("i", "n", band_keys(F.col("s")).alias("ks"))
     banded = save(keyed.select("i", "n", F.posexplode("ks").alias("band", "k")), "bands")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = heads.select(F.col("i").alias("a"), F.col("t").alias("x")), heads.select(F.col("i").alias("b"), F.col("t").alias("y"))
-        long_enough = 200 * F.least(F.length("x"), F.length("y")) >= least * (F.length("x") + F.length("y"))
-        return pairs.join(x, "a").join(y, "b").filter(long_enough).filter(indel_ratio("x", "y") >= least).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").filter(indel_ratio("x", "y") >= least).select("a", "b")
 
-    first = banded.groupBy("band", "k").agg(F.min("i").alias("a"))
-    met = save(banded.join(first, ["band", "k"]).filter("a < i").select("a", F.col("i").alias("b")).distinct(), "near-met")
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        long_enough = 200 * F.least("nx", "ny") >= least * (F.col("nx") + F.col("ny"))
+        return rows.filter("ix < iy").filter(long_enough).select(F.col("ix").alias("a"), F.col("iy").alias("b")).distinct()
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("band", "k", *[F.col(n).alias(n + s) for n in rows.columns if n not in ("band", "k")])
+
+    first = banded.groupBy("band", "k").agg(F.min(F.struct("i", "n")).alias("l")).select("band", "k", "l.*")
+    met = save(pairs_of(side(first, "x").join(side(banded, "y"), ["band", "k"])), "near-met")
     links = save(confirmed(met), "near-0")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -150,17 +159,14 @@ def text_edges(df: DataFrame, save, key: str = "id", text: str = "text", least:
         return banded.join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("c", F.coalesce("component", "i"))
 
     named = labelled(links)
-    parts = save(named.groupBy("band", "k", "c").agg(F.min("i").alias("i")), "near-parts")
-    x, y = parts.select("band", "k", F.col("i").alias("a")), parts.select("band", "k", F.col("i").alias("b"))
-    pairs = save(x.join(y, ["band", "k"]).filter("a < b").select("a", "b").distinct(), "near-pairs")
+    parts = save(named.groupBy("band", "k", "c").agg(F.min(F.struct("i", "n")).alias("l")).select("band", "k", "l.*"), "near-parts")
+    pairs = save(pairs_of(side(parts, "x").join(side(parts, "y"), ["band", "k"])), "near-pairs")
     links = save(links.union(confirmed(pairs)).distinct(), "near-1")
 
     named = save(labelled(links), "near-named")
     apart = named.groupBy("band", "k").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c != last").select("band", "k")
-    held = named.join(apart, ["band", "k"])
-    x, y = (held.select("band", "k", *[F.col(n).alias(n + side) for n in "inc"]) for side in "xy")
-    rest = x.join(y, ["band", "k"]).filter("ix < iy and cx != cy").filter(200 * F.least("nx", "ny") >= least * (F.col("nx") + F.col("ny")))
-    rest = rest.select(F.col("ix").alias("a"), F.col("iy").alias("b")).distinct().join(met.union(pairs), ["a", "b"], "left_anti")
+    held = named.join(apart, ["band", "k"]).select("band", "k", "i", "n", "c")
+    rest = pairs_of(side(held, "x").join(side(held, "y"), ["band", "k"]).filter("cx != cy")).join(met.union(pairs), ["a", "b"], "left_anti")
     return links.union(confirmed(rest)).distinct().withColumn("reason", F.lit("text"))
 
 
